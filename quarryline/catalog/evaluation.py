@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.catalog.tables import MCQ_SQL, mcq_rows, table
 from quarryline.functions.text import tokens
 from quarryline.operators import mcq, scoring
-from quarryline.session import new_folder
+from quarryline.session import new_folder, stage
 from quarryline.sources import benchmarks, sinks
 
 K = 3
@@ -56,7 +56,7 @@ def combine_category_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _targets_and_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    examples = _examples(spark, sf_dir)
+    examples = stage(_examples(spark, sf_dir), "examples")
     targets = mcq.example_index(examples, ["source_row"]).filter(F.col("answer_index").isNotNull())
     return targets, mcq.fewshot_pool(examples, ["source_row"])
 
@@ -179,7 +179,7 @@ def context_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_option_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = _examples(spark, sf_dir).withColumn("prompt", mcq.question_block(answered=False))
-    options = mcq.explode_options(examples).select(*OPTION_KEYS, "prompt", "completion")
+    options = stage(mcq.explode_options(examples).select(*OPTION_KEYS, "prompt", "completion"), "options")
     scores = scoring.ngram_option_scores(table(spark, sf_dir, "documents"), options, OPTION_KEYS, ALPHA)
     return scores.select(*OPTION_KEYS, F.round("score", 6).alias("score"))
 

@@ -1,2 +1,57 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Streaming queries: each runs over the given table as a stream and returns what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryline.catalog import sampling as sampled
+from quarryline.catalog.tables import EVENTS_SQL, log_lines, table
+from quarryline.operators.placement import stripe_files
+from quarryline.session import new_folder
+from quarryline.streaming import jobs
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return jobs.stream_folder(spark, sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet")
+
+
+def stream_sample_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "sample")
+    key = F.col("doc_id").cast("string")
+    source = _stream(spark, sf_dir, "documents")
+    jobs.stream_sample_ingest(source, key, sampled.RATIO, f"{out}/rows", f"{out}/checkpoint", sampled.SEED).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+def stream_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "milestones")
+    lines = log_lines(_stream(spark, sf_dir, "events"))
+    jobs.stream_milestones(lines, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return jobs.latest_snapshot(spark, f"{out}/rows")
+
+
+def stream_transfer_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as file arrivals: one file per five events, most arriving more than once."""
+    out = new_folder(spark, "progress")
+    number = F.floor(F.col("event_id") / 5)
+    name, length = F.concat(F.lit("shard_"), F.lpad(number.cast("string"), 8, "0")), number % 1000 + 1
+    files = table(spark, sf_dir, "events").select(name.alias("name"), length.alias("length")).distinct()
+    arrived = _stream(spark, sf_dir, "events").filter("event_type in ('view', 'click') and event_id % 3 <> 0").select(name.alias("name"), length.alias("length"))
+    manifest = stripe_files(files, 6).select("name", "worker", "length")
+    jobs.stream_transfer_progress(arrived, manifest, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return jobs.latest_snapshot(spark, f"{out}/rows")
+
+
+QUERIES = {f.__name__: f for f in (stream_sample_ingest, stream_milestones, stream_transfer_progress)}
+
+ORACLE = {
+    "stream_sample_ingest": f"SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE {sampled._KEEP}",
+    "stream_milestones": f"WITH {EVENTS_SQL} SELECT run, step, val, core, cdpk, n, d::BIGINT AS d, last_phase FROM ms",
+    "stream_transfer_progress": """
+      WITH files AS (SELECT DISTINCT event_id // 5 AS k FROM events), striped AS (SELECT k, (row_number() OVER (ORDER BY k) - 1) % 6 AS worker, k % 1000 + 1 AS length FROM files),
+      here AS (SELECT DISTINCT event_id // 5 AS k, true AS arrived FROM events WHERE event_type IN ('view', 'click') AND event_id % 3 <> 0)
+      SELECT worker, count(arrived) AS files, coalesce(sum(length) FILTER (arrived), 0)::BIGINT AS bytes, round(100::DOUBLE * count(arrived) / count(*), 6) AS files_percent,
+        round(100::DOUBLE * coalesce(sum(length) FILTER (arrived), 0)::BIGINT / sum(length)::BIGINT, 6) AS bytes_percent
+      FROM striped LEFT JOIN here USING (k) GROUP BY worker""",
+}

@@ -70,8 +70,11 @@ def bucket_of(key: Column, cuts: list[dict], key_type: T.StructType) -> Column:
     table = array_literal(cuts, key_type)
     strides = [1 << bit for bit in reversed(range(len(cuts).bit_length()))]
 
-    def advance(position: Column, stride: Column) -> Column:
-        probe = position + stride
-        return F.when(F.get(table, probe - 1) < key, probe).otherwise(position)
+    start = F.struct(F.lit(0).alias("at"), key.alias("key"))
 
-    return F.aggregate(F.array(*[F.lit(s) for s in strides]), F.lit(0), advance)
+    def advance(state: Column, stride: Column) -> Column:
+        probe = state["at"] + stride
+        at = F.when(F.get(table, probe - 1) < state["key"], probe).otherwise(state["at"])
+        return F.struct(at.alias("at"), state["key"].alias("key"))
+
+    return F.aggregate(F.array(*[F.lit(s) for s in strides]), start, advance, lambda state: state["at"])
