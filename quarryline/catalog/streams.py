@@ -40,7 +40,7 @@ def stream_transfer_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrived = _stream(spark, sf_dir, "events").filter("event_type in ('view', 'click') and event_id % 3 <> 0").select(name.alias("name"), length.alias("length"))
     manifest = stripe_files(files, 6).select("name", "worker", "length")
     jobs.stream_transfer_progress(arrived, manifest, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return jobs.latest_snapshot(spark, f"{out}/rows")
+    return jobs.progress_report(jobs.latest_snapshot(spark, f"{out}/rows"), manifest)
 
 
 QUERIES = {f.__name__: f for f in (stream_sample_ingest, stream_milestones, stream_transfer_progress)}

@@ -49,18 +49,25 @@ FORMATS = {
 
 
 def line_events(line: Column) -> Column:
-    """The events a line stands for, as an array of structs: usually none or one."""
+    """What a line reports, as an array of (kind, groups) structs: usually none or one."""
     found = []
-    for kind, (pattern, part, groups) in FORMATS.items():
-        fields = [F.lit(kind).alias("kind")]
-        for name, dtype in FIELDS.items():
-            if name in groups:
-                text = F.regexp_extract(line, pattern, groups.index(name) + 1)
-                if dtype == "bigint":
-                    text = F.replace(text, F.lit(","), F.lit(""))
-                value = text if dtype == "string" else text.try_cast(dtype)
-            else:
-                value = F.lit(None).cast(dtype)
-            fields.append(value.alias(name))
-        found.append(F.when(line.contains(part) & line.rlike(pattern), F.struct(*fields)))
-    return F.filter(F.array(*found), lambda event: event.isNotNull())
+    for kind, (pattern, part, fields) in FORMATS.items():
+        groups = F.array(*[F.regexp_extract(line, pattern, i + 1) for i in range(len(fields))])
+        event = F.struct(F.lit(kind).alias("kind"), groups.alias("groups"))
+        found.append(F.when(line.contains(part) & line.rlike(pattern), event))
+    return F.array_compact(F.array(*found))
+
+
+def event_fields(kind: Column, groups: Column) -> list[Column]:
+    """The typed fields of an event, null where its format has no such field."""
+    columns = []
+    for name, dtype in FIELDS.items():
+        places: dict[int, list[str]] = {}
+        for of_kind, (_, _, fields) in FORMATS.items():
+            if name in fields:
+                places.setdefault(fields.index(name), []).append(of_kind)
+        text = F.coalesce(*[F.when(kind.isin(kinds), groups[place]) for place, kinds in places.items()])
+        if dtype == "bigint":
+            text = F.replace(text, F.lit(","), F.lit(""))
+        columns.append((text if dtype == "string" else text.try_cast(dtype)).alias(name))
+    return columns

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.logs import line_events
+from quarryline.functions.logs import event_fields, line_events
 from quarryline.operators.order import blocked_index
 
 CORE_TOLERANCE = 5e-4
@@ -18,9 +18,9 @@ CORE_TOLERANCE = 5e-4
 
 def parse_log(lines: DataFrame) -> DataFrame:
     """Typed events of ``run, phase_no, block, seq, line`` rows; other lines are dropped."""
-    return lines.select("run", "phase_no", "block", "seq", F.explode(line_events(F.col("line"))).alias("e")).select(
-        "run", "phase_no", "block", "seq", "e.*"
-    )
+    place = ["run", "phase_no", "block", "seq"]
+    found = lines.select(*place, F.explode(line_events(F.col("line"))).alias("e"))
+    return found.select(*place, F.col("e.kind"), *event_fields(F.col("e.kind"), F.col("e.groups")))
 
 
 def _position() -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quarryline.operators.manifests import percent
 from quarryline.operators.quality import drop_blank_text
 from quarryline.operators.runs import milestones, parse_log
 from quarryline.operators.sampling import hash_sample
@@ -69,35 +70,29 @@ def stream_milestones(lines: DataFrame, output: str, checkpoint: str) -> Streami
 
 
 def stream_transfer_progress(arrived: DataFrame, manifest: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Files and bytes per worker so far, in percent of that worker's part of the source manifest.
+    """Files and bytes per worker so far; a file seen twice counts once.
 
-    ``arrived`` has ``name, length``; a file seen twice counts once. ``manifest`` has ``name, worker,
-    length``.
+    ``arrived`` has ``name, length``, ``manifest`` ``name, worker, length``. Files the manifest lacks
+    are left out.
     """
-    parts = manifest.groupBy("worker").agg(F.count("*").alias("all_files"), F.sum("length").alias("all_bytes"))
-    owned = manifest.select("name", "worker")
     progress = (
         arrived.select("name", "length")
         .dropDuplicates(["name"])
-        .join(owned, "name")
+        .join(manifest.select("name", "worker"), "name")
         .groupBy("worker")
         .agg(F.count("*").alias("files"), F.sum("length").cast("bigint").alias("bytes"))
     )
+    return _write_snapshots(progress, output, checkpoint)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        shown = parts.join(batch, "worker", "left").select(
-            "worker",
-            F.coalesce("files", F.lit(0)).alias("files"),
-            F.coalesce("bytes", F.lit(0)).alias("bytes"),
-            F.round(100.0 * F.coalesce("files", F.lit(0)) / F.col("all_files"), 6).alias("files_percent"),
-            F.round(100.0 * F.coalesce("bytes", F.lit(0)) / F.col("all_bytes"), 6).alias("bytes_percent"),
-        )
-        shown.write.mode("overwrite").parquet(f"{output}/batch={batch_id:012d}")
 
-    return (
-        progress.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def progress_report(snapshot: DataFrame, manifest: DataFrame) -> DataFrame:
+    """A progress snapshot in percent of each worker's part of the manifest, idle workers included."""
+    parts = manifest.groupBy("worker").agg(F.count("*").alias("all_files"), F.sum("length").alias("all_bytes"))
+    shown = parts.join(snapshot, "worker", "left").na.fill(0, ["files", "bytes"])
+    return shown.select(
+        "worker",
+        "files",
+        "bytes",
+        percent(F.col("files"), F.col("all_files")).alias("files_percent"),
+        percent(F.col("bytes"), F.col("all_bytes")).alias("bytes_percent"),
     )
