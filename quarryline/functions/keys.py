@@ -29,7 +29,7 @@ def key_fields(df: DataFrame, order: list[str]) -> list[Column]:
         column, dtype = F.col(name), df.schema[name].dataType
         if isinstance(dtype, T.TimestampType):
             column, dtype = F.unix_micros(column), T.LongType()
-        elif isinstance(dtype, T.TimestampNTZType):
+        elif isinstance(dtype, T.TimestampNTZType) and descending:
             column, dtype = _wall_micros(column), T.LongType()
         elif isinstance(dtype, T.DateType):
             column, dtype = F.unix_date(column), T.LongType()
@@ -39,11 +39,10 @@ def key_fields(df: DataFrame, order: list[str]) -> list[Column]:
         elif isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
             column = column.cast("double")
             if descending:
-                # NaN is the largest double and null sorts last, as in ORDER BY ... DESC
-                fields.append(F.when(column.isNull(), 2).when(F.isnan(column), 0).otherwise(1))
-                column = -F.when(column.isNull() | F.isnan(column), F.lit(0.0)).otherwise(column)
+                # NaN, the largest double, becomes null, which sorts first; null becomes NaN, which sorts last
+                column = F.when(column.isNull(), F.lit(float("nan"))).when(~F.isnan(column), -column)
             fields.append(column)
-        elif isinstance(dtype, T.StringType) and not descending:
+        elif isinstance(dtype, (T.StringType, T.TimestampNTZType)) and not descending:
             fields.append(column)
         else:
             raise TypeError(f"cannot order by {spec}: {dtype.simpleString()}")
@@ -54,13 +53,26 @@ def key_struct(df: DataFrame, order: list[str]) -> Column:
     return F.struct(*key_fields(df, order))
 
 
+def sort_columns(order: list[str]) -> list[Column]:
+    """The same order as plain sort expressions, for windows and sorts."""
+    return [F.desc(spec[1:]) if spec.startswith("-") else F.asc(spec) for spec in order]
+
+
+def column_names(order: list[str]) -> list[str]:
+    return list(dict.fromkeys(spec.lstrip("-") for spec in order))
+
+
+def _dump(value: list | dict) -> str:
+    return json.dumps(value, default=lambda moment: moment.isoformat())
+
+
 def array_literal(values: list, element_type: T.DataType) -> Column:
     """A foldable array: one constant in the optimised plan, however long the list."""
-    return F.from_json(F.lit(json.dumps(values)), T.ArrayType(element_type))
+    return F.from_json(F.lit(_dump(values)), T.ArrayType(element_type))
 
 
 def key_literal(cut: dict, key_type: T.StructType) -> Column:
-    return F.from_json(F.lit(json.dumps(cut)), key_type)
+    return F.from_json(F.lit(_dump(cut)), key_type)
 
 
 def bucket_of(key: Column, cuts: list[dict], key_type: T.StructType) -> Column:
@@ -70,11 +82,12 @@ def bucket_of(key: Column, cuts: list[dict], key_type: T.StructType) -> Column:
     table = array_literal(cuts, key_type)
     strides = [1 << bit for bit in reversed(range(len(cuts).bit_length()))]
 
-    start = F.struct(F.lit(0).alias("at"), key.alias("key"))
+    steps = F.array(*[F.lit(s) for s in strides])
+
+    def search(wanted: Column) -> Column:
+        def advance(at: Column, stride: Column) -> Column:
+            return F.when(F.get(table, at + stride - 1) < wanted, at + stride).otherwise(at)
 
-    def advance(state: Column, stride: Column) -> Column:
-        probe = state["at"] + stride
-        at = F.when(F.get(table, probe - 1) < state["key"], probe).otherwise(state["at"])
-        return F.struct(at.alias("at"), state["key"].alias("key"))
+        return F.aggregate(steps, F.lit(0), advance)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in strides]), start, advance, lambda state: state["at"])
+    return F.get(F.transform(F.array(key), search), F.lit(0))  # the one-element array binds the key once

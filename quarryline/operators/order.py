@@ -15,11 +15,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.functions.keys import array_literal, bucket_of, key_fields, key_literal, key_struct
+from quarryline.functions.keys import array_literal, bucket_of, column_names, key_literal, key_struct, sort_columns
 
 ROWS_PER_BUCKET = 1_000_000
 SAMPLES_PER_BUCKET = 32
@@ -67,9 +67,9 @@ def split(df: DataFrame, order: list[str], weight: str | None = None, buckets: i
     Reads the order columns (and the weight) only. At most ``MAX_BUCKETS`` keys come back to the
     driver. The unique last column is what lets one hot score spread over many buckets.
     """
-    keys = df.select(key_struct(df, order).alias("key"))
-    key_type = keys.schema["key"].dataType
-    total = keys.count()
+    key = key_struct(df, order).alias("key")
+    key_type = df.select(key).schema["key"].dataType
+    total = df.count()
     if buckets is None:
         parallelism = df.sparkSession.sparkContext.defaultParallelism
         buckets = max(parallelism, math.ceil(total / ROWS_PER_BUCKET))
@@ -77,8 +77,9 @@ def split(df: DataFrame, order: list[str], weight: str | None = None, buckets: i
     cuts: list[dict] = []
     if buckets > 1:
         fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / total)
-        sample = keys if fraction == 1.0 else keys.sample(fraction, seed=17)
-        ordered = sample.agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        narrow = df.select(*column_names(order))
+        sample = narrow if fraction == 1.0 else narrow.sample(fraction, seed=17)
+        ordered = sample.select(key).agg(F.sort_array(F.collect_list("key")).alias("keys"))
         picks = F.transform(
             F.sequence(F.lit(1), F.lit(buckets - 1)),
             lambda i: F.get("keys", F.floor(i * F.size("keys") / buckets).cast("int")),
@@ -101,8 +102,25 @@ def _offset(values: list[int]) -> Column:
     return F.get(array_literal(values, T.LongType()), F.col(_BUCKET))
 
 
-def _window(df: DataFrame, order: list[str]) -> Window:
-    return Window.partitionBy(_BUCKET).orderBy(*key_fields(df, order))
+def _window(order: list[str]) -> WindowSpec:
+    return Window.partitionBy(_BUCKET).orderBy(*sort_columns(order))
+
+
+def _placed(df: DataFrame, cut: Split) -> DataFrame:
+    """Every bucket in a task of its own."""
+    return df.withColumn(_BUCKET, cut.bucket(df)).repartitionById(len(cut.rows), F.col(_BUCKET))
+
+
+def _ranked(placed: DataFrame, cut: Split, name: str) -> DataFrame:
+    rank = _offset(cut.before(cut.rows)) + F.row_number().over(_window(cut.order)) - 1
+    return placed.withColumn(name, rank.cast("bigint")).drop(_BUCKET)
+
+
+def _running(placed: DataFrame, cut: Split, weight: str, name: str) -> DataFrame:
+    value = F.coalesce(F.col(weight).cast("bigint"), F.lit(0))
+    frame = _window(cut.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = _offset(cut.before(cut.weight)) + F.sum(value).over(frame) - value
+    return placed.withColumn(name, before.cast("bigint")).drop(_BUCKET)
 
 
 def global_rank(
@@ -110,8 +128,7 @@ def global_rank(
 ) -> DataFrame:
     """Add the 0-based position in the whole order: one shuffle, by bucket."""
     cut = cut or split(df, order, buckets=buckets)
-    rank = _offset(cut.before(cut.rows)) + F.row_number().over(_window(df, order)) - 1
-    return df.withColumn(_BUCKET, cut.bucket(df)).withColumn(name, rank.cast("bigint")).drop(_BUCKET)
+    return _ranked(_placed(df, cut), cut, name)
 
 
 def running_total(
@@ -119,10 +136,7 @@ def running_total(
 ) -> DataFrame:
     """Add the summed weight of all earlier rows; null weights count as zero."""
     cut = cut or split(df, order, weight=weight)
-    value = F.coalesce(F.col(weight).cast("bigint"), F.lit(0))
-    frame = _window(df, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = _offset(cut.before(cut.weight)) + F.sum(value).over(frame) - value
-    return df.withColumn(_BUCKET, cut.bucket(df)).withColumn(name, before.cast("bigint")).drop(_BUCKET)
+    return _running(_placed(df, cut), cut, weight, name)
 
 
 def _only_buckets(df: DataFrame, cut: Split, wanted: set[int]) -> DataFrame:
@@ -136,18 +150,14 @@ def _only_buckets(df: DataFrame, cut: Split, wanted: set[int]) -> DataFrame:
         if bucket < len(cut.cuts):
             inside = inside & (key <= key_literal(cut.cuts[bucket], cut.key_type))
         keep = keep | inside
-    return df.filter(keep)
+    return df.filter(keep).withColumn(_BUCKET, cut.bucket(df))
 
 
 def rows_at(df: DataFrame, order: list[str], positions: list[int], cut: Split | None = None) -> DataFrame:
     """The rows at a few 0-based positions, with their ``rank``; only their buckets are sorted."""
     cut = cut or split(df, order)
     inside = _only_buckets(df, cut, {cut.find(p) for p in positions})
-    return global_rank(inside, order, cut=cut).filter(F.col("rank").isin(positions))
-
-
-def _columns_of(order: list[str]) -> list[str]:
-    return [spec.lstrip("-") for spec in order]
+    return _ranked(inside, cut, "rank").filter(F.col("rank").isin(positions))
 
 
 def _up_to(df: DataFrame, cut: Split, last_key: dict) -> DataFrame:
@@ -161,7 +171,7 @@ def top_rows(df: DataFrame, order: list[str], count: int, cut: Split | None = No
         return df
     if count <= 0:
         return df.limit(0)
-    last = rows_at(df.select(*_columns_of(order)), order, [count - 1], cut)
+    last = rows_at(df.select(*column_names(order)), order, [count - 1], cut)
     return _up_to(df, cut, last.select(key_struct(df, order).alias("key")).first()["key"].asDict())
 
 
@@ -177,8 +187,8 @@ def budget_rows(df: DataFrame, order: list[str], weight: str, budget: int, cut:
     crossing = next((b for b, w in enumerate(cut.weight) if before[b] + w >= budget), None)
     if crossing is None:
         return df
-    narrow = _only_buckets(df.select(*dict.fromkeys([*_columns_of(order), weight])), cut, {crossing})
-    inside = running_total(narrow, order, weight, cut=cut).filter(F.col("total_before") < budget)
+    narrow = _only_buckets(df.select(*dict.fromkeys([*column_names(order), weight])), cut, {crossing})
+    inside = _running(narrow, cut, weight, "total_before").filter(F.col("total_before") < budget)
     return _up_to(df, cut, inside.agg(F.max(key_struct(df, order)).alias("key")).first()["key"].asDict())
 
 
@@ -198,7 +208,7 @@ def top_percent(df: DataFrame, order: list[str], percent: float) -> DataFrame:
 
 def rank_thresholds(df: DataFrame, order: list[str], value: str) -> DataFrame:
     """The value at one tenth, one quarter and one half of the order, exactly."""
-    narrow = df.select(*dict.fromkeys([*_columns_of(order), value]))
+    narrow = df.select(*dict.fromkeys([*column_names(order), value]))
     cut = split(narrow, order)
     rows = cut.total_rows
     if rows == 0:
@@ -215,7 +225,7 @@ def rank_thresholds(df: DataFrame, order: list[str], value: str) -> DataFrame:
 
 def sort_by(df: DataFrame, order: list[str]) -> DataFrame:
     """The whole table in order: one range shuffle, spread over hot values by the last column."""
-    return df.orderBy(*[F.desc(s[1:]) if s.startswith("-") else F.asc(s) for s in order])
+    return df.orderBy(*sort_columns(order))
 
 
 def shard_positions(df: DataFrame, order: list[str], rows_per_shard: int, cut: Split | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.keys import column_names, key_literal, key_struct
 from quarryline.functions.text import HashFraction, is_blank, md5_fraction
-from quarryline.operators.order import key_struct, rows_at, split, top_percent_count
-from quarryline.functions.keys import key_literal
+from quarryline.operators.order import rows_at, split, top_percent_count
 
 DEFAULT_RATIO = 0.165
 DEFAULT_BATCH = 524_288
@@ -107,7 +107,7 @@ def arm_summary(
 
     Both arms come from one pass over the table; a document may be in either, both or neither.
     """
-    narrow = df.select(*dict.fromkeys(spec.lstrip("-") for spec in order))
+    narrow = df.select(*column_names(order))
     cut = split(narrow, order)
     last = rows_at(narrow, order, [top_percent_count(cut.total_rows, percent) - 1], cut)
     last_key = last.select(key_struct(narrow, order).alias("key")).first()["key"].asDict()

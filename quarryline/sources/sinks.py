@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.keys import bucket_of, key_fields, key_struct
+from quarryline.functions.keys import bucket_of, column_names, key_struct, sort_columns
 from quarryline.operators.order import MAX_BUCKETS, global_rank, split
 
 ROWS_PER_SHARD = 14_000
@@ -23,7 +23,7 @@ def with_shards(df: DataFrame, order: list[str], rows_per_shard: int, rows_per_t
     """
     if rows_per_shard <= 0:
         raise ValueError("rows_per_shard must be positive")
-    narrow = df.select(*dict.fromkeys(spec.lstrip("-") for spec in order))
+    narrow = df.select(*column_names(order))
     cut = split(narrow, order)
     shards = math.ceil(cut.total_rows / rows_per_shard)
     per_task = max(1, rows_per_task // rows_per_shard, math.ceil(shards / MAX_BUCKETS))
@@ -40,7 +40,7 @@ def with_shards(df: DataFrame, order: list[str], rows_per_shard: int, rows_per_t
         )
         ends = [row["key"].asDict() for row in sorted(found, key=lambda row: row["rank"])]
     owned = df.withColumn("_task", bucket_of(key_struct(df, order), ends, cut.key_type))
-    in_order = Window.partitionBy("_task").orderBy(*key_fields(df, order))
+    in_order = Window.partitionBy("_task").orderBy(*sort_columns(order))
     return (
         owned.repartitionById(tasks, F.col("_task"))
         .withColumn("rank", (F.col("_task").cast("bigint") * task_rows + F.row_number().over(in_order) - 1))
