@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.catalog.tables import MCQ_SQL, mcq_rows, table
 from quarryline.functions.text import tokens
 from quarryline.operators import mcq, scoring
-from quarryline.session import new_folder, stage
+from quarryline.session import new_folder, spread, stage
 from quarryline.sources import benchmarks, sinks
 
 K = 3
@@ -90,8 +90,9 @@ def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents dealt to four options; a longer word is less likely."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.posexplode(tokens(F.col("text"))).alias("i", "w"))
-    return words.select("qid", (F.col("i") % 4).alias("option_idx"), (-0.25 - F.length("w")).cast("double").alias("logprob"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = texts.select(F.col("doc_id").alias("qid"), F.posexplode_outer(tokens(F.col("text"))).alias("i", "w"))
+    return words.filter(F.col("w").isNotNull()).select("qid", (F.col("i") % 4).alias("option_idx"), (-0.25 - F.length("w")).cast("double").alias("logprob"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +165,8 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as prompt and completion: the completion is every word after the first 40 + doc_id % 50."""
-    words = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = texts.select("doc_id", tokens(F.col("text")).alias("w"))
     head = (40 + F.col("doc_id") % 50).cast("int")
     split = words.select(
         "doc_id",
@@ -180,7 +182,7 @@ def context_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_option_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = _examples(spark, sf_dir).withColumn("prompt", mcq.question_block(answered=False))
     options = stage(mcq.explode_options(examples).select(*OPTION_KEYS, "prompt", "completion"), "options")
-    scores = scoring.ngram_option_scores(table(spark, sf_dir, "documents"), options, OPTION_KEYS, ALPHA)
+    scores = scoring.ngram_option_scores(spread(table(spark, sf_dir, "documents").select("text")), options, OPTION_KEYS, ALPHA)
     return scores.select(*OPTION_KEYS, F.round("score", 6).alias("score"))
 
 

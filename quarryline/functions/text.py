@@ -37,6 +37,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def each(words: Column, name: str) -> Column:
+    """One row per array element.
+
+    A plain explode makes the optimiser filter on the array's size first, and so compute the array
+    again for every such test; going through a zipped array does not.
+    """
+    return F.inline(F.arrays_zip(words.alias(name)))
+
+
 def hash52(key: Column) -> Column:
     """The first 52 bits of the MD5 of a string, as a non-negative BIGINT."""
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint")

@@ -19,8 +19,8 @@ CORE_TOLERANCE = 5e-4
 def parse_log(lines: DataFrame) -> DataFrame:
     """Typed events of ``run, phase_no, block, seq, line`` rows; other lines are dropped."""
     place = ["run", "phase_no", "block", "seq"]
-    found = lines.select(*place, F.explode(line_events(F.col("line"))).alias("e"))
-    return found.select(*place, F.col("e.kind"), *event_fields(F.col("e.kind"), F.col("e.groups")))
+    found = lines.select(*place, F.inline(line_events(F.col("line"))))
+    return found.select(*place, "kind", *event_fields(F.col("kind"), F.col("groups")))
 
 
 def _position() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import tokens
+from quarryline.functions.text import each, tokens
 from quarryline.operators.lookup import fits_broadcast, lookup
 
 MINUS_INFINITY = float("-inf")
@@ -40,9 +40,8 @@ def completion_pairs(options: DataFrame, keys: list[str], limit: int | None = No
         split = context_truncate(split, limit)
     context = F.concat(F.slice("prompt_tokens", -1, 1), "completion_tokens")
     context = F.when(F.size("prompt_tokens") > 0, context).otherwise(F.col("completion_tokens"))
-    return split.select(*keys, F.posexplode(_neighbours(context)).alias("token_no", "pair")).select(
-        *keys, "token_no", F.col("pair.prev"), F.col("pair.tok")
-    )
+    found = split.select(*keys, F.posexplode_outer(_neighbours(context)).alias("token_no", "pair"))
+    return found.filter(F.col("pair").isNotNull()).select(*keys, "token_no", F.col("pair.prev"), F.col("pair.tok"))
 
 
 def _neighbours(words: Column) -> Column:
@@ -57,7 +56,8 @@ def bigram_counts(corpus: DataFrame, needed: DataFrame, text: str = "text") -> D
     to its total. While the needed pairs are few they are sent to the scan and everything else is
     dropped before the shuffle; otherwise counts are made first and joined after.
     """
-    bigrams = corpus.select(F.explode(_neighbours(tokens(F.col(text)))).alias("b")).select("b.prev", "b.tok")
+    words = corpus.select(tokens(F.col(text)).alias("words"))
+    bigrams = words.select(F.inline(_neighbours(F.col("words"))))
     histories = needed.select("prev").distinct()
     wanted = needed.select("prev", "tok", F.lit(True).alias("wanted"))
     if fits_broadcast(needed, ["prev", "tok"]):
@@ -72,7 +72,8 @@ def bigram_counts(corpus: DataFrame, needed: DataFrame, text: str = "text") -> D
 
 
 def vocabulary_size(corpus: DataFrame, text: str = "text") -> int:
-    return corpus.select(F.explode(F.array_distinct(tokens(F.col(text))))).distinct().count()
+    words = corpus.select(tokens(F.col(text)).alias("words"))
+    return words.select(each(F.col("words"), "word")).distinct().count()
 
 
 def ngram_logprobs(corpus: DataFrame, pairs: DataFrame, alpha: float = 0.1, text: str = "text") -> DataFrame:

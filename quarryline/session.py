@@ -56,3 +56,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that comes as fewer tasks than the session can run is small; deal its rows out.
+
+    For per-row work that outweighs moving the rows. Larger scans stay as they are.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
