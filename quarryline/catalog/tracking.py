@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.catalog.tables import EVENTS_SQL, run_lines
 from quarryline.operators import order, runs
-from quarryline.session import new_folder
+from quarryline.session import new_folder, stage
 from quarryline.sources import logs, sinks
 
 RUNS = ["run0", "run1", "run2", "run3"]
@@ -18,6 +18,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.parse_log(run_lines(spark, sf_dir))
 
 
+def _staged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed log as a written table, for jobs that read it more than once."""
+    return stage(_events(spark, sf_dir), "events")
+
+
 def _run_list(spark: SparkSession) -> DataFrame:
     """The runs of the logs and one that never logged."""
     return spark.createDataFrame([(name,) for name in [*RUNS, "run9"]], "run string")
@@ -64,21 +69,21 @@ def run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_task_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.eval_task_blocks(_events(spark, sf_dir)).drop("type")
+    return runs.eval_task_blocks(_staged_events(spark, sf_dir)).drop("type")
 
 
 def latest_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
-    return runs.latest_eval(runs.eval_task_blocks(events), runs.milestones(events), _run_list(spark)).drop("type")
+    events = _staged_events(spark, sf_dir)
+    return runs.latest_eval(stage(runs.eval_task_blocks(events), "tasks"), runs.milestones(events), _run_list(spark)).drop("type")
 
 
 def core_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
+    events = _staged_events(spark, sf_dir)
     return runs.core_check(runs.eval_task_blocks(events), runs.milestones(events), 0.05)
 
 
 def attach_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
+    events = _staged_events(spark, sf_dir)
     phases = runs.latest_step(events, ("run", "phase_no"))
     return runs.attach_phase(runs.milestones(events), phases).select("run", "step", "last_phase", "phase")
 
@@ -100,7 +105,7 @@ def milestone_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracking_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
+    events = _staged_events(spark, sf_dir)
     documents = sinks.tracking_documents(runs.milestones(events), runs.eval_task_blocks(events), _run_list(spark))
     path = new_folder(spark, "tracking")
     documents.write.json(path)

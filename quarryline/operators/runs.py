@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.logs import event_fields, line_events
-from quarryline.operators.order import blocked_index
 
 CORE_TOLERANCE = 5e-4
 
@@ -96,32 +95,56 @@ def run_config(events: DataFrame) -> DataFrame:
 
 
 def eval_task_blocks(events: DataFrame) -> DataFrame:
-    """Task scores under the step of the CORE line that follows them.
+    """Task scores under the step of the CORE line that follows them, numbered within their block.
 
     Of several blocks for one step the later one stays; tasks without a later CORE line drop out.
-    The search for the next CORE line runs inside each block of lines and over block summaries, so
-    a run of any length is spread over its blocks.
+    Windows run over one split of the log at a time, and a row per split carries the next CORE line
+    and the count of tasks still open across splits, so a run of any length is shared by many tasks.
     """
+    split = ["run", "phase_no", "block"]
     lines = events.filter(F.col("kind").isin("task", "core"))
-    core = F.when(F.col("kind") == "core", F.struct(_position().alias("at"), F.col("step").alias("step")))
-    key = ["run", "phase_no", "block"]
-    ahead = Window.partitionBy(*key).orderBy("seq", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing)
-    inside = lines.withColumn("_next", F.first(core, ignorenulls=True).over(ahead))
-    later = Window.partitionBy("run").orderBy("phase_no", "block").rowsBetween(1, Window.unboundedFollowing)
-    per_block = lines.groupBy(*key).agg(F.min(core).alias("_first"))
-    beyond = per_block.withColumn("_beyond", F.first("_first", ignorenulls=True).over(later)).drop("_first")
+    is_task = F.col("kind") == "task"
+    core = F.when(~is_task, F.struct(_position().alias("at"), F.col("step").alias("step")))
+    by_line = Window.partitionBy(*split).orderBy("seq", F.desc("kind"))
+    so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = by_line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = (
+        lines.withColumn("_core", core)
+        .withColumn("_next", F.first("_core", ignorenulls=True).over(ahead))
+        .withColumn("_seen", F.sum(is_task.cast("bigint")).over(so_far))
+        .withColumn("_closed", F.max(F.when(~is_task, F.col("_seen"))).over(so_far))
+    )
+    by_split = Window.partitionBy("run").orderBy("phase_no", "block")
+    earlier = by_split.rowsBetween(Window.unboundedPreceding, -1)
+    later = by_split.rowsBetween(1, Window.unboundedFollowing)
+    around = (
+        inside.groupBy(*split)
+        .agg(F.min("_core").alias("_first"), F.max("_seen").alias("_tasks"), F.max("_closed").alias("_closed"))
+        .withColumn("_beyond", F.first("_first", ignorenulls=True).over(later))
+        .withColumn("_before", F.coalesce(F.sum("_tasks").over(earlier), F.lit(0)))
+        .withColumn("_open", F.col("_before") - F.coalesce(F.max(F.col("_before") + F.col("_closed")).over(earlier), F.lit(0)))
+        .select(*split, "_beyond", "_open")
+    )
+    number = F.col("_seen") - 1 + F.when(F.col("_closed").isNull(), F.col("_open")).otherwise(-F.col("_closed"))
+    owner = F.coalesce("_next", "_beyond")
     owned = (
-        inside.filter(F.col("kind") == "task")
-        .join(beyond, key)
-        .withColumn("_owner", F.coalesce("_next", "_beyond"))
-        .filter(F.col("_owner").isNotNull())
-        .select(*key, "seq", "task", "shots", "type", "accuracy", "centered", F.col("_owner.step").alias("step"), F.col("_owner.at").alias("core_at"))
+        inside.filter(is_task)
+        .join(around, split)
+        .filter(owner.isNotNull())
+        .select(
+            "run",
+            owner["step"].alias("step"),
+            owner["at"].alias("core_at"),
+            number.alias("task_no"),
+            "task",
+            "shots",
+            "type",
+            "accuracy",
+            "centered",
+        )
     )
     last = owned.groupBy("run", "step").agg(F.max("core_at").alias("core_at"))
-    kept = owned.join(last, ["run", "step", "core_at"], "left_semi")
-    return blocked_index(kept, ["run", "step"], ["phase_no", "block"], ["seq"], "task_no").select(
-        "run", "step", "task_no", "task", "shots", "type", "accuracy", "centered"
-    )
+    return owned.join(last, ["run", "step", "core_at"], "left_semi").drop("core_at")
 
 
 def latest_eval(tasks: DataFrame, milestone_rows: DataFrame, runs: DataFrame) -> DataFrame:
