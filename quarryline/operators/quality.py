@@ -64,13 +64,10 @@ def score_profile(df: DataFrame, score: str = "score") -> DataFrame:
 
 
 def resolve_text_column(df: DataFrame, candidates: Sequence[str] = TEXT_CANDIDATES) -> str:
-    """The first candidate column that exists and has any value."""
-    present = [c for c in candidates if c in df.columns]
-    if present:
-        has_value = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in present]).first()
-        for name in present:
-            if has_value[name]:
-                return name
+    """The first candidate column that exists and has any value; reading stops at the first value found."""
+    for name in candidates:
+        if name in df.columns and not df.select(name).filter(F.col(name).isNotNull()).isEmpty():
+            return name
     raise ValueError(f"no text column: tried {list(candidates)}, available: {df.columns}")
 
 

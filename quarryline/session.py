@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app: str = "quarryline", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the jobs expect; on a cluster the launcher sets the master."""
     builder = SparkSession.builder.appName(app)
@@ -38,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="quarryline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="quarryline-")
+    return _LOCAL_FOLDERS[application]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

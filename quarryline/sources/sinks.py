@@ -117,31 +117,37 @@ def current_version(spark: SparkSession, path: str) -> str:
     return f"{path}/{name}"
 
 
+FILES_PER_RUN = 8
+TASKS_PER_DOCUMENT = 1_000
+
+
 def write_results(summary: DataFrame, scored: DataFrame, path: str) -> None:
-    """Evaluation output: ``runs`` as CSV, ``rows`` as one nested JSON document per run and example.
+    """Evaluation output: ``runs`` as CSV, ``rows`` as JSON lines below a folder per run.
 
-    ``summary`` has one row per (checkpoint, seed), ``scored`` one per (checkpoint, seed, qid). The
-    example rows stay flat lines under folders of their run: a run is as large as its benchmark.
+    ``summary`` has one row per (checkpoint, seed), ``scored`` one per (checkpoint, seed, qid). A
+    run's examples go to a few files, so that one large run is written by several tasks.
     """
     summary.write.option("header", True).csv(f"{path}/runs")
-    nested = scored.withColumn(
-        "result",
-        F.struct(*[c for c in scored.columns if c not in ("checkpoint", "seed")]),
-    ).select("checkpoint", "seed", "result")
-    nested.write.partitionBy("checkpoint", "seed").json(f"{path}/rows")
+    fields = [c for c in scored.columns if c not in ("checkpoint", "seed")]
+    nested = scored.select("checkpoint", "seed", F.struct(*fields).alias("result"))
+    part = F.pmod(F.xxhash64("result"), F.lit(FILES_PER_RUN))
+    nested.repartition("checkpoint", "seed", part).write.partitionBy("checkpoint", "seed").json(f"{path}/rows")
 
 
 def tracking_documents(milestones: DataFrame, tasks: DataFrame, runs: DataFrame) -> DataFrame:
     """One document per (run, step) that has tasks, nested as the tracking file has it.
 
-    ``tasks`` has ``run, step, task_no, task, shots, type, accuracy, centered``; the tasks of one
-    evaluation are the handful of benchmarks it ran. Runs without tasks keep one row with null step.
+    ``tasks`` has ``run, step, task_no, task, shots, type, accuracy, centered``. An evaluation of more
+    than ``TASKS_PER_DOCUMENT`` tasks continues in further documents, by ``part``. Runs without tasks
+    keep one row with null step.
     """
     entry = F.struct("task_no", "task", "shots", "type", "accuracy", "centered")
-    per_step = tasks.groupBy("run", "step").agg(F.sort_array(F.collect_list(entry)).alias("tasks"))
+    part = F.expr(f"task_no div {TASKS_PER_DOCUMENT}").alias("part")
+    per_step = tasks.groupBy("run", "step", part).agg(F.sort_array(F.collect_list(entry)).alias("tasks"))
     steps = per_step.join(milestones, ["run", "step"], "left").select(
         "run",
         "step",
+        "part",
         F.col("core"),
         F.col("val").alias("val_bpb"),
         F.when(F.col("cdpk").isNotNull(), F.struct(F.col("cdpk").alias("acc"), "n", "d")).alias("cdpk"),
