@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_LAST = (1 << 63) - 1
+
+
 def _wall_micros(column: Column) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     minutes = F.unix_date(column.cast("date")).cast("bigint") * 1440 + F.hour(column) * 60 + F.minute(column)
@@ -35,7 +38,8 @@ def key_fields(df: DataFrame, order: list[str]) -> list[Column]:
             column, dtype = F.unix_date(column), T.LongType()
         if isinstance(dtype, (T.IntegralType, T.BooleanType)):
             column = column.cast("bigint")
-            fields.append(F.bitwise_not(column) if descending else column)
+            # mirrored without overflow; nulls sort last, as in ORDER BY ... DESC
+            fields.append(F.coalesce(F.bitwise_not(column), F.lit(_LAST)) if descending else column)
         elif isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
             column = column.cast("double")
             if descending:
@@ -75,6 +79,30 @@ def key_literal(cut: dict, key_type: T.StructType) -> Column:
     return F.from_json(F.lit(_dump(cut)), key_type)
 
 
+def first_column_bound(df: DataFrame, order: list[str], cut: dict, upper: bool) -> Column | None:
+    """What a key at or below (else above) a cut says about the first order column itself.
+
+    Only a hint beside the exact key comparison: a plain comparison reaches the Parquet reader, which
+    can then skip row groups. None where the cut says nothing.
+    """
+    descending, name = order[0].startswith("-"), order[0].lstrip("-")
+    dtype, value = df.schema[name].dataType, cut["k0"]
+    if value is None or value != value:
+        return None
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        value = -value if descending else value
+    elif isinstance(dtype, T.IntegralType):
+        if descending and value == _LAST:
+            return None
+        value = ~value if descending else value
+    elif not isinstance(dtype, T.StringType):
+        return None
+    column = F.col(name)
+    if upper == descending:
+        return column >= F.lit(value)
+    return (column <= F.lit(value)) | column.isNull()
+
+
 def bucket_of(key: Column, cuts: list[dict], key_type: T.StructType) -> Column:
     """How many of the sorted cut keys lie below this key, by binary search."""
     if not cuts:

@@ -19,10 +19,19 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.functions.keys import array_literal, bucket_of, column_names, key_literal, key_struct, sort_columns
+from quarryline.functions.keys import (
+    array_literal,
+    bucket_of,
+    column_names,
+    first_column_bound,
+    key_literal,
+    key_struct,
+    sort_columns,
+)
 
 ROWS_PER_BUCKET = 1_000_000
 SAMPLES_PER_BUCKET = 32
+MAX_SAMPLE = 1_000_000
 MAX_BUCKETS = 50_000
 
 _BUCKET = "_bucket"
@@ -76,7 +85,7 @@ def split(df: DataFrame, order: list[str], weight: str | None = None, buckets: i
     buckets = max(1, min(buckets, MAX_BUCKETS, total))
     cuts: list[dict] = []
     if buckets > 1:
-        fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / total)
+        fraction = min(1.0, min(buckets * SAMPLES_PER_BUCKET, MAX_SAMPLE) / total)
         narrow = df.select(*column_names(order))
         sample = narrow if fraction == 1.0 else narrow.sample(fraction, seed=17)
         ordered = sample.select(key).agg(F.sort_array(F.collect_list("key")).alias("keys"))
@@ -139,16 +148,28 @@ def running_total(
     return _running(_placed(df, cut), cut, weight, name)
 
 
+def _within(df: DataFrame, cut: Split, last_key: dict) -> Column:
+    """Rows up to a key, itself included."""
+    exact = key_struct(df, cut.order) <= key_literal(last_key, cut.key_type)
+    bound = first_column_bound(df, cut.order, last_key, upper=True)
+    return exact if bound is None else bound & exact
+
+
+def _beyond(df: DataFrame, cut: Split, last_key: dict) -> Column:
+    exact = key_struct(df, cut.order) > key_literal(last_key, cut.key_type)
+    bound = first_column_bound(df, cut.order, last_key, upper=False)
+    return exact if bound is None else bound & exact
+
+
 def _only_buckets(df: DataFrame, cut: Split, wanted: set[int]) -> DataFrame:
     """Rows of a few buckets, found by comparing keys so that the rest stops at the scan."""
-    key = key_struct(df, cut.order)
     keep = F.lit(False)
     for bucket in sorted(wanted):
         inside = F.lit(True)
         if bucket > 0:
-            inside = inside & (key > key_literal(cut.cuts[bucket - 1], cut.key_type))
+            inside = inside & _beyond(df, cut, cut.cuts[bucket - 1])
         if bucket < len(cut.cuts):
-            inside = inside & (key <= key_literal(cut.cuts[bucket], cut.key_type))
+            inside = inside & _within(df, cut, cut.cuts[bucket])
         keep = keep | inside
     return df.filter(keep).withColumn(_BUCKET, cut.bucket(df))
 
@@ -160,10 +181,6 @@ def rows_at(df: DataFrame, order: list[str], positions: list[int], cut: Split |
     return _ranked(inside, cut, "rank").filter(F.col("rank").isin(positions))
 
 
-def _up_to(df: DataFrame, cut: Split, last_key: dict) -> DataFrame:
-    return df.filter(key_struct(df, cut.order) <= key_literal(last_key, cut.key_type))
-
-
 def top_rows(df: DataFrame, order: list[str], count: int, cut: Split | None = None) -> DataFrame:
     """The first ``count`` rows of the order, as a filter on the key of the last one."""
     cut = cut or split(df, order)
@@ -172,7 +189,7 @@ def top_rows(df: DataFrame, order: list[str], count: int, cut: Split | None = No
     if count <= 0:
         return df.limit(0)
     last = rows_at(df.select(*column_names(order)), order, [count - 1], cut)
-    return _up_to(df, cut, last.select(key_struct(df, order).alias("key")).first()["key"].asDict())
+    return df.filter(_within(df, cut, last.select(key_struct(df, order).alias("key")).first()["key"].asDict()))
 
 
 def budget_rows(df: DataFrame, order: list[str], weight: str, budget: int, cut: Split | None = None) -> DataFrame:
@@ -189,7 +206,8 @@ def budget_rows(df: DataFrame, order: list[str], weight: str, budget: int, cut:
         return df
     narrow = _only_buckets(df.select(*dict.fromkeys([*column_names(order), weight])), cut, {crossing})
     inside = _running(narrow, cut, weight, "total_before").filter(F.col("total_before") < budget)
-    return _up_to(df, cut, inside.agg(F.max(key_struct(df, order)).alias("key")).first()["key"].asDict())
+    last = inside.agg(F.max(key_struct(df, order)).alias("key")).first()["key"].asDict()
+    return df.filter(_within(df, cut, last))
 
 
 def top_percent_count(rows: int, percent: float) -> int:

@@ -65,6 +65,24 @@ def test_order_by_text_and_descending_integers(spark):
         order.global_rank(df, ["-name", "n"])
 
 
+@pytest.mark.parametrize("spec", ["n", "-n", "x", "-x"])
+def test_nulls_sort_as_in_sql(spark, spec):
+    rows = [(None if i % 4 == 0 else (i * 37) % 50 - 25, None if i % 5 == 0 else float(i % 6), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "n bigint, x double, id bigint").repartition(3)
+    expected = [r["id"] for r in order.sort_by(df, [spec, "id"]).collect()]
+    ranked = order.global_rank(df, [spec, "id"], buckets=7).collect()
+    assert [r["id"] for r in sorted(ranked, key=lambda r: r["rank"])] == expected
+    for count in (1, 20, 31, 60, 95, 119):
+        assert {r["id"] for r in order.top_rows(df, [spec, "id"], count).collect()} == set(expected[:count])
+
+
+def test_prefix_filters_reach_the_scan(spark, tmp_path):
+    _table(spark, [float(i) for i in range(100)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert "GreaterThanOrEqual(score,90.0)" in order.top_rows(df, ORDER, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(id,9)" in order.top_rows(df, ["id"], 10)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("count", [0, 1, 37, 199, 200, 500])
 def test_top_rows(spark, count):
     scores = [float(i % 9) for i in range(200)]
