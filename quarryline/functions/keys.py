@@ -103,19 +103,21 @@ def first_column_bound(df: DataFrame, order: list[str], cut: dict, upper: bool)
     return (column <= F.lit(value)) | column.isNull()
 
 
-def bucket_of(key: Column, cuts: list[dict], key_type: T.StructType) -> Column:
-    """How many of the sorted cut keys lie below this key, by binary search."""
-    if not cuts:
-        return F.lit(0)
-    table = array_literal(cuts, key_type)
-    strides = [1 << bit for bit in reversed(range(len(cuts).bit_length()))]
-
-    steps = F.array(*[F.lit(s) for s in strides])
-
-    def search(wanted: Column) -> Column:
-        def advance(at: Column, stride: Column) -> Column:
-            return F.when(F.get(table, at + stride - 1) < wanted, at + stride).otherwise(at)
+def with_bucket(df: DataFrame, order: list[str], cuts: list[dict], key_type: T.StructType, name: str) -> DataFrame:
+    """Add how many of the sorted cut keys lie below each row's key.
 
-        return F.aggregate(steps, F.lit(0), advance)
-
-    return F.get(F.transform(F.array(key), search), F.lit(0))  # the one-element array binds the key once
+    A binary search with one column per halving: plain expressions that stay in generated code. Each
+    halving carries only the cuts it can meet, so all of them together hold every cut once.
+    """
+    columns = df.columns
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    found = df.select(*columns, key_struct(df, order).alias("_key"), F.lit(0).alias("_at0"))
+    bits = len(cuts).bit_length()
+    for level in range(bits):
+        stride = 1 << (bits - 1 - level)
+        at = F.col(f"_at{level}")
+        probe = F.get(array_literal(cuts[stride - 1 :: 2 * stride], key_type), F.shiftright(at, bits - level))
+        passed = F.when(probe < F.col("_key"), stride).otherwise(0)
+        found = found.select(*columns, "_key", (at + passed).alias(f"_at{level + 1}"))
+    return found.select(*columns, F.col(f"_at{bits}").alias(name))

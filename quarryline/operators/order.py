@@ -21,17 +21,17 @@ from pyspark.sql import types as T
 
 from quarryline.functions.keys import (
     array_literal,
-    bucket_of,
     column_names,
     first_column_bound,
     key_literal,
     key_struct,
     sort_columns,
+    with_bucket,
 )
 
 ROWS_PER_BUCKET = 1_000_000
 SAMPLES_PER_BUCKET = 32
-MAX_SAMPLE = 1_000_000
+MAX_SAMPLE = 250_000
 MAX_BUCKETS = 50_000
 
 _BUCKET = "_bucket"
@@ -51,8 +51,9 @@ class Split:
     def total_rows(self) -> int:
         return sum(self.rows)
 
-    def bucket(self, df: DataFrame) -> Column:
-        return bucket_of(key_struct(df, self.order), self.cuts, self.key_type)
+    def place(self, df: DataFrame, name: str = _BUCKET) -> DataFrame:
+        """The rows with the number of their bucket."""
+        return with_bucket(df, self.order, self.cuts, self.key_type, name)
 
     def before(self, values: list[int]) -> list[int]:
         """Running totals of earlier buckets."""
@@ -91,14 +92,12 @@ def split(df: DataFrame, order: list[str], weight: str | None = None, buckets: i
         ordered = sample.select(key).agg(F.sort_array(F.collect_list("key")).alias("keys"))
         picks = F.transform(
             F.sequence(F.lit(1), F.lit(buckets - 1)),
-            lambda i: F.get("keys", F.floor(i * F.size("keys") / buckets).cast("int")),
+            lambda i: F.get("keys", F.floor(i.cast("bigint") * F.size("keys") / buckets).cast("int")),
         )
         found = ordered.select(F.array_distinct(picks).alias("cuts")).first()["cuts"]
         cuts = [cut.asDict() for cut in found if cut is not None]
-    placed = df.select(
-        bucket_of(key_struct(df, order), cuts, key_type).alias(_BUCKET),
-        (F.col(weight) if weight else F.lit(0)).cast("bigint").alias("_weight"),
-    )
+    used = df.select(*column_names(order), (F.col(weight) if weight else F.lit(0)).cast("bigint").alias("_weight"))
+    placed = with_bucket(used, order, cuts, key_type, _BUCKET)
     counted = placed.groupBy(_BUCKET).agg(F.count("*").alias("n"), F.sum("_weight").alias("w")).collect()
     rows, weights = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1)
     for row in counted:
@@ -117,7 +116,7 @@ def _window(order: list[str]) -> WindowSpec:
 
 def _placed(df: DataFrame, cut: Split) -> DataFrame:
     """Every bucket in a task of its own."""
-    return df.withColumn(_BUCKET, cut.bucket(df)).repartitionById(len(cut.rows), F.col(_BUCKET))
+    return cut.place(df).repartitionById(len(cut.rows), F.col(_BUCKET))
 
 
 def _ranked(placed: DataFrame, cut: Split, name: str) -> DataFrame:
@@ -171,7 +170,7 @@ def _only_buckets(df: DataFrame, cut: Split, wanted: set[int]) -> DataFrame:
         if bucket < len(cut.cuts):
             inside = inside & _within(df, cut, cut.cuts[bucket])
         keep = keep | inside
-    return df.filter(keep).withColumn(_BUCKET, cut.bucket(df))
+    return cut.place(df.filter(keep))
 
 
 def rows_at(df: DataFrame, order: list[str], positions: list[int], cut: Split | None = None) -> DataFrame:

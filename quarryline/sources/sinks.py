@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.keys import bucket_of, column_names, key_struct, sort_columns
+from quarryline.functions.keys import column_names, key_struct, sort_columns, with_bucket
 from quarryline.operators.order import MAX_BUCKETS, global_rank, split
 
 ROWS_PER_SHARD = 14_000
@@ -39,7 +39,7 @@ def with_shards(df: DataFrame, order: list[str], rows_per_shard: int, rows_per_t
             .collect()
         )
         ends = [row["key"].asDict() for row in sorted(found, key=lambda row: row["rank"])]
-    owned = df.withColumn("_task", bucket_of(key_struct(df, order), ends, cut.key_type))
+    owned = with_bucket(df, order, ends, cut.key_type, "_task")
     in_order = Window.partitionBy("_task").orderBy(*sort_columns(order))
     return (
         owned.repartitionById(tasks, F.col("_task"))
