@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.catalog.tables import MCQ_SQL, mcq_rows, table
 from quarryline.functions.text import tokens
 from quarryline.operators import mcq, scoring
+from quarryline.operators.lookup import lookup
 from quarryline.session import new_folder, spread, stage
 from quarryline.sources import benchmarks, sinks
 
@@ -64,7 +65,7 @@ def _targets_and_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 def fewshot_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, pool = _targets_and_pool(spark, sf_dir)
     shots = mcq.fewshot_select(targets, pool, K, SEEDS)
-    return shots.join(pool.select("pos", F.col("qid").alias("shot_qid")), "pos")
+    return lookup(shots, pool.select("pos", F.col("qid").alias("shot_qid")), ["pos"], spread=["seed", "target_index"])
 
 
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.operators.lookup import lookup
+
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path``, ``name`` and ``length`` of the files below a folder; contents are not read."""
@@ -68,4 +70,4 @@ def pointer_manifest(pointers: DataFrame, store: DataFrame) -> DataFrame:
     """Parsed pointers, each present in or missing from a store listing (``object_key``, ``length``)."""
     objects = store.groupBy("object_key").agg(F.max("length").alias("length"))
     status = F.when(F.col("length").isNotNull(), "present").otherwise("missing")
-    return parse_pointers(pointers).join(objects, "object_key", "left").withColumn("status", status)
+    return lookup(parse_pointers(pointers), objects, ["object_key"], spread=["file"]).withColumn("status", status)
