@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 
-from quarryline.operators import quality, sampling
+from quarryline.operators import manifests, placement, quality, sampling
 from quarryline.plans import curate, evaluate, track
 from quarryline.session import build_session
 from quarryline.sources import corpus, files, logs, sinks
@@ -48,6 +48,12 @@ def parser() -> argparse.ArgumentParser:
     job = jobs.add_parser("manifest", help="files, bytes and empty files below a folder")
     job.add_argument("path")
 
+    job = jobs.add_parser("reconcile", help="compare the files of a source, a local and a destination folder")
+    job.add_argument("source")
+    job.add_argument("local")
+    job.add_argument("destination")
+    job.add_argument("--workers", type=int, default=6)
+
     job = jobs.add_parser("evaluate", help="few-shot evaluation with bigram models of corpora")
     job.add_argument("eval_file")
     job.add_argument("--dev-file")
@@ -78,6 +84,13 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "manifest":
         files.manifest_summary(files.file_manifest(spark, args.path)).show(truncate=False)
         files.empty_file_audit(spark, args.path).filter("is_empty").show(truncate=False)
+    elif args.job == "reconcile":
+        listings = [files.file_manifest(spark, path, "*.parquet") for path in (args.source, args.local, args.destination)]
+        manifests.transfer_progress(*listings).show()
+        open_files = manifests.manifest_reconcile(*listings).filter("dest_state <> 'complete'")
+        open_files.show(truncate=False)
+        left = manifests.pending_inputs(listings[0], listings[2])
+        placement.worker_load(placement.stripe_files(left, args.workers)).show()
     elif args.job == "evaluate":
         scorers = {name: evaluate.bigram_scorer(corpus.scan_corpus(spark, path).select("text")) for name, path in args.checkpoint}
         seeds = list(range(args.seed_start, args.seed_end + 1))

@@ -49,6 +49,11 @@ def drop_heavy_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.drop_heavy_columns(joined).withColumn("text", F.md5("text"))
 
 
+def width_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return corpus.width_saved(table(spark, sf_dir, "documents").join(embeddings, "doc_id", "left"))
+
+
 def empty_file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.empty_file_audit(spark, sf_dir).select("name", "rows", "is_empty")
 
@@ -201,7 +206,7 @@ def worker_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_corpus, union_by_name_scan, drop_heavy_columns, empty_file_audit, multi_config_scan, file_manifest,
+        scan_corpus, union_by_name_scan, drop_heavy_columns, width_saved, empty_file_audit, multi_config_scan, file_manifest,
         manifest_summary, pointer_manifest, composite_score, resolve_text_column, drop_blank_text, quality_profile,
         score_profile, global_rank, running_total, horizon_prefix, tokenizer_sample, sort_by_quality, top_percent,
         top_percent_lines, rank_thresholds, first_n, shard_assignment, write_sharded, incremental_ingest, ingest_counts,
@@ -224,6 +229,11 @@ ORACLE = {
     "drop_heavy_columns": """
       SELECT d.doc_id, md5(d.text) AS text, d.lang, d.source, d.n_chars, e.label
       FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
+    "width_saved": """
+      WITH b AS (
+        SELECT sum(16 + strlen(d.text) + strlen(d.lang) + strlen(d.source))::BIGINT AS kept_bytes, coalesce(sum(4 * len(e.embedding)), 0)::BIGINT AS dropped_bytes
+        FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)
+      SELECT *, round(100::DOUBLE * dropped_bytes / (kept_bytes + dropped_bytes), 6) AS dropped_percent FROM b""",
     "empty_file_audit": " UNION ALL ".join(
         f"SELECT '{name}.parquet' AS name, count(*) AS rows, count(*) = 0 AS is_empty FROM {name}" for name in _TABLES
     ),

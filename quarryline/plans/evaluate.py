@@ -75,6 +75,7 @@ def evaluate(
 
     skipped = targets.filter(F.col("answer_index").isNull()).agg(F.count("*")).first()[0]
     runs = scoring.mcq_accuracy(scored, ["checkpoint", "seed"]).withColumn("total_skipped", F.lit(skipped).cast("bigint"))
+    summary = scoring.repeat_summary(runs)
     if output:
-        sinks.write_results(runs, scored, output)
-    return Evaluation(scored, runs, scoring.repeat_summary(runs))
+        sinks.write_results(runs, scored, output, summary)
+    return Evaluation(scored, runs, summary)

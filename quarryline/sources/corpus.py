@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.sources.files import file_manifest
 
@@ -15,16 +16,16 @@ DROP_COLUMNS = ("embedding",)
 def scan_corpus(
     spark: SparkSession, path: str, prefix: str = "", num_files: int = -1, merge_schema: bool = True
 ) -> DataFrame:
-    """All Parquet files below ``path`` whose name starts with ``prefix``, by name, optionally the first N."""
+    """All Parquet files whose path below ``path`` starts with ``prefix``, optionally the first N by name."""
+    folder, _, name = prefix.rpartition("/")
+    path, pattern = (f"{path}/{folder}" if folder else path), f"{name}*.parquet"
     reader = spark.read.option("mergeSchema", merge_schema)
     if num_files <= 0:
-        return (
-            reader.option("pathGlobFilter", f"{prefix}*.parquet").option("recursiveFileLookup", True).parquet(path)
-        )
-    listing = file_manifest(spark, path, f"{prefix}*.parquet")
+        return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(path)
+    listing = file_manifest(spark, path, pattern)
     first = [row["path"] for row in listing.orderBy("path").limit(num_files).collect()]
     if not first:
-        raise FileNotFoundError(f"no Parquet files named {prefix}* under {path}")
+        raise FileNotFoundError(f"no Parquet files named {pattern} under {path}")
     return reader.parquet(*first)
 
 
@@ -60,6 +61,31 @@ def multi_config_scan(
     return union_by_name(frames)
 
 
+# Bytes of one value of the plain types.
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8}
+
+
+def _width(name: str, dtype: T.DataType) -> Column:
+    column = F.col(name)
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column)
+    elif isinstance(dtype, T.ArrayType):
+        size = F.size(column) * _WIDTHS.get(dtype.elementType.simpleString(), 8)
+    else:
+        size = F.lit(_WIDTHS.get(dtype.simpleString(), 8))
+    return F.coalesce(F.sum(F.when(column.isNotNull(), size)), F.lit(0))
+
+
+def width_saved(df: DataFrame, columns: tuple[str, ...] = DROP_COLUMNS) -> DataFrame:
+    """Uncompressed bytes of the columns kept and dropped, and the percentage dropped, in one row."""
+    total = F.lit(0).cast("bigint")
+    kept = sum((_width(f.name, f.dataType) for f in df.schema if f.name not in columns), total)
+    dropped = sum((_width(f.name, f.dataType) for f in df.schema if f.name in columns), total)
+    counted = df.agg(kept.alias("kept_bytes"), dropped.alias("dropped_bytes"))
+    share = 100.0 * F.col("dropped_bytes") / (F.col("kept_bytes") + F.col("dropped_bytes"))
+    return counted.withColumn("dropped_percent", F.round(share, 6))
+
+
 def drop_heavy_columns(df: DataFrame, columns: tuple[str, ...] = DROP_COLUMNS) -> DataFrame:
     """Leave out wide columns; the scan then never reads them."""
     return df.drop(*columns)

@@ -121,13 +121,15 @@ FILES_PER_RUN = 8
 TASKS_PER_DOCUMENT = 1_000
 
 
-def write_results(summary: DataFrame, scored: DataFrame, path: str) -> None:
-    """Evaluation output: ``runs`` as CSV, ``rows`` as JSON lines below a folder per run.
+def write_results(summary: DataFrame, scored: DataFrame, path: str, aggregate: DataFrame | None = None) -> None:
+    """Evaluation output: ``runs`` and ``aggregate`` as CSV, ``rows`` as JSON lines below a folder per run.
 
     ``summary`` has one row per (checkpoint, seed), ``scored`` one per (checkpoint, seed, qid). A
     run's examples go to a few files, so that one large run is written by several tasks.
     """
     summary.write.option("header", True).csv(f"{path}/runs")
+    if aggregate is not None:
+        aggregate.write.option("header", True).csv(f"{path}/aggregate")
     fields = [c for c in scored.columns if c not in ("checkpoint", "seed")]
     nested = scored.select("checkpoint", "seed", F.struct(*fields).alias("result"))
     part = F.pmod(F.xxhash64("result"), F.lit(FILES_PER_RUN))

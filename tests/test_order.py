@@ -56,6 +56,13 @@ def test_hot_value_spreads_over_buckets(spark):
     assert max(cut.rows) < 200
 
 
+def test_many_buckets(spark):
+    cut = order.split(spark.range(300_000), ["id"], buckets=9_000)
+    assert (len(cut.rows), cut.total_rows) == (9_000, 300_000)
+    last = order.top_rows(spark.range(300_000), ["id"], 123_456, cut).agg(F.max("id"), F.count("*")).first()
+    assert tuple(last) == (123_455, 123_456)
+
+
 def test_order_by_text_and_descending_integers(spark):
     rows = [(f"n{i % 13:02d}", i) for i in range(100)]
     df = spark.createDataFrame(rows, "name string, n bigint")

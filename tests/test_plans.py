@@ -73,6 +73,7 @@ def test_evaluate_all_seeds_and_checkpoints(spark, benchmark, tmp_path):
     assert found.summary.count() == 2
     assert spark.read.json(str(tmp_path / "results" / "rows")).count() == 36
     assert spark.read.csv(str(tmp_path / "results" / "runs"), header=True).count() == 4
+    assert spark.read.csv(str(tmp_path / "results" / "aggregate"), header=True).count() == 2
 
 
 def test_evaluate_with_given_logprobs(spark, benchmark):
@@ -102,3 +103,5 @@ def test_command_line(spark, corpus, tmp_path, capsys):
     assert "missing_token_col" in capsys.readouterr().out
     main(["manifest", corpus])
     assert "files" in capsys.readouterr().out
+    main(["reconcile", corpus, corpus, str(tmp_path / "cli")])
+    assert "100.0" in capsys.readouterr().out

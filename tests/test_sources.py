@@ -30,6 +30,7 @@ def test_scan_merges_schemas_and_ignores_other_files(spark, folder):
     assert {r["text"]: r["quality"] for r in rows.collect()} == {"a0": None, "b0": 1, "b1": 2}
     assert corpus.scan_corpus(spark, folder, prefix="b").count() == 2
     assert [r["text"] for r in corpus.scan_corpus(spark, folder, num_files=1).collect()] == ["a0"]
+    assert corpus.scan_corpus(spark, folder, prefix="sub/c").count() == 0
     with pytest.raises(FileNotFoundError):
         corpus.scan_corpus(spark, folder, prefix="z", num_files=1)
 
@@ -40,6 +41,11 @@ def test_dropped_columns_are_not_read(spark, folder):
     assert corpus.drop_heavy_columns(spark.range(1)).columns == ["id"]
 
 
+def test_width_saved(spark):
+    df = spark.createDataFrame([("é", [1.0, 2.0]), (None, None)], "text string, embedding array<float>")
+    assert tuple(corpus.width_saved(df).first()) == (2, 8, 80.0)
+
+
 def test_union_widens_types(spark):
     frames = [spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([(2**40, "x")], "n bigint, t string")]
     merged = corpus.union_by_name(frames)
