@@ -30,6 +30,7 @@ from quarryline.functions.keys import (
 )
 
 ROWS_PER_BUCKET = 1_000_000
+MIN_ROWS_PER_BUCKET = 4_000
 SAMPLES_PER_BUCKET = 32
 MAX_SAMPLE = 250_000
 MAX_BUCKETS = 50_000
@@ -82,7 +83,8 @@ def split(df: DataFrame, order: list[str], weight: str | None = None, buckets: i
     total = df.count()
     if buckets is None:
         parallelism = df.sparkSession.sparkContext.defaultParallelism
-        buckets = max(parallelism, math.ceil(total / ROWS_PER_BUCKET))
+        worthwhile = min(parallelism, total // MIN_ROWS_PER_BUCKET)
+        buckets = max(worthwhile, math.ceil(total / ROWS_PER_BUCKET))
     buckets = max(1, min(buckets, MAX_BUCKETS, total))
     cuts: list[dict] = []
     if buckets > 1:
@@ -96,6 +98,8 @@ def split(df: DataFrame, order: list[str], weight: str | None = None, buckets: i
         )
         found = ordered.select(F.array_distinct(picks).alias("cuts")).first()["cuts"]
         cuts = [cut.asDict() for cut in found if cut is not None]
+    if not cuts and weight is None:
+        return Split(order, key_type, cuts, [total], [0])
     used = df.select(*column_names(order), (F.col(weight) if weight else F.lit(0)).cast("bigint").alias("_weight"))
     placed = with_bucket(used, order, cuts, key_type, _BUCKET)
     counted = placed.groupBy(_BUCKET).agg(F.count("*").alias("n"), F.sum("_weight").alias("w")).collect()

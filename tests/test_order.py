@@ -79,8 +79,9 @@ def test_nulls_sort_as_in_sql(spark, spec):
     expected = [r["id"] for r in order.sort_by(df, [spec, "id"]).collect()]
     ranked = order.global_rank(df, [spec, "id"], buckets=7).collect()
     assert [r["id"] for r in sorted(ranked, key=lambda r: r["rank"])] == expected
+    cut = order.split(df, [spec, "id"], buckets=7)
     for count in (1, 20, 31, 60, 95, 119):
-        assert {r["id"] for r in order.top_rows(df, [spec, "id"], count).collect()} == set(expected[:count])
+        assert {r["id"] for r in order.top_rows(df, [spec, "id"], count, cut).collect()} == set(expected[:count])
 
 
 def test_prefix_filters_reach_the_scan(spark, tmp_path):
@@ -93,15 +94,20 @@ def test_prefix_filters_reach_the_scan(spark, tmp_path):
 @pytest.mark.parametrize("count", [0, 1, 37, 199, 200, 500])
 def test_top_rows(spark, count):
     scores = [float(i % 9) for i in range(200)]
-    kept = {r["id"] for r in order.top_rows(_table(spark, scores), ORDER, count).collect()}
-    assert kept == set(_expected(scores)[:count])
+    df = _table(spark, scores)
+    for buckets in (None, 6):
+        cut = order.split(df, ORDER, buckets=buckets)
+        assert {r["id"] for r in order.top_rows(df, ORDER, count, cut).collect()} == set(_expected(scores)[:count])
 
 
 @pytest.mark.parametrize("budget", [0, 1, 5, 100, 333, 599, 600, 601, 10_000])
 def test_budget_rows_is_the_shortest_covering_prefix(spark, budget):
     scores = [float(i % 9) for i in range(200)]
     weights = [i % 7 for i in range(200)]
-    kept = {r["id"] for r in order.budget_rows(_table(spark, scores), ORDER, "w", budget).collect()}
+    df = _table(spark, scores)
+    cut = order.split(df, ORDER, weight="w", buckets=6)
+    kept = {r["id"] for r in order.budget_rows(df, ORDER, "w", budget, cut).collect()}
+    assert kept == {r["id"] for r in order.budget_rows(df, ORDER, "w", budget).collect()}
     total, expected = 0, set()
     for i in _expected(scores):
         if total >= budget:
@@ -114,7 +120,9 @@ def test_budget_rows_is_the_shortest_covering_prefix(spark, budget):
 
 def test_running_total(spark):
     scores = [float(i % 9) for i in range(120)]
-    got = {r["id"]: r["total_before"] for r in order.running_total(_table(spark, scores), ORDER, "w").collect()}
+    df = _table(spark, scores)
+    cut = order.split(df, ORDER, weight="w", buckets=5)
+    got = {r["id"]: r["total_before"] for r in order.running_total(df, ORDER, "w", cut=cut).collect()}
     total = 0
     for i in _expected(scores):
         assert got[i] == total
