@@ -11,7 +11,7 @@ from quarryline.functions.text import HashFraction, md5_fraction
 from quarryline.operators import order, quality, sampling
 from quarryline.sources import corpus, sinks
 
-# Documents of the reference layout have no id; where a row was read from is one.
+# Scored corpora come without ids; where a row was read from is one.
 SOURCE_ORDER = ["source_file", "source_row"]
 
 
