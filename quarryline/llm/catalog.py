@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import quality_rules
+from quarryline.llm import quality_rules, sharding, token_counts, url_reputation
 from quarryline.session import stage
 
 
@@ -12,9 +12,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_histogram(_table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), stage)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"), stage)
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
-ORACLE: dict[str, str] = {}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.url_verdicts(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), url_reputation.RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_sharding, op9_quality_rules, op10_url_filters)}
+ORACLE = {"op10_url_filters": url_reputation.oracle_sql()}
