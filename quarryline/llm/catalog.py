@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import quality_rules, sharding, token_counts, url_reputation
+from quarryline.llm import decontaminate, main_text, piece_transducer, quality_rules, sharding, token_counts, url_reputation
 from quarryline.session import stage
 
 
@@ -16,10 +16,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_histogram(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.token_table(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), stage)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"), stage)
 
@@ -28,5 +40,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_verdicts(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), url_reputation.RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_sharding, op9_quality_rules, op10_url_filters)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_decontamination, op4_sentencepiece, op5_sharding, op8_html_extraction, op9_quality_rules, op10_url_filters,
+    )
+}
 ORACLE = {"op10_url_filters": url_reputation.oracle_sql()}
