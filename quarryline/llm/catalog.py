@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, main_text, piece_transducer, quality_rules, sharding, token_counts, url_reputation
+from quarryline.llm import (
+    decontaminate,
+    interpolated_lm,
+    main_text,
+    piece_transducer,
+    quality_rules,
+    repeats,
+    sharding,
+    simhash,
+    token_counts,
+    url_reputation,
+)
 from quarryline.session import stage
 
 
@@ -20,6 +31,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(_table(spark, sf_dir, "documents"), stage)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.token_table(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +43,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), stage)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), stage)
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.scores(_table(spark, sf_dir, "documents"), stage)
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -43,7 +66,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_decontamination, op4_sentencepiece, op5_sharding, op8_html_extraction, op9_quality_rules, op10_url_filters,
+        op1_token_counts, op2_decontamination, op3_suffix_dedup, op4_sentencepiece, op5_sharding, op6_simhash, op7_lm_scoring,
+        op8_html_extraction, op9_quality_rules, op10_url_filters,
     )
 }
 ORACLE = {"op10_url_filters": url_reputation.oracle_sql()}
