@@ -108,10 +108,11 @@ def _with_counts(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFra
 def _settled(rows: DataFrame, core: list[str], context: list[str], stage) -> DataFrame:
     """Rows whose core is found again, with how often their whole context is found (``_n``) and how many
     different contexts their core has (``_kinds``). Counts are combined before they are shuffled."""
-    again = rows.groupBy(*core).agg(F.count("*").alias("_all")).where("_all > 1").drop("_all")
+    # counts are written first: only plain scans on both sides of a join let Spark split a hot core
+    again = stage(rows.groupBy(*core).agg(F.count("*").alias("_all")).where("_all > 1").drop("_all"), "cores")
     found = stage(_with_counts(rows, again, core), "found-again")
-    contexts = found.groupBy(*core, *context).agg(F.count("*").alias("_n"))
-    kinds = contexts.groupBy(*core).agg(F.count("*").alias("_kinds"))
+    contexts = stage(found.groupBy(*core, *context).agg(F.count("*").alias("_n")), "contexts")
+    kinds = stage(contexts.groupBy(*core).agg(F.count("*").alias("_kinds")), "kinds")
     return _with_counts(found, _with_counts(contexts, kinds, core), [*core, *context])
 
 
