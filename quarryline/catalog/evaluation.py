@@ -65,7 +65,7 @@ def _targets_and_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 def fewshot_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, pool = _targets_and_pool(spark, sf_dir)
     shots = mcq.fewshot_select(targets, pool, K, SEEDS)
-    return lookup(shots, pool.select("pos", F.col("qid").alias("shot_qid")), ["pos"], spread=["seed", "target_index"])
+    return lookup(shots, pool.select("pos", F.col("qid").alias("shot_qid")), ["pos"])
 
 
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

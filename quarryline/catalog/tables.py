@@ -214,7 +214,7 @@ def mcq_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     items = table(spark, sf_dir, "benchmark")
     size = items.count()
-    snippet = F.trim(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", ""))
+    snippet = F.trim(F.regexp_replace(F.col("text"), "[^A-Za-z ]", ""))
     offered = items.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.struct(
         ((F.col("item_id") + size - j) % size).alias("item_id"), ((j + 3) % 4).alias("place"), snippet.alias("option")))).alias("o")).select("o.*")
     options = offered.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("place", "option"))).alias("s"))
@@ -228,7 +228,7 @@ def mcq_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return joined.select(
         F.when(F.col("item_id") % 7 != 0, F.concat(F.lit("q"), F.col("item_id").cast("string"))).alias("id"),
-        F.when(F.col("item_id") % 19 == 18, F.lit("  ")).otherwise(F.substring("text", 1, 60)).alias("Question"),
+        F.when(F.col("item_id") % 19 == 18, F.lit("  ")).otherwise(F.col("text")).alias("Question"),
         F.when(style == 0, F.to_json("opts")).when(style == 1, F.array_join("opts", " || ")).alias("options"),
         F.when(style == 2, F.array_join("opts", "; ")).alias("choices"),
         answer.alias("answer"),
@@ -239,13 +239,13 @@ def mcq_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MCQ_SQL = r"""
 opt AS (
-  SELECT b.item_id, p.place, trim(regexp_replace(substr(o.text, 1, 40), '[^A-Za-z ]', '', 'g')) AS option
+  SELECT b.item_id, p.place, trim(regexp_replace(o.text, '[^A-Za-z ]', '', 'g')) AS option
   FROM benchmark b CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS place) p
   JOIN benchmark o ON o.item_id = (b.item_id + (p.place + 1) % 4) % (SELECT count(*) FROM benchmark)
 ),
 mcq AS (
   SELECT item_id, CASE WHEN item_id % 7 <> 0 THEN 'q' || item_id::VARCHAR ELSE 'benchmark-' || item_id::VARCHAR END AS qid,
-    regexp_replace(regexp_replace(substr(text, 1, 60), '^\s+', ''), '\s+$', '') AS question,
+    regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS question,
     CASE WHEN item_id % 5 IN (0, 1, 4) THEN item_id % 4 WHEN item_id % 5 = 2 THEN 3 END::INTEGER AS answer_index,
     (SELECT list(option ORDER BY place) FROM opt WHERE opt.item_id = benchmark.item_id) AS options
   FROM benchmark WHERE item_id % 19 <> 18

@@ -51,6 +51,11 @@ def hash52(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint")
 
 
+def decoded_path(column: str = "_metadata.file_path") -> Column:
+    """A file path as its listing has it: metadata paths come percent-encoded, with plus signs as they are."""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+
+
 def md5_fraction(key: Column) -> Column:
     """A uniform DOUBLE in [0, 1) that any SQL engine with MD5 can reproduce."""
     return hash52(key) / F.lit(float(1 << HASH_BITS))
@@ -62,7 +67,7 @@ def _blake2b_fraction(keys: pd.Series) -> pd.Series:
         digest = hashlib.blake2b(key.encode("utf-8"), digest_size=8).digest()
         return int.from_bytes(digest, "big") / 2**64
 
-    return keys.map(one)
+    return keys.map(one, na_action="ignore")
 
 
 def blake2b_fraction(key: Column) -> Column:

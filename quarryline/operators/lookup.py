@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], salts: int = SALTS) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join whose right side is unique per key.
 
-    The right side is repeated once per salt and the rows of one left key are spread over the salts
-    by the ``spread`` columns, so a key that holds a third of the rows is shared by many tasks.
+    Nothing is repeated. Spark broadcasts the right side where its measured size allows, and otherwise its
+    adaptive execution splits the tasks of a hot left key by size and sends the one matching row to each part.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+    return left.join(right, keys, "left")
 
 
 def fits_broadcast(df: DataFrame, text_columns: list[str]) -> bool:

@@ -152,8 +152,8 @@ def latest_eval(tasks: DataFrame, milestone_rows: DataFrame, runs: DataFrame) ->
     """The tasks of each run's last evaluated step with its CORE; runs without any show ``has_tasks`` false."""
     last = tasks.groupBy("run").agg(F.max("step").alias("step"))
     scored = last.join(milestone_rows.select("run", "step", "core"), ["run", "step"], "left").withColumn("has_tasks", F.lit(True))
-    shown = lookup(tasks, scored, ["run", "step"], spread=["task_no"]).filter(F.col("has_tasks"))
-    listed = lookup(shown, runs.select("run", F.lit(True).alias("_listed")), ["run"], spread=["task_no"]).filter(F.col("_listed"))
+    shown = lookup(tasks, scored, ["run", "step"]).filter(F.col("has_tasks"))
+    listed = lookup(shown, runs.select("run", F.lit(True).alias("_listed")), ["run"]).filter(F.col("_listed"))
     idle = runs.select("run").join(last, "run", "left_anti").withColumn("has_tasks", F.lit(False))
     return listed.drop("_listed").unionByName(idle, allowMissingColumns=True)
 
@@ -183,9 +183,9 @@ def attach_phase(milestone_rows: DataFrame, phases: DataFrame) -> DataFrame:
     of a run are its launches, a short list.
     """
     ends = phases.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("phase_no", "latest_step"))).alias("_ends"))
-    joined = lookup(milestone_rows, ends, ["run"], spread=["step"]).filter(F.col("_ends").isNotNull())
-    reached = F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda i: F.get("_ends", i)["latest_step"] >= F.col("step"))
-    index = F.coalesce(F.get(reached, F.lit(0)), F.size("_ends") - 1)
+    joined = lookup(milestone_rows, ends, ["run"]).filter(F.col("_ends").isNotNull())
+    reached = F.filter("_ends", lambda end: end["latest_step"] >= F.col("step"))
+    index = F.coalesce(F.get(reached, F.lit(0)), F.element_at("_ends", -1))["phase_no"].cast("int")
     label = F.when(F.size("_ends") == 1, F.lit("")).otherwise(phase_name(index))
     return joined.withColumn("phase", label).drop("_ends")
 

@@ -44,16 +44,16 @@ def hash_sample(
 def sampling_report(
     df: DataFrame, key: Column, ratio: float, rows_per_shard: int, seed: int = 42, text: str = "text"
 ) -> DataFrame:
-    """Rows seen, kept and kept in percent, per config and overall (null config), with shard counts."""
+    """Rows seen, kept and kept in percent, per config and overall (labelled ``(all)``), with shard counts."""
     kept = ~is_blank(F.col(text)) & keep_condition(key, ratio, seed)
     per_config = df.groupBy("config").agg(
         F.count("*").alias("seen"), F.sum(F.when(kept, 1).otherwise(0)).alias("kept")
     )
     return (
         per_config.rollup("config")
-        .agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept"))
+        .agg(F.grouping("config").alias("_total"), F.sum("seen").alias("seen"), F.sum("kept").alias("kept"))
         .select(
-            F.coalesce("config", F.lit("(all)")).alias("config"),
+            F.when(F.col("_total") == 1, F.lit("(all)")).otherwise(F.col("config")).alias("config"),
             "seen",
             "kept",
             F.round(100.0 * F.col("kept") / F.col("seen"), 6).alias("keep_rate_percent"),

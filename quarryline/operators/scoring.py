@@ -65,7 +65,7 @@ def bigram_counts(corpus: DataFrame, needed: DataFrame, text: str = "text") -> D
         amount: Column = F.count("*")
     else:
         counted = bigrams.groupBy("prev", "tok").agg(F.count("*").alias("c"))
-        near = lookup(counted, histories.withColumn("known", F.lit(True)), ["prev"], spread=["tok"]).filter("known")
+        near = lookup(counted, histories.withColumn("known", F.lit(True)), ["prev"]).filter("known")
         near = near.join(wanted, ["prev", "tok"], "left")
         amount = F.sum("c")
     return near.groupBy("prev", F.when(F.col("wanted"), F.col("tok")).alias("tok")).agg(amount.alias("c"))
@@ -82,7 +82,7 @@ def ngram_logprobs(corpus: DataFrame, pairs: DataFrame, alpha: float = 0.1, text
     counts = bigram_counts(corpus, needed, text)
     of_pair = counts.filter(F.col("tok").isNotNull()).withColumnRenamed("c", "pair_count")
     of_history = counts.groupBy("prev").agg(F.sum("c").alias("history_count"))
-    joined = lookup(needed.join(of_pair, ["prev", "tok"], "left"), of_history, ["prev"], spread=["tok"])
+    joined = lookup(needed.join(of_pair, ["prev", "tok"], "left"), of_history, ["prev"])
     words = vocabulary_size(corpus, text)
     seen = F.coalesce("pair_count", F.lit(0)) + F.lit(alpha)
     total = F.coalesce("history_count", F.lit(0)) + F.lit(alpha * words)
@@ -93,7 +93,7 @@ def ngram_option_scores(corpus: DataFrame, options: DataFrame, keys: list[str],
     """Score options with a bigram model of the corpus: mean log-probability of the completion."""
     pairs = completion_pairs(options, keys, limit)
     logprobs = ngram_logprobs(corpus, pairs, alpha)
-    scored = lookup(pairs, logprobs, ["prev", "tok"], spread=[*keys, "token_no"])
+    scored = lookup(pairs, logprobs, ["prev", "tok"])
     return option_scores(scored, options.select(*keys), keys)
 
 

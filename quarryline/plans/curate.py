@@ -39,6 +39,8 @@ def curate(
 
     The whole corpus is written as ``text``, a part of it as ``score, text``.
     """
+    if not 0 < top_percent <= 100:  # NaN fails, too
+        raise ValueError(f"top_percent must be above 0 and at most 100, not {top_percent}")
     rows = scored_corpus(spark, source, sort_keys, prefix, num_files)
     ranking = ["-score", *SOURCE_ORDER]
     if top_percent < 100:
@@ -58,9 +60,10 @@ def random_subset(
     hash_fn: HashFraction = md5_fraction,
 ) -> str:
     """Draw a seeded subset of several configs and write it as shards in reading order."""
-    rows = corpus.multi_config_scan(spark, configs)
-    text = quality.resolve_text_column(rows, candidates)
-    clean = quality.drop_blank_text(rows.withColumn("text", F.col(text)))
+    if not 0 < ratio <= 1:
+        raise ValueError(f"ratio must be above 0 and at most 1, not {ratio}")
+    named = {c: quality.resolve_text_column(spark.read.parquet(path), candidates) for c, path in configs.items()}
+    clean = quality.drop_blank_text(corpus.multi_config_scan(spark, configs, named))
     kept = sampling.hash_sample(clean, sampling.row_key(clean), ratio, seed, hash_fn)
     columns = ["text"]
     if "token_count" in kept.columns:
@@ -70,6 +73,6 @@ def random_subset(
 
 
 def subset_budget(spark: SparkSession, shards: str, token_col: str = "token_count", batch: int = sampling.DEFAULT_BATCH) -> DataFrame:
-    """Files, rows, tokens and iterations of written shards (a folder of Parquet files)."""
-    rows = corpus.scan_corpus(spark, shards)
+    """Files, rows, tokens and iterations of written shards (a folder of Parquet files, or the current version where versions are published)."""
+    rows = corpus.scan_corpus(spark, sinks.published(spark, shards))
     return sampling.token_budget(rows.select("*", F.col("_metadata.file_path").alias("file")), token_col, batch)

@@ -54,9 +54,9 @@ def evaluate(
     dev = stage(mcq.normalize_mcq(benchmarks.mcq_scan(spark, dev_file)), "dev") if dev_file else examples
     if dev_file and dev.isEmpty():
         dev = examples
-    targets = mcq.example_index(examples, ["source_row"], max_examples)
+    targets = stage(mcq.example_index(examples, ["file_stem", "source_row"], max_examples), "targets")
     answered = targets.filter(F.col("answer_index").isNotNull())
-    pool = mcq.fewshot_pool(dev, ["source_row"])
+    pool = stage(mcq.fewshot_pool(dev, ["file_stem", "source_row"]), "pool")
     shots = mcq.fewshot_select(answered, pool, fewshot_k, seeds)
     options = mcq.explode_options(mcq.build_prompts(answered, shots, pool, seeds, header))
     columns = ["seed", "qid", "target_index", "option_idx", "prompt", "completion"]
@@ -74,7 +74,10 @@ def evaluate(
     scored = stage(scored, "predictions")
 
     skipped = targets.filter(F.col("answer_index").isNull()).agg(F.count("*")).first()[0]
-    runs = scoring.mcq_accuracy(scored, ["checkpoint", "seed"]).withColumn("total_skipped", F.lit(skipped).cast("bigint"))
+    asked = spark.createDataFrame([(c, s) for c in scorers for s in seeds], "checkpoint string, seed long")
+    counted = asked.join(scoring.mcq_accuracy(scored, ["checkpoint", "seed"]), ["checkpoint", "seed"], "left")
+    counted = counted.na.fill(0, ["total_scored", "correct"]).na.fill(0.0, ["accuracy"])
+    runs = counted.withColumn("total_skipped", F.lit(skipped).cast("bigint"))
     summary = scoring.repeat_summary(runs)
     if output:
         sinks.write_results(runs, scored, output, summary)

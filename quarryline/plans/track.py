@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarryline.operators import runs
 from quarryline.session import stage
@@ -31,15 +32,17 @@ def track_runs(spark: SparkSession, path: str, specs: DataFrame, url: str = "",
     tasks = stage(runs.eval_task_blocks(events), "tasks")
     milestones = runs.milestones(events)
     listed = phases.select("run").distinct()
-    ends = runs.latest_step(events, ("run", "phase_no"))
-    documents = sinks.tracking_documents(milestones, tasks, listed)
+    launched = phases.select("run", "phase_no").distinct()
+    ends = launched.join(runs.latest_step(events, ("run", "phase_no")), ["run", "phase_no"], "left").na.fill(0, ["latest_step"])
+    fields = specs.select(F.col("label").alias("run"), "wandb_name", "run_ids", "host", "data_variant")
+    documents = sinks.tracking_documents(milestones, tasks, fields)
     if output:
         documents.write.json(output)
     return Tracking(
         registry=runs.run_registry(phases, logs.run_metadata_scan(spark, path), url),
-        config=runs.run_config(events),
-        latest_step=runs.latest_step(events),
-        best=runs.best_metrics(events),
+        config=listed.join(runs.run_config(events), "run", "left"),
+        latest_step=listed.join(runs.latest_step(events), "run", "left").na.fill(0, ["latest_step"]),
+        best=listed.join(runs.best_metrics(events), "run", "left"),
         milestones=runs.attach_phase(runs.visible(milestones), ends),
         tasks=tasks,
         latest_eval=runs.latest_eval(tasks, milestones, listed),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.functions.text import decoded_path
 from quarryline.operators.order import blocked_index
 from quarryline.sources.corpus import union_by_name
 
@@ -73,7 +74,7 @@ def combine_category_files(spark: SparkSession, base: str, split: str, pattern:
     frames = []
     for header in dict.fromkeys(headers.values()):
         same = read_csv(spark, [p for p in paths if headers[p] == header])
-        frames.append(same.select("*", F.col("_metadata.file_path").alias("_path")))
+        frames.append(same.select("*", decoded_path().alias("_path")))
     name = F.regexp_extract("_path", rf"([^/=]*_{split}\.csv)", 1)
     return union_by_name(frames).withColumn("category_file", name).withColumn("split", F.lit(split)).drop("_path")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,16 +18,16 @@ def scan_corpus(
     spark: SparkSession, path: str, prefix: str = "", num_files: int = -1, merge_schema: bool = True
 ) -> DataFrame:
     """All Parquet files whose path below ``path`` starts with ``prefix``, optionally the first N by name."""
-    folder, _, name = prefix.rpartition("/")
-    path, pattern = (f"{path}/{folder}" if folder else path), f"{name}*.parquet"
     reader = spark.read.option("mergeSchema", merge_schema)
-    if num_files <= 0:
-        return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(path)
-    listing = file_manifest(spark, path, pattern)
-    first = [row["path"] for row in listing.orderBy("path").limit(num_files).collect()]
-    if not first:
-        raise FileNotFoundError(f"no Parquet files named {pattern} under {path}")
-    return reader.parquet(*first)
+    if num_files <= 0 and not prefix:
+        return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    listing = file_manifest(spark, path, "*.parquet").filter(F.col("path").startswith(f"{root}/{prefix}")).orderBy("path")
+    chosen = [row["path"] for row in (listing.limit(num_files) if num_files > 0 else listing).select("path").collect()]
+    if not chosen:
+        raise FileNotFoundError(f"no Parquet files below {path} start with {prefix!r}")
+    return reader.parquet(*(re.sub(r"([\\[\]{}*?])", r"\\\1", name) for name in chosen))
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:

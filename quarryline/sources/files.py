@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import decoded_path
 from quarryline.operators.lookup import lookup
 
 
@@ -36,7 +37,7 @@ def empty_file_audit(spark: SparkSession, path: str, pattern: str = "*.parquet")
         spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .parquet(path)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .groupBy(decoded_path().alias("path"))
         .agg(F.count("*").alias("n"))
     )
     rows = F.coalesce("n", F.lit(0)).cast("bigint")
@@ -51,14 +52,19 @@ def read_pointer_files(spark: SparkSession, path: str, pattern: str = "*.dvc") -
         spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
+        .select(decoded_path().alias("file"), "value")
     )
 
 
+# The two lines of a pointer file.
+POINTER_MD5 = r"md5:\s*([0-9a-f]{32})"
+POINTER_PATH = r"path:\s*([^\r\n]+)"
+
+
 def parse_pointers(pointers: DataFrame) -> DataFrame:
     """Content hash, target path and object key of each pointer; incomplete ones are left out."""
-    md5 = F.regexp_extract("value", r"md5:\s*([0-9a-f]{32})", 1)
-    target = F.trim(F.regexp_extract("value", r"path:\s*([^\r\n]+)", 1))
+    md5 = F.regexp_extract("value", POINTER_MD5, 1)
+    target = F.trim(F.regexp_extract("value", POINTER_PATH, 1))
     return (
         pointers.select("file", md5.alias("md5"), target.alias("target"))
         .filter((F.col("md5") != "") & (F.col("target") != ""))
@@ -70,4 +76,4 @@ def pointer_manifest(pointers: DataFrame, store: DataFrame) -> DataFrame:
     """Parsed pointers, each present in or missing from a store listing (``object_key``, ``length``)."""
     objects = store.groupBy("object_key").agg(F.max("length").alias("length"))
     status = F.when(F.col("length").isNotNull(), "present").otherwise("missing")
-    return lookup(parse_pointers(pointers), objects, ["object_key"], spread=["file"]).withColumn("status", status)
+    return lookup(parse_pointers(pointers), objects, ["object_key"]).withColumn("status", status)

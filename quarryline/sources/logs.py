@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import decoded_path
 from quarryline.operators.lookup import lookup
 
 SPEC_SCHEMA = (
@@ -44,7 +45,7 @@ def run_log_scan(
         .option("recursiveFileLookup", True)
         .text(path)
         .select(
-            F.regexp_extract(F.col("_metadata.file_path"), run_dir, 1).alias("run_dir"),
+            F.regexp_extract(decoded_path(), run_dir, 1).alias("run_dir"),
             F.concat_ws(":", F.col("_metadata.file_name"), offset).alias("block"),
             F.monotonically_increasing_id().alias("seq"),
             F.col("value").alias("line"),
@@ -52,7 +53,7 @@ def run_log_scan(
     )
     owner = phases.select("run_dir", "run", "phase_no")
     return (
-        lookup(lines, owner, ["run_dir"], spread=["block", "seq"])
+        lookup(lines, owner, ["run_dir"])
         .filter(F.col("run").isNotNull())
         .select("run", "phase_no", "block", "seq", "line")
     )
@@ -66,5 +67,5 @@ def run_metadata_scan(spark: SparkSession, path: str, pattern: str = "*metadata.
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .json(path)
-        .select(F.regexp_extract(F.col("_metadata.file_path"), RUN_DIR, 1).alias("run_dir"), "*")
+        .select(F.regexp_extract(decoded_path(), RUN_DIR, 1).alias("run_dir"), "*")
     )

@@ -106,6 +106,11 @@ def _last_marker(spark: SparkSession, path: str) -> int:
     return max((int(n.removeprefix("_current-")) for n in names if n.startswith("_current-")), default=0)
 
 
+def published(spark: SparkSession, path: str) -> str:
+    """The current version below a path, or the path itself where nothing was published with a marker."""
+    return current_version(spark, path) if _last_marker(spark, path) else path
+
+
 def current_version(spark: SparkSession, path: str) -> str:
     number = _last_marker(spark, path)
     if number == 0:
@@ -117,39 +122,37 @@ def current_version(spark: SparkSession, path: str) -> str:
     return f"{path}/{name}"
 
 
-FILES_PER_RUN = 8
-TASKS_PER_DOCUMENT = 1_000
+ROWS_PER_RESULT_FILE = 100_000
 
 
 def write_results(summary: DataFrame, scored: DataFrame, path: str, aggregate: DataFrame | None = None) -> None:
     """Evaluation output: ``runs`` and ``aggregate`` as CSV, ``rows`` as JSON lines below a folder per run.
 
     ``summary`` has one row per (checkpoint, seed), ``scored`` one per (checkpoint, seed, qid). A
-    run's examples go to a few files, so that one large run is written by several tasks.
+    run's examples go to about one file per ``ROWS_PER_RESULT_FILE``, so that large runs are written by many tasks.
     """
     summary.write.option("header", True).csv(f"{path}/runs")
     if aggregate is not None:
         aggregate.write.option("header", True).csv(f"{path}/aggregate")
     fields = [c for c in scored.columns if c not in ("checkpoint", "seed")]
     nested = scored.select("checkpoint", "seed", F.struct(*fields).alias("result"))
-    part = F.pmod(F.xxhash64("result"), F.lit(FILES_PER_RUN))
+    largest = scored.groupBy("checkpoint", "seed").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    part = F.pmod(F.xxhash64("result"), F.lit(1 + largest // ROWS_PER_RESULT_FILE))
     nested.repartition("checkpoint", "seed", part).write.partitionBy("checkpoint", "seed").json(f"{path}/rows")
 
 
 def tracking_documents(milestones: DataFrame, tasks: DataFrame, runs: DataFrame) -> DataFrame:
     """One document per (run, step) that has tasks, nested as the tracking file has it.
 
-    ``tasks`` has ``run, step, task_no, task, shots, type, accuracy, centered``. An evaluation of more
-    than ``TASKS_PER_DOCUMENT`` tasks continues in further documents, by ``part``. Runs without tasks
-    keep one row with null step.
+    ``tasks`` has ``run, step, task_no, task, shots, type, accuracy, centered``; the tasks of one evaluation
+    are one document however many they are. ``runs`` may bring fields of the run besides its name. Runs without
+    tasks keep one row with null step.
     """
     entry = F.struct("task_no", "task", "shots", "type", "accuracy", "centered")
-    part = F.expr(f"task_no div {TASKS_PER_DOCUMENT}").alias("part")
-    per_step = tasks.groupBy("run", "step", part).agg(F.sort_array(F.collect_list(entry)).alias("tasks"))
+    per_step = tasks.groupBy("run", "step").agg(F.sort_array(F.collect_list(entry)).alias("tasks"))
     steps = per_step.join(milestones, ["run", "step"], "left").select(
         "run",
         "step",
-        "part",
         F.col("core"),
         F.col("val").alias("val_bpb"),
         F.when(F.col("cdpk").isNotNull(), F.struct(F.col("cdpk").alias("acc"), "n", "d")).alias("cdpk"),

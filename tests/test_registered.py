@@ -6,7 +6,8 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from quarryline.catalog import oracle_sql, queries
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"

@@ -81,7 +81,7 @@ def test_pointer_files(spark, tmp_path):
 def test_lookup_is_a_left_join_and_splits_a_hot_key(spark):
     left = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, v int")
-    found = lookup(left, right, ["k"], spread=["id"])
+    found = lookup(left, right, ["k"])
     assert found.count() == 1000
     assert found.filter("k = 'hot' and v = 1").count() == 334
     assert found.filter("v is null").count() == 1000 - 334 - 1
