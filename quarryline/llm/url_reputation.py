@@ -1,7 +1,7 @@
 """URL filters: fixed host and path rules, then an empirical-Bayes reputation of hosts.
 
 Outcomes of labelled pages are binomial; the rate of a host is shrunk towards its registered domain, that
-towards its suffix, and that towards all pages. How strongly a level is shrunk comes from the spread of its
+towards its suffix, and that towards all pages, which begin at one bad page in twenty. How strongly a level is shrunk comes from the spread of its
 groups (a beta-binomial fitted by moments). Everything is DataFrame functions; only the aggregates per host
 are joined back, so a host that holds a third of all pages is combined before it is shuffled.
 """
@@ -95,7 +95,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = hosts.select("host", domain.alias("_domain"), suffix.alias("_suffix"), "_n", "_k")
     domains = hosts.groupBy("_domain", "_suffix").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"))
     suffixes = domains.groupBy("_suffix").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k")).withColumn("_all", F.lit(1))
-    everything = suffixes.groupBy("_all").agg(((F.sum("_k") + 0.5) / (F.sum("_n") + 1)).alias("_m"))
+    everything = suffixes.groupBy("_all").agg(((F.sum("_k") + 0.5) / (F.sum("_n") + 10)).alias("_m"))
     suffixes = _shrunk(suffixes, everything, "_all", "_rate").select("_suffix", F.col("_rate").alias("_m"))
     domains = _shrunk(domains, suffixes, "_suffix", "_rate").select("_domain", F.col("_rate").alias("_m"))
     ranked = _shrunk(hosts, domains, "_domain", "_rate")
@@ -168,7 +168,7 @@ def oracle_sql(rules: list[Rule] = RULES) -> str:
         CASE WHEN {labels_from_end(2)} IN ({long}) THEN {labels_from_end(2)} ELSE {labels_from_end(1)} END AS suffix FROM hosts),
     domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM placed GROUP BY ALL),
     suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM domains GROUP BY ALL),
-    everything AS (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1) AS m FROM suffixes),
+    everything AS (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 10) AS m FROM suffixes),
     suffix_rate AS (SELECT suffix, (k + s * m) / (n + s) AS m FROM suffixes, everything, (SELECT {strength("suffixes")} AS s)),
     domain_rate AS (SELECT domain, (k + s * m) / (n + s) AS m FROM domains JOIN suffix_rate USING (suffix), (SELECT {strength("domains")} AS s)),
     host_rate AS (SELECT host, n, k, n + s AS total, (k + s * m) / (n + s) AS mean FROM placed JOIN domain_rate USING (domain), (SELECT {strength("placed")} AS s)),
