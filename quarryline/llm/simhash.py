@@ -9,6 +9,8 @@ group of near copies costs no pairs. Equal fingerprints are one from the start.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -131,6 +133,7 @@ def near_duplicates(docs: DataFrame, stage, text: str = "text", key: str = "doc_
 
 SIMILARITY, WORDS_IN_SHINGLE = 0.8, 5
 SKETCH, TABLES, TABLE_BITS = 16, 6, 32
+SMALL = 32
 
 
 def _sketches(texts: pa.Array) -> dict[str, pa.Array]:
@@ -178,26 +181,36 @@ def _table_variants() -> Column:
     return F.concat(*parts)
 
 
+def _checked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs ``node, hub`` with whether their sketches are similar."""
+    joined = pairs.alias("p").join(nodes.alias("a"), F.col("p.node") == F.col("a.node")).join(nodes.alias("b"), F.col("p.hub") == F.col("b.node"))
+    return joined.select(F.col("p.node").alias("_node"), F.col("p.hub").alias("_hub"), (_similarity("a", "b") >= SIMILARITY).alias("ok"))
+
+
 def similar_links(nodes: DataFrame, stage) -> DataFrame:
     """Links ``a, b`` between nodes that share a variant of a table and are similar by their sketches.
 
-    In every bucket all nodes are compared with the least one; those that are not like it are compared
-    with the least of the rest, until each has met its like or stands alone. No bucket is expanded into pairs.
+    In a bucket of more than ``SMALL`` nodes all are compared with the least one, and those that are not like it
+    with the least of the rest, until the rest is small. Within a small bucket all are compared with each
+    other: at most ``SMALL`` comparisons per node and bucket, whatever the size of a group.
     """
-    spread = nodes.select("node", F.explode(_table_variants()).alias("key")).distinct()
     same = Window.partitionBy("key")
-    rows = stage(spread.withColumn("_n", F.count("*").over(same)).where("_n > 1").select("key", "node"), "shared-variants")
-    links, a, b = None, nodes.alias("a"), nodes.alias("b")
-    while not rows.isEmpty():
+    spread = nodes.select("node", F.explode(_table_variants()).alias("key")).distinct()
+    rows = stage(spread.withColumn("_n", F.count("*").over(same)).where("_n > 1"), "shared-variants")
+    links, small = [], [rows.where(f"_n <= {SMALL}")]
+    while not (rows := rows.where(f"_n > {SMALL}")).isEmpty():
         met = stage(rows.withColumn("hub", F.min("node").over(same)).where("node <> hub"), "met")
-        pairs = met.select("node", "hub").distinct().alias("p")
-        joined = pairs.join(a, F.col("p.node") == F.col("a.node")).join(b, F.col("p.hub") == F.col("b.node"))
-        checked = stage(joined.select(F.col("p.node").alias("_node"), F.col("p.hub").alias("_hub"), (_similarity("a", "b") >= SIMILARITY).alias("ok")), "checked")
-        like = checked.where("ok").select(F.col("_node").alias("a"), F.col("_hub").alias("b"))
-        links = like if links is None else links.unionByName(like)
-        other = checked.where("not ok")
-        rows = stage(met.join(other, (F.col("node") == F.col("_node")) & (F.col("hub") == F.col("_hub")), "left_semi").select("key", "node"), "unlike")
-    return links if links is not None else spread.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+        checked = stage(_checked(met.select("node", "hub").distinct(), nodes), "checked")
+        links.append(checked.where("ok"))
+        unlike = (F.col("node") == F.col("_node")) & (F.col("hub") == F.col("_hub"))
+        rest = met.join(checked.where("not ok"), unlike, "left_semi").select("key", "node")
+        rows = stage(rest.withColumn("_n", F.count("*").over(same)).where("_n > 1"), "unlike")
+        small.append(rows.where(f"_n <= {SMALL}"))
+    few = reduce(DataFrame.unionByName, small).select("key", "node")
+    other = few.select(F.col("key").alias("_key"), F.col("node").alias("hub"))
+    pairs = few.join(other, (F.col("key") == F.col("_key")) & (F.col("node") > F.col("hub"))).select("node", "hub").distinct()
+    links.append(_checked(pairs, nodes).where("ok"))
+    return reduce(DataFrame.unionByName, links).select(F.col("_node").alias("a"), F.col("_hub").alias("b"))
 
 
 def keep_one(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") -> DataFrame:
