@@ -30,7 +30,7 @@ from quarryline.llm.rows import packed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KEPT_WORDS = 120_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 250_000
 LONGEST_KEPT = 48
 ROWS_AT_ONCE = 1_000
