@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20_240_607)
 _BYTE_CODE = (_RNG.integers(1, 1 << 62, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)

@@ -37,6 +37,8 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, pa.Arr
             if batch.num_rows:
                 found = work(batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found.values()], [*keep, *found])
+            batch = found = None  # else it stays beside the next one
+            pa.default_memory_pool().release_unused()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
     return df.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
