@@ -134,6 +134,7 @@ def near_duplicates(docs: DataFrame, stage, text: str = "text", key: str = "doc_
 SIMILARITY, WORDS_IN_SHINGLE = 0.8, 5
 SKETCH, TABLES, TABLE_BITS = 16, 6, 32
 SMALL = 32
+SMALL_REST = 256
 
 
 def _sketches(texts: pa.Array) -> dict[str, pa.Array]:
@@ -191,21 +192,24 @@ def similar_links(nodes: DataFrame, stage) -> DataFrame:
     """Links ``a, b`` between nodes that share a variant of a table and are similar by their sketches.
 
     In a bucket of more than ``SMALL`` nodes all are compared with the least one, and those that are not like it
-    with the least of the rest, until the rest is small. Within a small bucket all are compared with each
-    other: at most ``SMALL`` comparisons per node and bucket, whatever the size of a group.
+    with the least of the rest, until the rest has ``SMALL_REST`` nodes or fewer: they are no copies of each other
+    as a rule, so there are few. Within a small bucket or rest all are compared with each other: at most
+    ``SMALL_REST`` comparisons per node and bucket, whatever the size of a group.
     """
     same = Window.partitionBy("key")
     spread = nodes.select("node", F.explode(_table_variants()).alias("key")).distinct()
     rows = stage(spread.withColumn("_n", F.count("*").over(same)).where("_n > 1"), "shared-variants")
     links, small = [], [rows.where(f"_n <= {SMALL}")]
-    while not (rows := rows.where(f"_n > {SMALL}")).isEmpty():
+    rows = rows.where(f"_n > {SMALL}")
+    while not rows.isEmpty():
         met = stage(rows.withColumn("hub", F.min("node").over(same)).where("node <> hub"), "met")
         checked = stage(_checked(met.select("node", "hub").distinct(), nodes), "checked")
         links.append(checked.where("ok"))
         unlike = (F.col("node") == F.col("_node")) & (F.col("hub") == F.col("_hub"))
         rest = met.join(checked.where("not ok"), unlike, "left_semi").select("key", "node")
-        rows = stage(rest.withColumn("_n", F.count("*").over(same)).where("_n > 1"), "unlike")
-        small.append(rows.where(f"_n <= {SMALL}"))
+        left = stage(rest.withColumn("_n", F.count("*").over(same)).where("_n > 1"), "unlike")
+        small.append(left.where(f"_n <= {SMALL_REST}"))
+        rows = left.where(f"_n > {SMALL_REST}")
     few = reduce(DataFrame.unionByName, small).select("key", "node")
     other = few.select(F.col("key").alias("_key"), F.col("node").alias("hub"))
     pairs = few.join(other, (F.col("key") == F.col("_key")) & (F.col("node") > F.col("hub"))).select("node", "hub").distinct()
