@@ -9,6 +9,7 @@ group of near copies costs no pairs. Equal fingerprints are one from the start.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -131,111 +132,193 @@ def near_duplicates(docs: DataFrame, stage, text: str = "text", key: str = "doc_
     return rows.join(found, F.col("fp") == F.col("_fp")).select(F.col("_key").alias(key), hexadecimal.alias("fingerprint"), "component_id")
 
 
-SIMILARITY, WORDS_IN_SHINGLE = 0.8, 5
-SKETCH, TABLES, TABLE_BITS = 16, 6, 32
-SMALL = 32
-SMALL_REST = 256
+WORDS_IN_SHINGLE = 5
+SAMPLE_DOCS, COMMON, MOST_COMMON = 8_192, 3, 1 << 18
+FILTER_BITS = 26
+FEW = 64
+ODD = 8
 
 
-def _sketches(texts: pa.Array) -> dict[str, pa.Array]:
-    """For each text: the SimHash of its set of words in tables of 32 bits, that of its set of five-word
-    shingles in ``SKETCH`` longs, and the size of the latter set."""
-    seeds = np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    words_fp, shingle_fp, sizes = [], [], []
-
-    def bits(hashes: np.ndarray, many: int) -> np.ndarray:
-        ones = np.zeros(many * BITS, np.int64)
-        for first in range(0, len(hashes), AT_ONCE // 8):
-            part = B.mix(hashes[first : first + AT_ONCE // 8, None] + seeds[:many])
-            ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
+def _shingles(texts: pa.Array) -> Iterator[list[np.ndarray]]:
+    """For each block of texts the set of hashed five-word shingles of each text, in rising order.
 
+    A shorter text has one shingle of all its words; a text without words has none.
+    """
     for block in B.blocks(texts):
         start, end, row = B.words(block)
         word = B.Hasher(B.code(B.lower(block.data))).of(start, end)
         cuts = np.searchsorted(row, np.arange(block.rows + 1))
-        for a, b in zip(cuts, cuts[1:]):
-            mine = word[a:b]
-            size = min(WORDS_IN_SHINGLE, len(mine))
-            shingles = np.unique(B.Hasher(mine).windows(size)) if size else mine
-            words_fp.append(bits(np.unique(mine), TABLES // 2))
-            shingle_fp.append(bits(shingles, SKETCH))
-            sizes.append(len(shingles))
-    words_fp, shingle_fp = np.array(words_fp, np.int64).reshape(-1, TABLES // 2), np.array(shingle_fp, np.int64).reshape(-1, SKETCH)
-    found = {f"w{i}": pa.array(words_fp[:, i]) for i in range(TABLES // 2)}
-    return found | {f"s{i}": pa.array(shingle_fp[:, i]) for i in range(SKETCH)} | {"size": pa.array(sizes, pa.int64())}
-
-
-def _similarity(a: str, b: str) -> Column:
-    """Jaccard similarity of two shingle sets, from the differing bits of their sketches and their sizes."""
-    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    common = F.cos(differ * np.pi / (SKETCH * BITS)) * F.sqrt(F.col(f"{a}.size") * F.col(f"{b}.size"))
-    return common / (F.col(f"{a}.size") + F.col(f"{b}.size") - common)
-
-
-def _table_variants() -> Column:
-    """Each table's 32 bits and all that differ from them in one bit, keyed by table."""
-    parts = []
-    for table in range(TABLES):
-        half = F.shiftright(F.col(f"w{table // 2}"), TABLE_BITS * (table % 2)).bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long"))
-        parts.append(_keyed(_flips(half, list(range(TABLE_BITS))), table))
-    return F.concat(*parts)
+        mine = (word[a:b] for a, b in zip(cuts, cuts[1:]))
+        yield [np.unique(B.Hasher(w).windows(min(WORDS_IN_SHINGLE, len(w)))) if len(w) else w for w in mine]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(B.concat(parts, np.uint64).view(np.int64)))
+
 
+def _node(shingles: np.ndarray) -> int:
+    """A number for a set of shingles; copies have the same one."""
+    with np.errstate(over="ignore"):
+        return int(B.mix(np.array([B.mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))])).view(np.int64)[0])
 
-def _checked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs ``node, hub`` with whether their sketches are similar."""
-    joined = pairs.alias("p").join(nodes.alias("a"), F.col("p.node") == F.col("a.node")).join(nodes.alias("b"), F.col("p.hub") == F.col("b.node"))
-    return joined.select(F.col("p.node").alias("_node"), F.col("p.hub").alias("_hub"), (_similarity("a", "b") >= SIMILARITY).alias("ok"))
 
+def _odd(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, which of ``ODD`` longs' bits are hit by an odd number of its members.
+
+    Two sets differ in at least as many members as bits, so these bits can rule a link out but never a true one.
+    """
+    found = np.zeros((len(sets), ODD * BITS), np.uint8)
+    for i, s in enumerate(sets):
+        found[i] = np.bincount((B.mix(s) % np.uint64(ODD * BITS)).astype(np.int64), minlength=ODD * BITS) & 1
+    return np.packbits(found, axis=1, bitorder="little").view(np.int64).reshape(len(sets), ODD)
 
-def similar_links(nodes: DataFrame, stage) -> DataFrame:
-    """Links ``a, b`` between nodes that share a variant of a table and are similar by their sketches.
 
-    In a bucket of more than ``SMALL`` nodes all are compared with the least one, and those that are not like it
-    with the least of the rest, until the rest has ``SMALL_REST`` nodes or fewer: they are no copies of each other
-    as a rule, so there are few. Within a small bucket or rest all are compared with each other: at most
-    ``SMALL_REST`` comparisons per node and bucket, whatever the size of a group.
+def _prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first fifth of a set and one more, in an order that all sets share: common shingles come last.
+
+    Of two sets with a similarity of 0.8 or more, each has at most a fifth of its members outside the other, so
+    the first member they share is in both prefixes, whatever the order is.
+    """
+    order = shingles >> np.uint64(1)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        order = np.where(common[place] == shingles, rank[place], order)
+    return shingles[np.argsort(order, kind="stable")[: len(shingles) // 5 + 1]]
+
+
+def _common(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a bounded sample of texts often has, in rising order, with their place behind all others."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets in _shingles(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(B.concat(sets, np.uint64).view(np.int64))], ["shingle"])
+
+    part = max(1, -(-read.count() // SAMPLE_DOCS))
+    counts = read.where(F.pmod("_k1", F.lit(part)) == 0).select("_text").mapInArrow(work, "shingle long").groupBy("shingle").count()
+    rows = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()  # at most MOST_COMMON
+    found = np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
+    by_value = np.argsort(found)
+    return found[by_value], by_value.astype(np.uint64) + np.uint64(1 << 63)
+
+
+def _drawn(read: DataFrame) -> DataFrame:
+    """For each row its node, the size of its set and its prefix; a task gives a node's prefix once."""
+    shared = read.sparkSession.sparkContext.broadcast(_common(read))
+    names = [f"m{i}" for i in range(ODD)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            first = 0
+            for sets in _shingles(batch.column(3)):
+                node, prefixes = [_node(s) for s in sets], []
+                for n, s in zip(node, sets):
+                    prefixes.append(s[:0] if n in seen or not len(s) else _prefix(s, *shared.value))
+                    seen.add(n)
+                kept = batch.slice(first, len(sets))
+                found = [pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(prefixes)]
+                found += [pa.array(column) for column in _odd(sets).T]
+                yield pa.RecordBatch.from_arrays([*kept.columns[:3], *found], [*kept.schema.names[:3], "node", "size", "prefix", *names])
+                first += len(sets)
+            batch = kept = None  # else it stays beside the next one
+
+    kind = read.schema["_key"].dataType.simpleString()
+    schema = f"_k1 long, _k2 long, _key {kind}, node long, size long, prefix array<long>, " + ", ".join(f"{n} long" for n in names)
+    return read.select("_k1", "_k2", "_key", "_text").mapInArrow(work, schema)
+
+
+def _sets(read: DataFrame, wanted: DataFrame, stage) -> DataFrame:
+    """The whole shingle sets of the nodes of ``wanted``; a bit table of fixed size keeps most others from being moved."""
+    cells = wanted.select(F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("cell")).distinct().toPandas()["cell"]
+    table = np.zeros(1 << FILTER_BITS, bool)
+    table[cells.to_numpy(np.int64)] = True
+    shared = read.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for sets in _shingles(batch.column(0)):
+                found = []
+                for s in sets:
+                    n = _node(s)
+                    cell = n & ((1 << FILTER_BITS) - 1)
+                    if n not in seen and shared.value[cell >> 3] >> (cell & 7) & 1:
+                        seen.add(n)
+                        found.append((n, s))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), _lists([s for _, s in found])], ["node", "shingles"])
+            batch = None
+
+    sets = read.select("_text").mapInArrow(work, "node long, shingles array<long>")
+    return stage(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``node, hub`` with whether the similarity of their whole sets is 0.8 or more."""
+    a, b = (sets.select(F.col("node").alias(f"_{s}"), F.col("shingles").alias(f"_s{s}")) for s in "ab")
+    joined = pairs.join(a, F.col("node") == F.col("_a")).join(b, F.col("hub") == F.col("_b"))
+    common = F.size(F.array_intersect("_sa", "_sb"))
+    return joined.select("node", "hub", (9 * common >= 4 * (F.size("_sa") + F.size("_sb"))).alias("ok"))
+
+
+def similar_groups(rows: DataFrame, sets: DataFrame, stage) -> DataFrame:
+    """Each node that is not the least of its group with the least one, as ``a, b``.
+
+    ``rows`` are ``key, node, size, at`` (the place in the prefix) and the bits of ``_odd``. Two nodes of a bucket
+    (one key) are compared unless their sizes, bits, or members left behind the key, were it the first they share,
+    rule a link out, or verified links connect them already. In each round the least nodes of a large bucket are compared with all others in it and only then
+    leave it: one node at first, so that a large group of copies becomes one label, later more and more of them.
+    A bucket whose nodes all have one label is done; small ones are compared fully from the second round on.
     """
     same = Window.partitionBy("key")
-    spread = nodes.select("node", F.explode(_table_variants()).alias("key")).distinct()
-    rows = stage(spread.withColumn("_n", F.count("*").over(same)).where("_n > 1"), "shared-variants")
-    links, small = [], [rows.where(f"_n <= {SMALL}")]
-    rows = rows.where(f"_n > {SMALL}")
-    while not rows.isEmpty():
-        met = stage(rows.withColumn("hub", F.min("node").over(same)).where("node <> hub"), "met")
-        checked = stage(_checked(met.select("node", "hub").distinct(), nodes), "checked")
-        links.append(checked.where("ok"))
-        unlike = (F.col("node") == F.col("_node")) & (F.col("hub") == F.col("_hub"))
-        rest = met.join(checked.where("not ok"), unlike, "left_semi").select("key", "node")
-        left = stage(rest.withColumn("_n", F.count("*").over(same)).where("_n > 1"), "unlike")
-        small.append(left.where(f"_n <= {SMALL_REST}"))
-        rows = left.where(f"_n > {SMALL_REST}")
-    few = reduce(DataFrame.unionByName, small).select("key", "node")
-    other = few.select(F.col("key").alias("_key"), F.col("node").alias("hub"))
-    pairs = few.join(other, (F.col("key") == F.col("_key")) & (F.col("node") > F.col("hub"))).select("node", "hub").distinct()
-    links.append(_checked(pairs, nodes).where("ok"))
-    return reduce(DataFrame.unionByName, links).select(F.col("_node").alias("a"), F.col("_hub").alias("b"))
+    links: list[DataFrame] = []
+    checked: list[DataFrame] = []
+    least, leaders, few = None, 1, 2
+    names = ["size", "at", *(f"m{i}" for i in range(ODD))]
+    both = F.col("size") + F.col("_size")
+    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"_m{i}"))) for i in range(ODD)), F.lit(0))
+    fits = (5 * F.least("size", "_size") >= 4 * F.greatest("size", "_size")) & (both >= 9 * differ)
+    fits &= 9 * F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) >= 4 * both
+    unlike = (F.col("key") == F.col("_key")) & (F.col("node") > F.col("hub")) & (F.col("label") != F.col("_label")) & fits
+    while True:
+        label = F.coalesce("b", "node") if least is not None else F.col("node")
+        named = rows.join(least, F.col("node") == F.col("a"), "left") if least is not None else rows
+        named = named.select("key", "node", *names, label.alias("label"))
+        named = named.withColumn("_n", F.count("*").over(same)).withColumn("_low", F.min("label").over(same)).withColumn("_high", F.max("label").over(same))
+        named = named.where("_low <> _high").withColumn("_place", F.row_number().over(same.orderBy("node")))
+        named = stage(named.drop("_low", "_high"), "mixed-buckets")
+        if named.isEmpty():
+            break
+        heads = named.where((F.col("_place") <= leaders) | (F.col("_n") <= few))
+        heads = heads.select("key", F.col("node").alias("hub"), *names, "label").withColumnsRenamed({n: f"_{n}" for n in ("key", "label", *names)})
+        pairs = named.join(heads, unlike).select("node", "hub").distinct()
+        for known in checked:
+            pairs = pairs.join(known, ["node", "hub"], "left_anti")
+        found = stage(_checked(pairs, sets), "checked")
+        links.append(found.where("ok").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        checked.append(found.where("not ok").select("node", "hub"))
+        least = components(reduce(DataFrame.unionByName, links), stage)
+        rows = named.where((F.col("_n") > few) & (F.col("_place") > leaders)).select("key", "node", *names)
+        leaders, few = 8 * leaders, FEW
+    return least if least is not None else rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
 def keep_one(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The document with the least id of each group of near copies, in the columns it came with.
 
-    Near copies share five-word shingles at a similarity of 0.8 or more, measured on sketches of 1,024 bits (the
-    standard error is about 0.03 at 0.8), and are found through six tables of 32 bits on their words, within two
-    bits each. Texts without words are copies of each other. Of rows equal in id and text one stays; a null id is least.
+    Near copies share five-word shingles at a similarity of 0.8 or more; links between them make groups. Candidates
+    share a shingle of their prefixes, which no such pair misses, and the whole sets decide, up to collisions of
+    64-bit hashes. Texts without words are copies of each other. Of rows equal in id and text one stays; a null id is least.
     """
     rows = docs.select("*", *row_key(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
     read = rows.select("_k1", "_k2", F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    names = [f"s{i}" for i in range(SKETCH)]
-    schema = ", ".join(f"{n} long" for n in [*(f"w{i}" for i in range(TABLES // 2)), *names, "size"])
-
-    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return _sketches(batch.column(batch.schema.get_field_index("_text")))
-
-    drawn = stage(map_batches(read, work, schema, ["_k1", "_k2", "_key"]).withColumn("node", F.xxhash64(*names, "size")), "sketches")
-    fixed = [F.min(c).alias(c) for c in [*(f"w{i}" for i in range(TABLES // 2)), *names, "size"]]
-    nodes = stage(drawn.groupBy("node").agg(*fixed, F.min(F.struct("_key", "_k1", "_k2")).alias("first")), "sketch-nodes")
-    least = components(similar_links(nodes, stage), stage)
+    drawn = stage(_drawn(read), "prefixes")
+    nodes = stage(drawn.groupBy("node").agg(F.min(F.struct("_key", "_k1", "_k2")).alias("first")), "shingle-nodes")
+    keys = drawn.select("node", "size", *(f"m{i}" for i in range(ODD)), F.posexplode("prefix").alias("at", "key")).repartition("key").dropDuplicates(["key", "node"])
+    shared = stage(keys.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).where("_n > 1").drop("_n"), "shared-shingles")
+    least = similar_groups(shared, _sets(read, shared.select("node").distinct(), stage), stage)
     named = nodes.select("node", "first").join(least, F.col("node") == F.col("a"), "left").withColumn("group", F.coalesce("b", "node"))
     chosen = named.groupBy("group").agg(F.min("first").alias("f")).select(F.col("f._k1").alias("_c1"), F.col("f._k2").alias("_c2"))
     chosen = stage(chosen.distinct(), "chosen")

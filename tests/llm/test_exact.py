@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -165,6 +166,42 @@ def test_one_of_each_group_stays(docs, empty):
     assert simhash.keep_one(empty, stage).count() == 0
 
 
+def least_of_groups(texts):
+    """The least place of each group that links of similarity 0.8 or more on five-word shingles make, by brute force."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(words, texts)]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+    return {root(i) for i in range(len(texts))}
+
+
+def kept_places(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in simhash.keep_one(rows, stage).collect()}
+
+
+def test_no_link_is_lost_in_a_large_bucket(spark):
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    chains = []
+    for _ in range(3):
+        text = [r.choice(vocab) for _ in range(90)]
+        for _ in range(50):
+            chains.append(" ".join(text))
+            for _ in range(r.randint(1, 3)):
+                text[r.randrange(30, 90)] = r.choice(vocab)
+    r.shuffle(chains)
+    assert kept_places(spark, chains) == least_of_groups(chains)
+
+
 def test_scores(docs, empty, monkeypatch):
     monkeypatch.setattr(interpolated_lm, "CHUNK_BYTES", 3_000)
     rows = docs.collect()
