@@ -202,6 +202,20 @@ def test_no_link_is_lost_in_a_large_bucket(spark):
     assert kept_places(spark, chains) == least_of_groups(chains)
 
 
+def test_whole_sets_decide_near_the_threshold(spark):
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    pairs = []
+    for n in range(60):
+        text = [r.choice(vocab) for _ in range(100)]
+        edited = text[:]
+        for place in r.sample(range(5, 95, 8), 2 + n % 2):
+            edited[place] = "NEW"
+        pairs += [" ".join(text), " ".join(edited)]
+    expected = least_of_groups(pairs)
+    assert 60 < len(expected) < 120 and kept_places(spark, pairs) == expected
+
+
 def test_scores(docs, empty, monkeypatch):
     monkeypatch.setattr(interpolated_lm, "CHUNK_BYTES", 3_000)
     rows = docs.collect()
