@@ -73,6 +73,13 @@ def test_quality_counts(spark, docs, empty):
     assert quality_rules.quality_report(empty, stage).count() == 0
 
 
+def test_the_band_ends_at_the_outer_fence(spark):
+    rows = [("en", 2 + i / 100, False) for i in range(101)] + [("en", x, False) for x in (0.4, 0.8, 4.2, 4.6)]
+    measured = spark.createDataFrame(rows, "_lang string, log_perplexity double, base_failed boolean")
+    out = quality_rules.judged(measured, quality_rules.bands(measured)).where("not kept").collect()
+    assert sorted(r["log_perplexity"] for r in out) == [0.4, 4.6]
+
+
 def test_kneser_ney_is_a_distribution(docs):
     model = quality_rules.fit(quality_rules.packed(docs, "text"))
     chances = [math.fsum(math.e ** x for x in row) for row in model.dense().reshape(-1, quality_rules.SYMBOLS)[:200]]
