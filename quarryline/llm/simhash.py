@@ -263,11 +263,19 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("node", "hub", (9 * common >= 4 * (F.size("_sa") + F.size("_sb"))).alias("ok"))
 
 
-def similar_groups(rows: DataFrame, sets: DataFrame, stage) -> DataFrame:
+def _possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs whose bits of ``_odd`` do not rule out a similarity of 0.8."""
+    a, b = (bits.select(*(F.col(c).alias(f"{s}_{c}") for c in bits.columns)) for s in "ab")
+    joined = pairs.join(a, F.col("node") == F.col("a_node")).join(b, F.col("hub") == F.col("b_node"))
+    differ = sum((F.bit_count(F.col(f"a_m{i}").bitwiseXOR(F.col(f"b_m{i}"))) for i in range(ODD)), F.lit(0))
+    return joined.where(F.col("a_size") + F.col("b_size") >= 9 * differ).select("node", "hub")
+
+
+def similar_groups(rows: DataFrame, bits: DataFrame, read: DataFrame, stage) -> DataFrame:
     """Each node that is not the least of its group with the least one, as ``a, b``.
 
-    ``rows`` are ``key, node, size, at`` (the place in the prefix) and the bits of ``_odd``. Two nodes of a bucket
-    (one key) are compared unless their sizes, bits, or members left behind the key, were it the first they share,
+    ``rows`` are ``key, node, size, at`` (the place in the prefix); ``bits`` those of ``_odd`` by node. Two nodes of a
+    bucket (one key) are compared unless their sizes, bits, or members left behind the key, were it the first they share,
     rule a link out, or verified links connect them already. In each round the least nodes of a large bucket are compared with all others in it and only then
     leave it: one node at first, so that a large group of copies becomes one label, later more and more of them.
     A bucket whose nodes all have one label is done; small ones are compared fully from the second round on.
@@ -276,10 +284,9 @@ def similar_groups(rows: DataFrame, sets: DataFrame, stage) -> DataFrame:
     links: list[DataFrame] = []
     checked: list[DataFrame] = []
     least, leaders, few = None, 1, 2
-    names = ["size", "at", *(f"m{i}" for i in range(ODD))]
+    names = ["size", "at"]
     both = F.col("size") + F.col("_size")
-    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"_m{i}"))) for i in range(ODD)), F.lit(0))
-    fits = (5 * F.least("size", "_size") >= 4 * F.greatest("size", "_size")) & (both >= 9 * differ)
+    fits = 5 * F.least("size", "_size") >= 4 * F.greatest("size", "_size")
     fits &= 9 * F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) >= 4 * both
     unlike = (F.col("key") == F.col("_key")) & (F.col("node") > F.col("hub")) & (F.col("label") != F.col("_label")) & fits
     while True:
@@ -296,7 +303,9 @@ def similar_groups(rows: DataFrame, sets: DataFrame, stage) -> DataFrame:
         pairs = named.join(heads, unlike).select("node", "hub").distinct()
         for known in checked:
             pairs = pairs.join(known, ["node", "hub"], "left_anti")
-        found = stage(_checked(pairs, sets), "checked")
+        pairs = stage(_possible(pairs, bits), "pairs")
+        wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
+        found = stage(_checked(pairs, _sets(read, wanted, stage)), "checked")
         links.append(found.where("ok").select(F.col("node").alias("a"), F.col("hub").alias("b")))
         checked.append(found.where("not ok").select("node", "hub"))
         least = components(reduce(DataFrame.unionByName, links), stage)
@@ -314,11 +323,12 @@ def keep_one(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") ->
     """
     rows = docs.select("*", *row_key(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
     read = rows.select("_k1", "_k2", F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    bits = ["size", *(f"m{i}" for i in range(ODD))]
     drawn = stage(_drawn(read), "prefixes")
-    nodes = stage(drawn.groupBy("node").agg(F.min(F.struct("_key", "_k1", "_k2")).alias("first")), "shingle-nodes")
-    keys = drawn.select("node", "size", *(f"m{i}" for i in range(ODD)), F.posexplode("prefix").alias("at", "key")).repartition("key").dropDuplicates(["key", "node"])
+    nodes = stage(drawn.groupBy("node").agg(F.min(F.struct("_key", "_k1", "_k2")).alias("first"), *(F.min(n).alias(n) for n in bits)), "shingle-nodes")
+    keys = drawn.select("node", "size", F.posexplode("prefix").alias("at", "key")).repartition("key").dropDuplicates(["key", "node"])
     shared = stage(keys.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).where("_n > 1").drop("_n"), "shared-shingles")
-    least = similar_groups(shared, _sets(read, shared.select("node").distinct(), stage), stage)
+    least = similar_groups(shared, nodes.select("node", *bits), read, stage)
     named = nodes.select("node", "first").join(least, F.col("node") == F.col("a"), "left").withColumn("group", F.coalesce("b", "node"))
     chosen = named.groupBy("group").agg(F.min("first").alias("f")).select(F.col("f._k1").alias("_c1"), F.col("f._k2").alias("_c2"))
     chosen = stage(chosen.distinct(), "chosen")
