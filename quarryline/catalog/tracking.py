@@ -28,7 +28,7 @@ def _run_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(name,) for name in [*RUNS, "run9"]], "run string")
 
 
-def _phases(spark: SparkSession) -> DataFrame:
+def run_phases(spark: SparkSession) -> DataFrame:
     specs = [(name, f"edu-{name}", [f"{name}x{i}" for i in range(3)], "host-a", [f"{name}-{i}" for i in range(3)], "filtered") for name in RUNS]
     return logs.run_phases(spark.createDataFrame(specs, logs.SPEC_SCHEMA))
 
@@ -37,13 +37,13 @@ def run_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "logs")
     lines = run_lines(spark, sf_dir).withColumn("folder", F.concat_ws("-", "run", F.col("phase_no").cast("string")))
     (
-        lines.repartitionByRange(4, "folder", "seq")
+        lines.repartitionByRange("folder", "seq")  # as many files as the lines need, in order
         .sortWithinPartitions("folder", "seq")
         .select("folder", "line")
         .write.partitionBy("folder")
         .text(path)
     )
-    scanned = logs.run_log_scan(spark, path, _phases(spark), "*.txt", r"folder=([^/]+)/")
+    scanned = logs.run_log_scan(spark, path, run_phases(spark), "*.txt", r"folder=([^/]+)/")
     numbered = order.blocked_index(scanned, ["run", "phase_no"], ["block"], ["seq"], "line_no")
     return numbered.select("run", "phase_no", "line_no", "line")
 
@@ -97,7 +97,7 @@ def run_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("startedAt"), (F.count("*") % 8 + 1).cast("int").alias("gpu_count"))
         .withColumn("gpu", F.lit("H100"))
     )
-    return runs.run_registry(_phases(spark), metadata, URL)
+    return runs.run_registry(run_phases(spark), metadata, URL)
 
 
 def milestone_compare(spark: SparkSession, sf_dir: str) -> DataFrame:

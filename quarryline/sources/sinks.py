@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.keys import column_names, key_struct, sort_columns, with_bucket
@@ -60,27 +63,67 @@ def write_sharded(
 ) -> str:
     """Write one zstd Parquet file per shard, rows in order, and publish it as the current version.
 
-    Shards are folders ``shard=shard_00012`` below the returned version folder. Every shard holds
+    Shards are files ``shard_00012.parquet`` in the returned version folder, with the wanted columns only. Every shard holds
     ``rows_per_shard`` rows but the last. Earlier versions stay until someone removes them.
     """
-    columns = columns or df.columns
     version = f"{path}/version-{uuid.uuid4().hex}"
+    placed = with_shards(df, order, rows_per_shard, rows_per_task).sortWithinPartitions("shard_id", "row_in_shard")
+    write_shard_files(placed, version, columns or df.columns)
+    publish(df.sparkSession, path, version)
+    return version
+
+
+#: Renames in flight at once; each is one call to the file system.
+RENAMES_AT_ONCE = 32
+# Fixed value: the name of a shard's file.
+SHARD_FILE = "shard_{:05d}.parquet"
+
+
+def write_shard_files(placed: DataFrame, folder: str, columns: list[str], place: Callable[[int], str] = lambda shard: "") -> int:
+    """Write rows that stand in tasks of whole shards, sorted by ``shard_id``, as flat files; the number of files.
+
+    Spark's committer writes each task's files below ``_parts`` and keeps those of one attempt per task. Then every file gets its name
+    in ``folder``, or the folder below it that ``place`` gives for the shard. Nobody looks there before the caller's marker, so a
+    driver that is lost meanwhile leaves an unnamed folder and no half version.
+    """
+    spark, parts = placed.sparkSession, f"{folder}/_parts"
     (
-        with_shards(df, order, rows_per_shard, rows_per_task)
-        .withColumn("shard", F.format_string("shard_%05d", "shard_id"))
-        .select("shard", "shard_id", "row_in_shard", *columns)
-        .sortWithinPartitions("shard", "row_in_shard")
-        .write.partitionBy("shard")
+        placed.withColumn("_shard", F.col("shard_id"))
+        .select("_shard", *columns)
+        .write.partitionBy("_shard")
         .option("compression", "zstd")
-        .parquet(version)
+        .parquet(parts)
     )
-    publish(df.sparkSession, path, version)
-    return version
+    root, fs = _file_system(spark, parts)
+    jvm, found, listing = spark.sparkContext._jvm, {}, fs.listFiles(root, True)
+    while listing.hasNext():
+        source = listing.next().getPath()
+        number = re.search(r"/_shard=(\d+)/[^/]*\.parquet$", source.toString())
+        if number and found.setdefault(int(number[1]), source) is not source:
+            raise RuntimeError(f"two tasks wrote shard {number[1]}: the rows were not placed by shard")
+    for below in sorted({place(shard) for shard in found}):
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{folder}/{below}"))
+
+    def rename(shard: int) -> None:
+        target = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (folder, place(shard), SHARD_FILE.format(shard)) if x))
+        if not fs.rename(found[shard], target):
+            raise RuntimeError(f"could not rename {found[shard].toString()} to {target.toString()}")
+
+    with ThreadPoolExecutor(RENAMES_AT_ONCE) as pool:
+        list(pool.map(rename, sorted(found)))
+    return len(found)
+
+
+def shard_columns() -> list[Column]:
+    """A row's shard and place in it, from the file it was read from."""
+    name = F.regexp_extract("_metadata.file_name", r"^(shard_(\d+))\.parquet$", 1)
+    number = F.regexp_extract("_metadata.file_name", r"^(shard_(\d+))\.parquet$", 2).cast("bigint")
+    return [name.alias("shard"), number.alias("shard_id"), F.col("_metadata.row_index").alias("row_in_shard")]
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a sharded dataset."""
-    return spark.read.parquet(current_version(spark, path))
+    """The current version of a sharded dataset, with each row's ``shard``, ``shard_id`` and ``row_in_shard``."""
+    return spark.read.parquet(current_version(spark, path)).select(*shard_columns(), "*")
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -92,18 +135,35 @@ def _file_system(spark: SparkSession, path: str):
 def publish(spark: SparkSession, path: str, version: str) -> None:
     """Name a finished version as current by adding a numbered marker; readers take the highest."""
     number = _last_marker(spark, path) + 1
-    marker, fs = _file_system(spark, f"{path}/_current-{number:08d}")
+    write_marker(spark, f"{path}/_current-{number:08d}", version.rsplit("/", 1)[1])
+
+
+def write_marker(spark: SparkSession, file: str, content: str) -> None:
+    """A small file that must not be there yet."""
+    marker, fs = _file_system(spark, file)
     stream = fs.create(marker, False)
-    stream.write(bytearray(version.rsplit("/", 1)[1], "utf-8"))
+    stream.write(bytearray(content, "utf-8"))
+    stream.close()
+
+
+def read_marker(spark: SparkSession, file: str) -> str:
+    marker, fs = _file_system(spark, file)
+    stream = fs.open(marker)
+    content = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
+    return content
+
+
+def markers(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Names of the marker files below a folder that may not exist, in order."""
+    target, fs = _file_system(spark, folder)
+    if not fs.exists(target):
+        return []
+    return sorted(n for n in (status.getPath().getName() for status in fs.listStatus(target)) if n.startswith(prefix))
 
 
 def _last_marker(spark: SparkSession, path: str) -> int:
-    folder, fs = _file_system(spark, path)
-    if not fs.exists(folder):
-        return 0
-    names = [status.getPath().getName() for status in fs.listStatus(folder)]
-    return max((int(n.removeprefix("_current-")) for n in names if n.startswith("_current-")), default=0)
+    return max((int(n.removeprefix("_current-")) for n in markers(spark, path, "_current-")), default=0)
 
 
 def published(spark: SparkSession, path: str) -> str:
@@ -115,11 +175,7 @@ def current_version(spark: SparkSession, path: str) -> str:
     number = _last_marker(spark, path)
     if number == 0:
         raise FileNotFoundError(f"nothing published under {path}")
-    marker, fs = _file_system(spark, f"{path}/_current-{number:08d}")
-    stream = fs.open(marker)
-    name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
-    return f"{path}/{name}"
+    return f"{path}/{read_marker(spark, f'{path}/_current-{number:08d}')}"
 
 
 ROWS_PER_RESULT_FILE = 100_000

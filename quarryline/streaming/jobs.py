@@ -6,14 +6,24 @@ since its checkpoint and stops. Starting it again picks up where it left off.
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarryline.operators.manifests import percent
 from quarryline.operators.quality import drop_blank_text
 from quarryline.operators.runs import milestones, parse_log
 from quarryline.operators.sampling import hash_sample
+from quarryline.session import stage
+from quarryline.sources import sinks
+from quarryline.sources.sinks import ROWS_PER_SHARD
 
 
 def stream_folder(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -27,18 +37,94 @@ def stream_folder(spark: SparkSession, path: str, schema, pattern: str = "*.parq
 
 
 def stream_sample_ingest(
-    source: DataFrame, key: Column, ratio: float, output: str, checkpoint: str, seed: int = 42, text: str = "text"
+    source: DataFrame,
+    key: Column,
+    ratio: float,
+    output: str,
+    checkpoint: str,
+    seed: int = 42,
+    text: str = "text",
+    rows_per_shard: int = ROWS_PER_SHARD,
 ) -> StreamingQuery:
-    """Blank filter and hash sample of arriving rows into Parquet; equals the batch sample of the same rows."""
-    kept = hash_sample(drop_blank_text(source, text), key, ratio, seed)
-    return (
-        kept.writeStream.format("parquet")
-        .option("path", output)
-        .option("checkpointLocation", checkpoint)
-        .option("compression", "zstd")
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Blank filter and hash sample of arriving rows into shards of a fixed size; equals the batch sample of the same rows."""
+    return stream_shards(hash_sample(drop_blank_text(source, text), key, ratio, seed), output, checkpoint, rows_per_shard)
+
+
+_COMMIT = "_batch-"
+# monotonically_increasing_id: the task above these bits, the row within it below.
+_TASK_BITS = 33
+
+
+@dataclass(frozen=True)
+class _Progress:
+    """What the batches so far have written."""
+
+    rows: int = 0
+    folders: tuple[str, ...] = ()
+    tail: str = ""
+
+    @classmethod
+    def read(cls, spark: SparkSession, output: str, before: int | None = None) -> _Progress:
+        """The state after the last batch, or after the last one with a smaller number."""
+        names = [n for n in sinks.markers(spark, output, _COMMIT) if before is None or int(n.removeprefix(_COMMIT)) < before]
+        if not names:
+            return cls()
+        last = json.loads(sinks.read_marker(spark, f"{output}/{names[-1]}"))
+        return cls(last["rows"], tuple(last["folders"]), last["tail"])
+
+
+def stream_shards(rows: DataFrame, output: str, checkpoint: str, rows_per_shard: int = ROWS_PER_SHARD) -> StreamingQuery:
+    """Arriving rows as files ``shard_00012.parquet`` of exactly ``rows_per_shard`` rows; the last one may be shorter.
+
+    The row count and the short last shard are carried from batch to batch in a marker per batch, written when
+    its shards stand. A batch continues the numbering of the markers before it. One that Spark repeats finds its own marker
+    and does nothing, or finds none and writes a folder of its own again, so every row is in one shard however often the job
+    stops. Files of other shards are never rewritten; read the result with :func:`read_stream_shards`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, marker = batch.sparkSession, f"{_COMMIT}{batch_id:012d}"
+        if marker in sinks.markers(spark, output, marker):
+            return
+        done = _Progress.read(spark, output, batch_id)
+        arrived = stage(batch.withColumn("_n", F.monotonically_increasing_id()), "arrived")
+        by_task = arrived.groupBy(F.shiftright("_n", _TASK_BITS).alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()
+        total = done.rows + sum(t["n"] for t in by_task)
+        first, whole = done.rows // rows_per_shard, total // rows_per_shard
+        progress = {"rows": total, "folders": list(done.folders), "tail": done.tail}
+        if total > done.rows:
+            start, starts = done.rows, []
+            for t in by_task:
+                starts.append((t["task"], start))
+                start += t["n"]
+            offsets = F.create_map(*(F.lit(x).cast("bigint") for pair in starts for x in pair))
+            ranked = arrived.withColumn("_rank", F.element_at(offsets, F.shiftright("_n", _TASK_BITS)) + F.col("_n").bitwiseAND((1 << _TASK_BITS) - 1)).drop("_n")
+            if done.tail:
+                tail = spark.read.schema(batch.schema).parquet(done.tail).select("*", (F.lit(first * rows_per_shard) + F.col("_metadata.row_index")).alias("_rank"))
+                ranked = tail.unionByName(ranked)
+            shards = -(-total // rows_per_shard) - first
+            per_task = max(1, sinks.ROWS_PER_TASK // rows_per_shard, -(-shards // sinks.MAX_BUCKETS))
+            placed = (
+                ranked.withColumn("shard_id", F.expr(f"_rank div {int(rows_per_shard)}"))
+                .repartitionById(-(-shards // per_task), F.expr(f"(shard_id - {first}) div {per_task}").cast("int"))
+                .sortWithinPartitions("shard_id", "_rank")
+            )
+            folder = f"{output}/{marker.removeprefix('_')}-{uuid.uuid4().hex}"
+            sinks.write_shard_files(placed, folder, batch.columns, lambda shard: "whole" if shard < whole else "tail")
+            progress["folders"] += [f"{folder}/whole"] if whole > first else []
+            progress["tail"] = f"{folder}/tail" if total % rows_per_shard else ""
+        sinks.write_marker(spark, f"{output}/{marker}", json.dumps(progress))
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_stream_shards(spark: SparkSession, output: str) -> DataFrame:
+    """All shards that finished batches have written, with ``shard``, ``shard_id`` and ``row_in_shard``."""
+    done = _Progress.read(spark, output)
+    paths = [*done.folders, *([done.tail] if done.tail else [])]
+    if not paths:
+        raise FileNotFoundError(f"no finished batch with rows under {output}")
+    return spark.read.parquet(*paths).select(*sinks.shard_columns(), "*")
 
 
 def _write_snapshots(result: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
@@ -55,34 +141,93 @@ def _write_snapshots(result: DataFrame, output: str, checkpoint: str) -> Streami
     )
 
 
-def latest_snapshot(spark: SparkSession, output: str) -> DataFrame:
-    """The result of the newest batch written by a snapshot job."""
+def _snapshots(spark: SparkSession, output: str, before: int | None = None) -> list[str]:
+    """Folders of finished batches in order, up to the one before a batch."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(output)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
     batches = sorted(s.getPath().toString() for s in fs.listStatus(folder) if "batch=" in s.getPath().getName())
-    finished = [b for b in batches if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{b}/_SUCCESS"))]
-    return spark.read.parquet(finished[-1])
+    if before is not None:
+        batches = [b for b in batches if int(b.rpartition("=")[2]) < before]
+    return [b for b in batches if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{b}/_SUCCESS"))]
+
+
+def latest_snapshot(spark: SparkSession, output: str) -> DataFrame:
+    """The result of the newest batch written by a snapshot job."""
+    return spark.read.parquet(_snapshots(spark, output)[-1])
 
 
 def stream_milestones(lines: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """The milestone table of all log lines so far; the state is one row per (run, step)."""
+    """The milestone table of all log lines so far; the state is one row per (run, step).
+
+    ``lines`` may come from a folder of new files or from logs that grow (:func:`quarryline.streaming.tail.tail_logs`).
+    """
     return _write_snapshots(milestones(parse_log(lines)), output, checkpoint)
 
 
-def stream_transfer_progress(arrived: DataFrame, manifest: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Files and bytes per worker so far; a file seen twice counts once.
+#: How long a finished file is remembered after it was last seen.
+KEEP_FINISHED_DAYS = 30
+_CHANGE = "worker bigint, files bigint, bytes bigint"
 
-    ``arrived`` has ``name, length``, ``manifest`` ``name, worker, length``. Files the manifest lacks
-    are left out.
+
+def _largest_size(keep_ms: int):
+    """Per file name: what a batch adds to the counts of its worker.
+
+    The largest size wins, so a file listed while it grows, or listed again, or out of turn, counts once with its full size. A
+    growing file stays in the state. A finished one, as long as the manifest says, is forgotten when it has not been
+    seen for a while: every sighting starts the time anew, so what is still listed is never counted twice.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else None
+        largest, worker, whole = before or 0, None, None
+        for frame in frames:
+            worker, whole = frame["worker"].iloc[0], frame["whole"].iloc[0]
+            largest = max(largest, int(frame["length"].fillna(0).max()))
+        state.update((largest,))
+        if not pd.isna(whole) and largest >= whole:
+            state.setTimeoutDuration(keep_ms)
+        if before is None or largest > before:
+            yield pd.DataFrame({"worker": [worker], "files": [int(before is None)], "bytes": [largest - (before or 0)]})
+
+    return update
+
+
+def stream_transfer_progress(
+    arrived: DataFrame, manifest: DataFrame, output: str, checkpoint: str, keep_finished_days: float = KEEP_FINISHED_DAYS
+) -> StreamingQuery:
+    """Files and bytes per worker so far; a file seen again counts once, with the largest size it was seen with.
+
+    ``arrived`` has ``name, length``, ``manifest`` ``name, worker, length``. Files the manifest lacks are left out, so the state is at most
+    one size per file of the manifest. The manifest is written once when the job starts, not computed for every batch. Each
+    batch adds its changes to the totals of the batch before, which stand in that batch's folder.
     """
-    progress = (
-        arrived.select("name", "length")
-        .dropDuplicates(["name"])
-        .join(manifest.select("name", "worker"), "name")
-        .groupBy("worker")
-        .agg(F.count("*").alias("files"), F.sum("length").cast("bigint").alias("bytes"))
+    spark = arrived.sparkSession
+    parts = stage(manifest.groupBy("name").agg(F.max("worker").cast("bigint").alias("worker"), F.max("length").cast("bigint").alias("whole")), "manifest")
+    listed = arrived.select("name", F.col("length").cast("bigint").alias("length")).join(parts, "name")
+    keep_ms = max(1, int(keep_finished_days * 86_400_000))
+    changes = listed.groupBy("name").applyInPandasWithState(
+        _largest_size(keep_ms), _CHANGE, "length bigint", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
-    return _write_snapshots(progress, output, checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = _snapshots(spark, output, batch_id)
+        totals = batch.unionByName(spark.read.schema(batch.schema).parquet(earlier[-1])) if earlier else batch
+        totals = totals.groupBy("worker").agg(F.sum("files").cast("bigint").alias("files"), F.sum("bytes").cast("bigint").alias("bytes"))
+        totals.write.mode("overwrite").parquet(f"{output}/batch={batch_id:012d}")
+
+    # With timeouts by the clock, empty batches would follow each other for ever: what has timed out goes with the next arrivals.
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")  # the query keeps the settings it starts with
+    try:
+        return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
 
 
 def progress_report(snapshot: DataFrame, manifest: DataFrame) -> DataFrame:
