@@ -41,7 +41,7 @@ def own_failures(text: Column) -> Column:
     return bits
 
 
-def later_copies(rows: DataFrame) -> DataFrame:
+def later_copies(rows: DataFrame, stage) -> DataFrame:
     """The ``rows`` (``doc_id``, ``h``, ``text``) whose text a smaller id has as well.
 
     Hashes that occur once need no text: only texts behind a repeated hash are moved. Each of them meets one row, the
@@ -51,7 +51,8 @@ def later_copies(rows: DataFrame) -> DataFrame:
     if again.count() <= BROADCAST_HASHES:
         again = F.broadcast(again)
     suspects = rows.join(again, "h", "left_semi")
-    least = suspects.groupBy("h", "text").agg(F.min("doc_id").alias("least")).select(F.col("h").alias("_h"), F.col("text").alias("_text"), "least")
+    # Written, as Spark splits a skewed join only where both sides come straight from a shuffle.
+    least = stage(suspects.groupBy("h", "text").agg(F.min("doc_id").alias("least")).select(F.col("h").alias("_h"), F.col("text").alias("_text"), "least"), "least-ids")
     same = (F.col("h") == F.col("_h")) & (F.col("text") == F.col("_text")) & (F.col("least") < F.col("doc_id"))
     return suspects.join(least, same, "left_semi")
 
@@ -67,7 +68,7 @@ def combinations(docs: DataFrame, labels: DataFrame, stage) -> DataFrame:
     text = F.coalesce("_text", F.lit(""))
     rows = texts.select(F.coalesce(F.col("_row.lang").cast("string"), F.lit("")).alias("part"), F.col("_row.doc_id").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     own = stage(rows.select("part", "doc_id", "h", own_failures(F.col("text")).alias("bits")), "own-failures")
-    later = later_copies(rows.select("doc_id", "h", "text")).select("doc_id", "h").distinct()
+    later = later_copies(rows.select("doc_id", "h", "text"), stage).select("doc_id", "h").distinct()
     every = own.groupBy("part", "doc_id", "h", "bits").agg(F.count("*").alias("n"))
     marks = later.select(F.lit(None).cast("string").alias("part"), "doc_id", "h", F.lit(BITS["E"]).alias("bits"), F.lit(0).cast("long").alias("n"))
     by_id = (
