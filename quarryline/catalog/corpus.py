@@ -21,7 +21,7 @@ from quarryline.catalog.tables import (
 )
 from quarryline.operators import manifests, order, placement, quality, sampling
 from quarryline.session import new_folder
-from quarryline.sources import corpus, files, sinks
+from quarryline.sources import corpus, files, listing, sinks
 
 PERCENT = 16.5
 BUDGET = 1_050_000
@@ -38,6 +38,31 @@ def scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DOCS_PER_FILE = 250
+
+
+def _document_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as a corpus of several files and folders, whose names follow the ids."""
+    path = new_folder(spark, "corpus")
+    rows = table(spark, sf_dir, "documents").withColumn("folder", F.format_string("%06d", F.floor(F.col("doc_id") / DOCS_PER_FILE)))
+    rows.repartitionByRange("folder", "doc_id").sortWithinPartitions("folder", "doc_id").write.partitionBy("folder").parquet(path)
+    return path
+
+
+def scan_corpus_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole folder of files, and the files of one prefix up to the second name."""
+    path = _document_files(spark, sf_dir)
+    columns = ["doc_id", "lang", "source", "n_chars"]
+    whole = corpus.scan_corpus(spark, path).select(F.lit("whole").alias("scan"), *columns)
+    return whole.unionByName(corpus.scan_corpus(spark, path, prefix="folder=00000").select(F.lit("prefix").alias("scan"), *columns))
+
+
+def multi_config_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places through all files of a config."""
+    rows = corpus.multi_config_scan(spark, {"docs": _document_files(spark, sf_dir), "web": f"{sf_dir}/pages.parquet"}, {"docs": "text", "web": "html"})
+    return rows.select("config", "source_row", F.md5("text").alias("text_md5"))
+
+
 def union_by_name_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = corpus.union_by_name_scan(spark, [f"{sf_dir}/documents.parquet", f"{sf_dir}/conversations.parquet"])
     return merged.select("doc_id", "lang", "source", "n_chars", "conv_id", "turn", "role", F.md5("text").alias("text_md5"))
@@ -70,8 +95,12 @@ def multi_config_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = files.file_manifest(spark, sf_dir, "*.parquet").withColumn("prefix", F.substring("name", 1, 1))
-    return files.manifest_summary(listing, ["prefix"])
+    """Files and bytes per prefix of a store of text objects, listed by executors."""
+    path = new_folder(spark, "objects")
+    objects = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 3).alias("part"), "text")
+    objects.repartition("source", "part").write.partitionBy("source", "part").text(path)
+    found = listing.list_files(spark, path, "*.txt").withColumn("prefix", F.regexp_extract("path", "/source=([^/]+)/", 1))
+    return files.manifest_summary(found, ["prefix"])
 
 
 def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +235,7 @@ def worker_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_corpus, union_by_name_scan, drop_heavy_columns, width_saved, empty_file_audit, multi_config_scan, file_manifest,
+        scan_corpus, scan_corpus_folder, multi_config_positions, union_by_name_scan, drop_heavy_columns, width_saved, empty_file_audit, multi_config_scan, file_manifest,
         manifest_summary, pointer_manifest, composite_score, resolve_text_column, drop_blank_text, quality_profile,
         score_profile, global_rank, running_total, horizon_prefix, tokenizer_sample, sort_by_quality, top_percent,
         top_percent_lines, rank_thresholds, first_n, shard_assignment, write_sharded, incremental_ingest, ingest_counts,
@@ -223,6 +252,15 @@ _LINE_BEST = "ORDER BY score DESC, l_orderkey, l_partkey, l_suppkey, l_linenumbe
 
 ORACLE = {
     "scan_corpus": "SELECT doc_id, lang, source, n_chars, length(text) AS chars FROM documents",
+    "scan_corpus_folder": f"""
+      SELECT 'whole' AS scan, doc_id, lang, source, n_chars FROM documents
+      UNION ALL SELECT 'prefix', doc_id, lang, source, n_chars FROM documents WHERE doc_id // {DOCS_PER_FILE} < 10""",
+    "multi_config_positions": """
+      SELECT 'docs' AS config, row_number() OVER (ORDER BY doc_id) - 1 AS source_row, md5(text) AS text_md5 FROM documents
+      UNION ALL SELECT 'web', row_number() OVER (ORDER BY page_id) - 1, md5(html) FROM pages""",
+    "file_manifest": """
+      SELECT source AS prefix, count(DISTINCT doc_id % 3) AS files, sum(strlen(text) + 1)::BIGINT AS bytes,
+        round(sum(strlen(text) + 1)::BIGINT / 1073741824::DOUBLE, 6) AS gib FROM documents GROUP BY source""",
     "union_by_name_scan": """
       SELECT doc_id, lang, source, n_chars, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, NULL::VARCHAR AS role, md5(text) AS text_md5 FROM documents
       UNION ALL SELECT NULL, NULL, NULL, NULL, conv_id, turn, role, md5(text) FROM conversations""",

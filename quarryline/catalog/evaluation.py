@@ -11,6 +11,8 @@ from quarryline.operators import mcq, scoring
 from quarryline.operators.lookup import lookup
 from quarryline.session import new_folder, spread, stage
 from quarryline.sources import benchmarks, sinks
+from quarryline.sources.corpus import union_by_name
+from quarryline.sources.json_lists import WRAPPERS
 
 K = 3
 SEEDS = [0, 1, 2]
@@ -29,19 +31,29 @@ def normalize_mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ITEMS_PER_FILE = 64
+
+
 def mcq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark in all forms a file may have: CSV, JSON lines, and JSON lists, bare or under one of two names."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"))
     path = new_folder(spark, "benchmark")
     items.write.csv(f"{path}/csv", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     items.write.json(f"{path}/jsonl")
-    frames = [
-        benchmarks.mcq_scan(spark, f"{path}/{fmt}", fmt).select(F.lit(fmt).alias("format"), "id", "question")
-        for fmt in ("csv", "jsonl")
-    ]
-    return frames[0].unionByName(frames[1])
+    listed = items.groupBy(F.floor(F.col("id").cast("bigint") / ITEMS_PER_FILE).alias("file")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("id", "question"))), ",\n"), F.lit("]")).alias("list")
+    )
+    forms = {"list": F.col("list")}
+    forms |= {name: F.concat(F.lit(f'{{"{name}": '), "list", F.lit("}")) for name in WRAPPERS}
+    for name, text in forms.items():
+        listed.select("file", text.alias("value")).write.partitionBy("file").text(f"{path}/{name}")
+    formats = {"csv": "csv", "jsonl": "jsonl", **dict.fromkeys(forms, "json")}
+    return union_by_name([
+        benchmarks.mcq_scan(spark, f"{path}/{name}", fmt).select(F.lit(name).alias("format"), "id", "question") for name, fmt in formats.items()
+    ])
 
 
-def combine_category_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "documents").select(
         F.when(F.col("doc_id") % 4 == 0, "dev").otherwise("test").alias("split"),
         F.concat(F.lit("CDPK_"), "lang", F.lit("_"), F.when(F.col("doc_id") % 4 == 0, "dev").otherwise("test"), F.lit(".csv")).alias("file"),
@@ -51,15 +63,23 @@ def combine_category_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_folder(spark, "categories")
     for split in ("dev", "test"):
         part = items.filter(F.col("split") == split).drop("split")
-        part.write.partitionBy("file").csv(f"{base}/{split}", header=True, escape='"')
+        part.write.partitionBy("file").csv(f"{base}/{split}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     combined = [benchmarks.combine_category_files(spark, base, split, "file=CDPK_*_{split}.csv") for split in ("dev", "test")]
-    return benchmarks.combine_report(combined[0].unionByName(combined[1]))
+    return combined[0].unionByName(combined[1])
+
+
+def combine_category_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _combined(spark, sf_dir).select("split", "category_file", F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+def combine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmarks.combine_report(_combined(spark, sf_dir))
 
 
 def _targets_and_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     examples = stage(_examples(spark, sf_dir), "examples")
     targets = mcq.example_index(examples, ["source_row"]).filter(F.col("answer_index").isNotNull())
-    return targets, mcq.fewshot_pool(examples, ["source_row"])
+    return stage(targets, "targets"), stage(mcq.fewshot_pool(examples, ["source_row"]), "pool")
 
 
 def fewshot_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +210,7 @@ def ngram_option_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_mcq, mcq_scan, combine_category_files, fewshot_select, build_prompts, explode_options, option_scores,
+        normalize_mcq, mcq_scan, combine_category_files, combine_report, fewshot_select, build_prompts, explode_options, option_scores,
         predict_option, mcq_accuracy, repeat_summary, write_results, pending_evals, model_comparison, context_truncate,
         ngram_option_scores,
     )
@@ -235,8 +255,11 @@ ORACLE = {
     "normalize_mcq": f"""
       WITH {MCQ_SQL} SELECT qid, question, answer_index, len(options)::INTEGER AS n_options,
         options[1] AS option_0, options[2] AS option_1, options[3] AS option_2, options[4] AS option_3 FROM mcq""",
-    "mcq_scan": "SELECT f.format, item_id::VARCHAR AS id, text AS question FROM benchmark, (SELECT unnest(['csv', 'jsonl']) AS format) f",
+    "mcq_scan": "SELECT f.format, item_id::VARCHAR AS id, text AS question FROM benchmark, (SELECT unnest(['csv', 'jsonl', 'list', 'examples', 'data']) AS format) f",
     "combine_category_files": """
+      SELECT CASE WHEN doc_id % 4 = 0 THEN 'dev' ELSE 'test' END AS split,
+        'CDPK_' || lang || '_' || CASE WHEN doc_id % 4 = 0 THEN 'dev' ELSE 'test' END || '.csv' AS category_file, doc_id, md5(text) AS text_md5 FROM documents""",
+    "combine_report": """
       SELECT CASE WHEN doc_id % 4 = 0 THEN 'dev' ELSE 'test' END AS split, count(DISTINCT lang) AS files, count(*) AS rows FROM documents GROUP BY 1""",
     "fewshot_select": f"""
       WITH {_SHOTS} SELECT s.seed, s.target_index, s.qid, s.slot, s.pos, p.qid AS shot_qid FROM shots s JOIN pool p USING (pos)""",

@@ -69,7 +69,7 @@ def random_subset(
     if "token_count" in kept.columns:
         kept = kept.withColumn("token_count", F.coalesce(F.col("token_count").cast("bigint"), F.lit(0)))
         columns.append("token_count")
-    return sinks.write_sharded(kept, output, ["config", *SOURCE_ORDER], rows_per_shard, columns)
+    return sinks.write_sharded(kept, output, ["config", "source_row"], rows_per_shard, columns)
 
 
 def subset_budget(spark: SparkSession, shards: str, token_col: str = "token_count", batch: int = sampling.DEFAULT_BATCH) -> DataFrame:

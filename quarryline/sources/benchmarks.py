@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.functions.text import decoded_path
 from quarryline.operators.order import blocked_index
+from quarryline.session import new_folder
 from quarryline.sources.corpus import union_by_name
+from quarryline.sources.json_lists import json_list_records
 
 
 def _file_stem() -> Column:
@@ -39,7 +43,7 @@ def mcq_scan(spark: SparkSession, path: str, fmt: str | None = None, schema: T.S
     """Benchmark rows with ``file_stem`` and ``source_row`` beside the file's own columns.
 
     Blank CSV cells are empty strings, as they are present but blank. JSON may be a list of rows or
-    an object with the list under ``examples`` or ``data``.
+    an object with the list under ``examples`` or ``data``; a large file is read by several tasks.
     """
     fmt = fmt or path.rsplit(".", 1)[-1].lower()
     if fmt == "csv":
@@ -48,20 +52,32 @@ def mcq_scan(spark: SparkSession, path: str, fmt: str | None = None, schema: T.S
         reader = spark.read.schema(schema) if schema else spark.read
         return _numbered(_with_position(reader.json(path)))
     if fmt == "json":
-        reader = spark.read.option("multiLine", True)
-        rows = _with_position((reader.schema(schema) if schema else reader).json(path))
-        wrapped = [c for c in ("examples", "data") if c in rows.columns and isinstance(rows.schema[c].dataType, T.ArrayType)]
-        if wrapped:
-            listed = rows.select("file_stem", "_file", F.posexplode(F.coalesce(*wrapped)).alias("source_row", "row"))
-            return listed.select("row.*", "file_stem", F.col("source_row").cast("bigint").alias("source_row"))
-        return _numbered(rows)
+        return _json_rows(spark, path, schema)
     raise ValueError(f"unsupported benchmark format: {path}")
 
 
+def _json_rows(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+    """The rows of JSON lists, by way of JSON lines, which Spark types and splits as usual."""
+    stem = F.regexp_extract(decoded_path("_file"), r"([^/]*?)(\.[^./]*)?$", 1)
+    named = F.to_json(F.struct(stem.alias("file_stem"), "source_row"))
+    lines = F.concat(F.regexp_replace(named, r"\}$", ""), F.lit(', "row": '), F.col("record"), F.lit("}"))
+    folder = new_folder(spark, "json-lines")
+    json_list_records(spark, path).select(lines.alias("value")).write.text(folder)
+    rows = schema and T.StructType().add("file_stem", "string").add("source_row", "bigint").add("row", schema)
+    found = (spark.read.schema(rows) if rows else spark.read).json(folder)
+    if "row" not in found.columns:
+        raise ValueError(f"no rows in the JSON lists of {path}")
+    return found.select("row.*", "file_stem", "source_row")
+
+
+def _unglobbed(path: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def combine_category_files(spark: SparkSession, base: str, split: str, pattern: str = "CDPK_*_{split}.csv") -> DataFrame:
     """All category files of a split as one table, columns matched by name, with their ``category_file``.
 
-    Files are read as named below ``base/split``. Files with different headers are grouped by header.
+    Files are read as named below ``base/split``; those with one header line are read together. Files without any line are left out.
     """
     glob = f"{base}/{split}/{pattern.format(split=split)}"
     jvm = spark.sparkContext._jvm
@@ -70,11 +86,11 @@ def combine_category_files(spark: SparkSession, base: str, split: str, pattern:
     paths = sorted(status.getPath().toString() for status in (found or []))
     if not paths:
         raise FileNotFoundError(f"no category files match {glob}")
-    headers = {path: tuple(read_csv(spark, path).columns) for path in paths}
-    frames = []
-    for header in dict.fromkeys(headers.values()):
-        same = read_csv(spark, [p for p in paths if headers[p] == header])
-        frames.append(same.select("*", decoded_path().alias("_path")))
+    line = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = spark.read.text([_unglobbed(p) for p in paths]).select(decoded_path().alias("path"), "value", line.alias("line"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    same = heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.col("paths")[0])
+    frames = [read_csv(spark, [_unglobbed(p) for p in row["paths"]]).select("*", decoded_path().alias("_path")) for row in same.collect()]
     name = F.regexp_extract("_path", rf"([^/=]*_{split}\.csv)", 1)
     return union_by_name(frames).withColumn("category_file", name).withColumn("split", F.lit(split)).drop("_path")
 

@@ -5,29 +5,56 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.functions.text import decoded_path
+from quarryline.operators.lookup import fits_broadcast, lookup
+from quarryline.operators.order import rows_at, split
+from quarryline.session import stage
 from quarryline.sources.files import file_manifest
 
 DROP_COLUMNS = ("embedding",)
 
 
+def _below(path: str, prefix: str) -> str:
+    """A glob for what lies below a path and starts with a prefix."""
+    return f"{path.rstrip('/')}/{re.sub(r'([\[\]{}*?\\])', r'\\\1', prefix)}*" if prefix else path
+
+
 def scan_corpus(
     spark: SparkSession, path: str, prefix: str = "", num_files: int = -1, merge_schema: bool = True
 ) -> DataFrame:
-    """All Parquet files whose path below ``path`` starts with ``prefix``, optionally the first N by name."""
-    reader = spark.read.option("mergeSchema", merge_schema)
-    if num_files <= 0 and not prefix:
-        return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
+    """All Parquet files whose path below ``path`` starts with ``prefix``, optionally the first N by name.
+
+    The first N are those up to the N-th name: one bound on the file's path, by which Spark leaves the other files out before it
+    reads them. No list of names is made, here or in the plan. The columns are those of all files with the prefix.
+    """
+    where = _below(path, prefix)
+    try:
+        rows = spark.read.option("mergeSchema", merge_schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(where)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        raise FileNotFoundError(f"no Parquet files below {path} start with {prefix!r}") from error
+    if num_files <= 0:
+        return rows
+    listing = file_manifest(spark, where, "*.parquet").select("path")
+    cut = split(listing, ["path"])
+    if num_files >= cut.total_rows:
+        return rows
+    last = rows_at(listing, ["path"], [num_files - 1], cut).first()["path"]
+    return rows.filter(decoded_path() <= F.lit(last))
+
+
+def dataset_configs(spark: SparkSession, path: str) -> dict[str, str]:
+    """The configs of a dataset folder: its sub-folders in name order, or the folder itself if it has none."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
-    listing = file_manifest(spark, path, "*.parquet").filter(F.col("path").startswith(f"{root}/{prefix}")).orderBy("path")
-    chosen = [row["path"] for row in (listing.limit(num_files) if num_files > 0 else listing).select("path").collect()]
-    if not chosen:
-        raise FileNotFoundError(f"no Parquet files below {path} start with {prefix!r}")
-    return reader.parquet(*(re.sub(r"([\\[\]{}*?])", r"\\\1", name) for name in chosen))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(folder) if s.isDirectory())
+    return {name: where for name, where in found if not name.startswith((".", "_"))} or {folder.getName(): path}
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -40,26 +67,42 @@ def union_by_name_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     return union_by_name([spark.read.option("mergeSchema", True).parquet(path) for path in paths])
 
 
+def _file_starts(spark: SparkSession, configs: dict[str, str]) -> DataFrame:
+    """Rows of a config before each of its files, by the files' names. Counting without columns reads footers only."""
+    counts = [
+        spark.read.parquet(path).groupBy(F.lit(config).alias("config"), F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("_n"))
+        for config, path in configs.items()
+    ]
+    earlier = Window.partitionBy("config").orderBy(F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B")))).rowsBetween(Window.unboundedPreceding, -1)
+    return union_by_name(counts).select("config", "_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+
+
 def multi_config_scan(
     spark: SparkSession, configs: dict[str, str], text_columns: dict[str, str] | None = None
 ) -> DataFrame:
     """Read the configs of a dataset with ``config``, ``source_file`` and ``source_row`` columns.
 
-    ``source_row`` is the row's place in its own file. With several files per config the pair
-    (source_file, source_row) gives the reading order.
+    ``source_row`` is the row's place in its config, through all its files in the order of their names.
     """
     frames = []
     for config, path in configs.items():
         frame = spark.read.parquet(path).select(
             F.lit(config).alias("config"),
+            F.col("_metadata.file_path").alias("_path"),
             F.col("_metadata.file_name").alias("source_file"),
-            F.col("_metadata.row_index").alias("source_row"),
+            F.col("_metadata.row_index").alias("_row"),
             "*",
         )
         if text_columns:
             frame = frame.withColumnRenamed(text_columns[config], "text")
         frames.append(frame)
-    return union_by_name(frames)
+    starts = stage(_file_starts(spark, configs), "file-starts")
+    if fits_broadcast(starts, ["config", "_path"]):
+        starts = F.broadcast(starts)
+    rows = lookup(union_by_name(frames), starts, ["config", "_path"])
+    placed = rows.withColumn("source_row", F.col("_start") + F.col("_row"))
+    first = ["config", "source_file", "source_row"]
+    return placed.select(*first, *(c for c in placed.columns if c not in (*first, "_path", "_row", "_start")))
 
 
 # Bytes of one value of the plain types.

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from quarryline.sources.listing import open_store, shown
 from quarryline.sources.logs import RUN_DIR
 
 SPLIT_BYTES = 64 << 20
@@ -27,13 +28,6 @@ _LINES_PER_BATCH = 10_000
 _SCHEMA = "path string, offset bigint, value string"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path: local, or one that Arrow knows by its scheme."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def whole_lines(files: fs.FileSystem, path: str, size: int) -> int:
     """The place after the last line break of a file, 0 if there is none."""
     with files.open_input_file(path) as stream:
@@ -94,19 +88,19 @@ class _Tail(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        files, path = _open(self.path)
+        files, path = open_store(self.path)
         listed = files.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
         return {
             f.path: whole_lines(files, f.path, f.size)
             for f in listed
-            if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, self.pattern) and not f.base_name.startswith((".", "_"))
+            if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, self.pattern) and shown(f.base_name)
         }
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
         return ranges(start, end, self.split_bytes)
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        files, _ = _open(self.path)
+        files, _ = open_store(self.path)
         batch: list[tuple[int, bytes]] = []
         with io.BufferedReader(files.open_input_file(partition.path), 1 << 20) as stream:
             for found in lines(stream, partition):

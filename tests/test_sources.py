@@ -3,9 +3,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline.operators import sampling
 from quarryline.operators.lookup import fits_broadcast, lookup
 from quarryline.session import stage
-from quarryline.sources import corpus, files
+from quarryline.sources import corpus, files, listing
 
 
 @pytest.fixture
@@ -58,6 +59,45 @@ def test_configs_keep_their_row_numbers(spark, folder):
     assert {(r["config"], r["source_row"], r["text"]) for r in rows.collect()} == {("x", 0, "a0"), ("y", 0, "b0"), ("y", 1, "b1")}
 
 
+def test_positions_run_through_all_files_of_a_config(spark, tmp_path):
+    for name, rows in (("b%20+b.parquet", 5), ("a.parquet", 3), ("c.parquet", 0), ("d.parquet", 4)):
+        (tmp_path / "x").mkdir(exist_ok=True)
+        spark.range(rows).selectExpr(f"'{name[0]}' || id AS text").toPandas().astype({"text": "string"}).to_parquet(tmp_path / "x" / name)
+    spark.range(2).selectExpr("'y' || id AS text").write.parquet(str(tmp_path / "y"))
+    rows = corpus.multi_config_scan(spark, {"x": str(tmp_path / "x"), "y": str(tmp_path / "y")})
+    found = sorted((r["config"], r["source_row"], r["text"]) for r in rows.collect())
+    expected = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(5)] + [f"d{i}" for i in range(4)]
+    assert [f[2] for f in found if f[0] == "x"] == expected and [f[1] for f in found if f[0] == "x"] == list(range(12))
+    keys = [r[0] for r in rows.select(sampling.row_key(rows)).collect()]
+    assert len(set(keys)) == 14 and "x:3:b0" in keys
+    assert corpus.dataset_configs(spark, str(tmp_path)) == {"x": f"file:{tmp_path}/x", "y": f"file:{tmp_path}/y"}
+    assert list(corpus.dataset_configs(spark, str(tmp_path / "x"))) == ["x"]
+
+
+def test_first_files_are_chosen_before_they_are_read(spark, tmp_path):
+    for i in range(8):
+        spark.range(10).toPandas().to_parquet(tmp_path / f"f{i} +%.parquet")
+    rows = corpus.scan_corpus(spark, str(tmp_path), num_files=3)
+    plan = rows._jdf.queryExecution().executedPlan()
+    assert rows.count() == 30 and plan.toString().count(".parquet") <= 2
+    plan.executeCollect()
+    leaves = plan.collectLeaves()
+    assert [leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())] == [3]
+
+
+def test_listing_by_executors_equals_the_manifest(spark, folder, tmp_path):
+    (tmp_path / "in" / "sub" / "deep").mkdir()
+    (tmp_path / "in" / "sub" / "deep" / "d e.parquet").write_text("x" * 9)
+    (tmp_path / "in" / "_hidden").mkdir()
+    (tmp_path / "in" / "_hidden" / "h.parquet").write_text("x")
+    for pattern in ("*", "*.parquet"):
+        ours = {(r["name"], r["length"]) for r in listing.list_files(spark, f"file://{folder}", pattern).collect()}
+        assert ours == {(r["name"], r["length"]) for r in files.file_manifest(spark, folder, pattern).collect()}
+    found = listing.with_prefix(listing.list_files(spark, folder), folder, "sub/d")
+    assert [(r["name"], r["length"]) for r in found.collect()] == [("d e.parquet", 9)]
+    assert "d e.parquet" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_manifest_and_audit(spark, folder):
     listing = files.file_manifest(spark, folder)
     assert {r["name"] for r in listing.collect()} == {"a.parquet", "b.parquet", "c.parquet", "notes.txt"}
