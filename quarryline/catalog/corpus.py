@@ -14,12 +14,13 @@ from quarryline.catalog.tables import (
     SHARDS_SQL,
     destination_copy,
     local_copy,
+    score_keys,
     scored,
     shards,
     table,
     with_blanks,
 )
-from quarryline.operators import manifests, order, placement, quality, sampling
+from quarryline.operators import late, manifests, order, placement, quality, sampling
 from quarryline.session import new_folder
 from quarryline.sources import corpus, files, listing, sinks
 
@@ -161,7 +162,7 @@ def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def horizon_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).select("doc_id", "score", "n_chars")
+    rows = score_keys(spark, sf_dir)
     return order.budget_rows(rows, ORDER, "n_chars", BUDGET)
 
 
@@ -175,7 +176,8 @@ def sort_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.top_percent(scored(spark, sf_dir).select("doc_id", "score", "text"), ORDER, PERCENT)
+    chosen = order.top_percent(score_keys(spark, sf_dir).select("doc_id", "score"), ORDER, PERCENT)
+    return late.attach(chosen, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "score", "text")
 
 
 def top_percent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +185,23 @@ def top_percent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.rank_thresholds(scored(spark, sf_dir), ORDER, "score")
+    return order.rank_thresholds(score_keys(spark, sf_dir), ORDER, "score")
+
+
+def rank_thresholds_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketched thresholds, and whether the exact rank of each value lies within the stated error."""
+    keys = score_keys(spark, sf_dir)
+    found = order.rank_thresholds_sketched(keys, "score")
+    marks = found.collect()  # three rows
+    counts = [
+        F.struct(
+            F.lit(m["threshold"]).alias("threshold"),
+            F.lit(m["rank"]).cast("bigint").alias("rank"),
+            ((F.count(F.when(F.col("score") > m["value"], 1)) <= m["rank"] + m["error_rows"]) & (F.count(F.when(F.col("score") >= m["value"], 1)) >= m["rank"] - m["error_rows"])).alias("within"),
+        )
+        for m in marks
+    ]
+    return keys.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
 def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +215,9 @@ def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "shards")
-    rows = scored(spark, sf_dir).select("doc_id", "score", "text")
-    sinks.write_sharded(rows, path, ORDER, ROWS_PER_SHARD, rows_per_task=2 * ROWS_PER_SHARD)
+    keys = score_keys(spark, sf_dir).select("doc_id", "score")
+    rows = late.attach(keys, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "score", "text")
+    sinks.write_sharded(rows, path, ORDER, ROWS_PER_SHARD, rows_per_task=2 * ROWS_PER_SHARD, keys=keys)
     return sinks.read_shards(spark, path).select("shard", "shard_id", "row_in_shard", "doc_id", "score", F.md5("text").alias("text_md5"))
 
 
@@ -238,7 +257,7 @@ QUERIES = {
         scan_corpus, scan_corpus_folder, multi_config_positions, union_by_name_scan, drop_heavy_columns, width_saved, empty_file_audit, multi_config_scan, file_manifest,
         manifest_summary, pointer_manifest, composite_score, resolve_text_column, drop_blank_text, quality_profile,
         score_profile, global_rank, running_total, horizon_prefix, tokenizer_sample, sort_by_quality, top_percent,
-        top_percent_lines, rank_thresholds, first_n, shard_assignment, write_sharded, incremental_ingest, ingest_counts,
+        top_percent_lines, rank_thresholds, rank_thresholds_sketched, first_n, shard_assignment, write_sharded, incremental_ingest, ingest_counts,
         manifest_reconcile, transfer_progress, stripe_files, worker_load,
     )
 }
@@ -326,6 +345,8 @@ ORACLE = {
       marks AS (
         SELECT unnest(['top_10_percent', 'top_25_percent', 'median']) AS threshold, unnest([count(*) // 10, count(*) // 4, count(*) // 2]) AS rank FROM scored)
       SELECT threshold, rank, score AS value FROM marks JOIN ranked USING (rank)""",
+    "rank_thresholds_sketched": """
+      SELECT unnest(['top_10_percent', 'top_25_percent', 'median']) AS threshold, unnest([count(*) // 10, count(*) // 4, count(*) // 2]) AS rank, true AS within FROM documents""",
     "first_n": f"SELECT source, doc_id, n_chars FROM documents ORDER BY source, doc_id LIMIT {FIRST_N}",
     "shard_assignment": f"""
       WITH {SCORED_SQL}, ranked AS (SELECT doc_id, score, row_number() OVER ({_BEST}) - 1 AS rank FROM scored)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.catalog.tables import BLANKS_SQL, ORDER, SCORED_SQL, SHARDS_SQL, hash_sql, scored, shards, table, with_blanks
+from quarryline.catalog.tables import BLANKS_SQL, ORDER, SCORED_SQL, SHARDS_SQL, hash_sql, score_keys, shards, table, with_blanks
 from quarryline.functions.text import blake2b_fraction
 from quarryline.operators import placement, quality, sampling
 
@@ -53,8 +53,7 @@ def token_budget_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).select("doc_id", "score", "n_chars")
-    return sampling.arm_summary(rows, ORDER, 16.5, RATIO, _id(), "n_chars", BATCH, SEED)
+    return sampling.arm_summary(score_keys(spark, sf_dir), ORDER, 16.5, RATIO, _id(), "n_chars", BATCH, SEED)
 
 
 def comparability_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators.quality import composite_score
+from quarryline.session import stage
 
 KEYS = ("pedagogical", "factual", "engagement")
 ORDER = ["-score", "doc_id"]
@@ -26,6 +27,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composite_score(documents.join(labels, "doc_id", "left"), KEYS)
 
 
+def score_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id, score and length of every document as a staged narrow table, for jobs that look at it more than once."""
+    return stage(scored(spark, sf_dir).select("doc_id", "score", "n_chars"), "keys")
+
+
 SCORED_SQL = """
 scored AS (
   SELECT d.*, (coalesce(l.quality::DOUBLE, 0::DOUBLE) + coalesce((1 - l.toxic)::DOUBLE, 0::DOUBLE)

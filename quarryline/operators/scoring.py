@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import each, tokens
+from quarryline.functions.text import tokens
 from quarryline.operators.lookup import fits_broadcast, lookup
+from quarryline.session import stage
 
 MINUS_INFINITY = float("-inf")
 
@@ -49,41 +50,48 @@ def _neighbours(words: Column) -> Column:
     return F.arrays_zip(F.slice(words, 1, count).alias("prev"), F.slice(words, 2, count).alias("tok"))
 
 
-def bigram_counts(corpus: DataFrame, needed: DataFrame, text: str = "text") -> DataFrame:
-    """Corpus counts of the needed (prev, tok) pairs and of every needed prev.
+_PAIRS, _WORDS = 1, 6  # grouping ids of the sets (prev, tok) and (word)
 
-    Rows with null ``tok`` hold the other successors of ``prev``, so that the counts of one prev sum
-    to its total. While the needed pairs are few they are sent to the scan and everything else is
-    dropped before the shuffle; otherwise counts are made first and joined after.
-    """
-    words = corpus.select(tokens(F.col(text)).alias("words"))
-    bigrams = words.select(F.inline(_neighbours(F.col("words"))))
-    histories = needed.select("prev").distinct()
-    wanted = needed.select("prev", "tok", F.lit(True).alias("wanted"))
-    if fits_broadcast(needed, ["prev", "tok"]):
-        near = bigrams.join(F.broadcast(histories), "prev", "left_semi").join(F.broadcast(wanted), ["prev", "tok"], "left")
-        amount: Column = F.count("*")
-    else:
-        counted = bigrams.groupBy("prev", "tok").agg(F.count("*").alias("c"))
-        near = lookup(counted, histories.withColumn("known", F.lit(True)), ["prev"]).filter("known")
-        near = near.join(wanted, ["prev", "tok"], "left")
-        amount = F.sum("c")
-    return near.groupBy("prev", F.when(F.col("wanted"), F.col("tok")).alias("tok")).agg(amount.alias("c"))
 
+def corpus_counts(corpus: DataFrame, needed: DataFrame, text: str = "text") -> DataFrame:
+    """One pass over a corpus for both counts a bigram model needs, written: ``set``, ``prev``, ``tok``, ``word``, ``c``.
 
-def vocabulary_size(corpus: DataFrame, text: str = "text") -> int:
-    words = corpus.select(tokens(F.col(text)).alias("words"))
-    return words.select(each(F.col("words"), "word")).distinct().count()
+    Rows of the set ``_PAIRS`` count the needed (prev, tok) pairs, and under a null ``tok`` the other successors of a needed prev, so that
+    the counts of one prev sum to its total. Rows of the set ``_WORDS`` are the vocabulary. While the needed pairs are few they are sent
+    to the scan and everything else is dropped before the shuffle; otherwise all pairs are counted and reduced after.
+    """
+    words = tokens(F.col(text))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    bigrams = corpus.select(F.inline(F.arrays_zip(before.alias("before"), words.alias("word")))).filter(F.col("word").isNotNull())
+    histories = needed.select(F.col("prev").alias("before")).distinct().withColumn("known", F.lit(True))
+    wanted = needed.select(F.col("prev").alias("before"), F.col("tok").alias("word"), F.lit(True).alias("wanted"))
+    few = fits_broadcast(needed, ["prev", "tok"])
+    if few:
+        bigrams = bigrams.join(F.broadcast(histories), "before", "left").join(F.broadcast(wanted), ["before", "word"], "left")
+        pair = [F.when(F.col("known"), F.col("before")), F.when(F.col("wanted"), F.col("word"))]
+    else:
+        pair = [F.col("before"), F.col("word")]
+    rows = bigrams.select(pair[0].alias("prev"), pair[1].alias("tok"), "word")
+    counted = rows.groupingSets([("prev", "tok"), ("word",)], "prev", "tok", "word").agg(F.grouping_id().alias("set"), F.count("*").alias("c"))
+    counts = stage(counted.filter(f"set = {_WORDS} OR prev IS NOT NULL").select(F.col("set").cast("int").alias("set"), "prev", "tok", "word", "c"), "corpus-counts")
+    if few:
+        return counts
+    pairs = lookup(counts.filter(f"set = {_PAIRS}").drop("word"), histories.withColumnRenamed("before", "prev"), ["prev"]).filter("known")
+    pairs = lookup(pairs, wanted.withColumnsRenamed({"before": "prev", "word": "tok"}), ["prev", "tok"])
+    reduced = pairs.groupBy("prev", F.when(F.col("wanted"), F.col("tok")).alias("tok")).agg(F.sum("c").alias("c"))
+    reduced = reduced.select(F.lit(_PAIRS).alias("set"), "prev", "tok", F.lit(None).cast("string").alias("word"), "c")
+    return stage(reduced.unionByName(counts.filter(f"set = {_WORDS}")), "corpus-counts")
 
 
 def ngram_logprobs(corpus: DataFrame, pairs: DataFrame, alpha: float = 0.1, text: str = "text") -> DataFrame:
-    """Additively smoothed bigram log-probability of every needed pair."""
-    needed = pairs.select("prev", "tok").distinct()
-    counts = bigram_counts(corpus, needed, text)
+    """Additively smoothed bigram log-probability of every needed pair; the corpus is read once."""
+    needed = stage(pairs.select("prev", "tok").distinct(), "needed-pairs")
+    found = corpus_counts(corpus, needed, text)
+    counts = found.filter(f"set = {_PAIRS}").select("prev", "tok", "c")
     of_pair = counts.filter(F.col("tok").isNotNull()).withColumnRenamed("c", "pair_count")
     of_history = counts.groupBy("prev").agg(F.sum("c").alias("history_count"))
     joined = lookup(needed.join(of_pair, ["prev", "tok"], "left"), of_history, ["prev"])
-    words = vocabulary_size(corpus, text)
+    words = found.filter(f"set = {_WORDS}").count()
     seen = F.coalesce("pair_count", F.lit(0)) + F.lit(alpha)
     total = F.coalesce("history_count", F.lit(0)) + F.lit(alpha * words)
     return joined.select("prev", "tok", F.log(seen / total).alias("logprob"))
@@ -91,7 +99,7 @@ def ngram_logprobs(corpus: DataFrame, pairs: DataFrame, alpha: float = 0.1, text
 
 def ngram_option_scores(corpus: DataFrame, options: DataFrame, keys: list[str], alpha: float = 0.1, limit: int | None = None) -> DataFrame:
     """Score options with a bigram model of the corpus: mean log-probability of the completion."""
-    pairs = completion_pairs(options, keys, limit)
+    pairs = stage(completion_pairs(options, keys, limit), "completion-pairs")
     logprobs = ngram_logprobs(corpus, pairs, alpha)
     scored = lookup(pairs, logprobs, ["prev", "tok"])
     return option_scores(scored, options.select(*keys), keys)

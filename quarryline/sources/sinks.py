@@ -18,15 +18,18 @@ ROWS_PER_SHARD = 14_000
 ROWS_PER_TASK = 200_000
 
 
-def with_shards(df: DataFrame, order: list[str], rows_per_shard: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def with_shards(
+    df: DataFrame, order: list[str], rows_per_shard: int, rows_per_task: int = ROWS_PER_TASK, keys: DataFrame | None = None
+) -> DataFrame:
     """Add ``rank``, ``shard_id`` and ``row_in_shard``, each task holding whole shards in order.
 
     The order columns are ranked first to find the last key of every task; the full rows are then
-    shuffled once, straight to the task that owns their shards.
+    shuffled once, straight to the task that owns their shards. ``keys`` may be a staged table of the same
+    rows' order columns, where ``df`` is a join that should not run once more for them.
     """
     if rows_per_shard <= 0:
         raise ValueError("rows_per_shard must be positive")
-    narrow = df.select(*column_names(order))
+    narrow = (df if keys is None else keys).select(*column_names(order))
     cut = split(narrow, order)
     shards = math.ceil(cut.total_rows / rows_per_shard)
     per_task = max(1, rows_per_task // rows_per_shard, math.ceil(shards / MAX_BUCKETS))
@@ -60,14 +63,15 @@ def write_sharded(
     rows_per_shard: int = ROWS_PER_SHARD,
     columns: list[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    keys: DataFrame | None = None,
 ) -> str:
     """Write one zstd Parquet file per shard, rows in order, and publish it as the current version.
 
     Shards are files ``shard_00012.parquet`` in the returned version folder, with the wanted columns only. Every shard holds
-    ``rows_per_shard`` rows but the last. Earlier versions stay until someone removes them.
+    ``rows_per_shard`` rows but the last. Earlier versions stay until someone removes them. ``keys`` is as in :func:`with_shards`.
     """
     version = f"{path}/version-{uuid.uuid4().hex}"
-    placed = with_shards(df, order, rows_per_shard, rows_per_task).sortWithinPartitions("shard_id", "row_in_shard")
+    placed = with_shards(df, order, rows_per_shard, rows_per_task, keys).sortWithinPartitions("shard_id", "row_in_shard")
     write_shard_files(placed, version, columns or df.columns)
     publish(df.sparkSession, path, version)
     return version
