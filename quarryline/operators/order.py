@@ -186,13 +186,22 @@ def rows_at(df: DataFrame, order: list[str], positions: list[int], cut: Split |
 
 def top_rows(df: DataFrame, order: list[str], count: int, cut: Split | None = None) -> DataFrame:
     """The first ``count`` rows of the order, as a filter on the key of the last one."""
-    cut = cut or split(df, order)
+    return top_both(df, df, order, count, cut)[1]
+
+
+def top_both(keys: DataFrame, df: DataFrame, order: list[str], count: int, cut: Split | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first ``count`` rows of a staged table of order columns, and the same rows of the table it was made from.
+
+    Only ``keys`` is looked at to find the last one wanted.
+    """
+    cut = cut or split(keys, order)
     if count >= cut.total_rows:
-        return df
+        return keys, df
     if count <= 0:
-        return df.limit(0)
-    last = rows_at(df.select(*column_names(order)), order, [count - 1], cut)
-    return df.filter(_within(df, cut, last.select(key_struct(df, order).alias("key")).first()["key"].asDict()))
+        return keys.limit(0), df.limit(0)
+    last = rows_at(keys.select(*column_names(order)), order, [count - 1], cut)
+    key = last.select(key_struct(keys, order).alias("key")).first()["key"].asDict()
+    return keys.filter(_within(keys, cut, key)), df.filter(_within(df, cut, key))
 
 
 def budget_rows(df: DataFrame, order: list[str], weight: str, budget: int, cut: Split | None = None) -> DataFrame:

@@ -2,29 +2,78 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import HashFraction, md5_fraction
+from quarryline.functions.text import HashFraction, decoded_path, md5_fraction
 from quarryline.operators import order, quality, sampling
+from quarryline.session import stage
 from quarryline.sources import corpus, sinks
 
 # Scored corpora come without ids; where a row was read from is one.
 SOURCE_ORDER = ["source_file", "source_row"]
 
 
+#: More new files than this are not listed in a plan; the whole corpus is read again instead, with the same result.
+MAX_NEW_FILES = 10_000
+
+
 def scored_corpus(
-    spark: SparkSession, source: str, sort_keys: Sequence[str] = quality.SORT_KEYS, prefix: str = "", num_files: int = -1
+    spark: SparkSession,
+    source: str,
+    sort_keys: Sequence[str] = quality.SORT_KEYS,
+    prefix: str = "",
+    num_files: int = -1,
+    only: list[str] | None = None,
 ) -> DataFrame:
-    """The corpus without embeddings, with its composite score and each row's place in the source."""
-    rows = corpus.scan_corpus(spark, source, prefix, num_files)
+    """The corpus without embeddings, with its composite score and each row's place in the source; of ``only`` some files if given."""
+    rows = corpus.scan_files(spark, only) if only else corpus.scan_corpus(spark, source, prefix, num_files)
     quality.require_columns(rows, ["text", *sort_keys])
-    placed = rows.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("source_row"))
+    placed = rows.select("*", decoded_path().alias("source_file"), F.col("_metadata.row_index").alias("source_row"))
     return quality.composite_score(corpus.drop_heavy_columns(placed), sort_keys)
 
 
+@dataclass(frozen=True)
+class _Finished:
+    """The published version of an output, if it was made with the same settings, and how its inputs differ from today's."""
+
+    version: str
+    new: list[str]
+    more_new: bool
+    gone: bool
+
+    @property
+    def unchanged(self) -> bool:
+        return not self.new and not self.gone
+
+
+def _finished(spark: SparkSession, output: str, settings: dict, inputs: DataFrame) -> _Finished | None:
+    if not sinks.markers(spark, output, "_current-"):
+        return None
+    version = sinks.current_version(spark, output)
+    if not sinks.markers(spark, version, _SETTINGS) or json.loads(sinks.read_marker(spark, f"{version}/{_SETTINGS}")) != settings:
+        return None
+    before = spark.read.schema(inputs.schema).parquet(f"{version}/_inputs")
+    new = [r["path"] for r in inputs.join(before, ["path", "length"], "left_anti").limit(MAX_NEW_FILES + 1).collect()]
+    gone = not before.join(inputs, ["path", "length"], "left_anti").isEmpty()
+    return _Finished(version, new, len(new) > MAX_NEW_FILES, gone)
+
+
+_SETTINGS = "_settings"
+
+
+def _publish(spark: SparkSession, output: str, version: str, settings: dict, inputs: DataFrame) -> str:
+    """Put what a version was made from beside its shards, then name it as current."""
+    inputs.write.parquet(f"{version}/_inputs")
+    sinks.write_marker(spark, f"{version}/{_SETTINGS}", json.dumps(settings))
+    sinks.publish(spark, output, version)
+    return version
+
+
 def curate(
     spark: SparkSession,
     source: str,
@@ -34,19 +83,47 @@ def curate(
     rows_per_shard: int = sinks.ROWS_PER_SHARD,
     prefix: str = "",
     num_files: int = -1,
+    skip_sort: bool = False,
 ) -> str:
     """Write the best ``top_percent`` of the corpus as shards, best first; the new version's path.
 
-    The whole corpus is written as ``text``, a part of it as ``score, text``.
+    The whole corpus is written as ``text``, a part of it as ``score, text``, and with ``skip_sort`` all columns but the
+    heavy ones in input order. Beside the shards each version keeps the list of its inputs, and where all rows are kept
+    the order keys of its rows. A second run with the same settings and inputs does nothing and returns the version there
+    is. If files came to an output of all rows, only these are read: they are merged with the shards, which bring their order from
+    the kept keys. A changed or missing input, other settings, or a share of the best means a whole run.
     """
     if not 0 < top_percent <= 100:  # NaN fails, too
         raise ValueError(f"top_percent must be above 0 and at most 100, not {top_percent}")
-    rows = scored_corpus(spark, source, sort_keys, prefix, num_files)
-    ranking = ["-score", *SOURCE_ORDER]
-    if top_percent < 100:
-        rows = order.top_percent(rows, ranking, top_percent)
-    columns = ["text"] if top_percent >= 100 else ["score", "text"]
-    return sinks.write_sharded(rows, output, ranking, rows_per_shard, columns)
+    settings = {
+        "job": "curate", "sort_keys": list(sort_keys), "top_percent": top_percent, "rows_per_shard": rows_per_shard, "prefix": prefix,
+        "num_files": num_files, "skip_sort": skip_sort, "source": source,
+    }
+    inputs = stage(corpus.input_files(spark, source, prefix, num_files), "inputs")
+    done = _finished(spark, output, settings, inputs)
+    if done and done.unchanged:
+        return done.version
+    ranking = SOURCE_ORDER if skip_sort else ["-score", *SOURCE_ORDER]
+    whole = skip_sort or top_percent >= 100
+    merge = done is not None and whole and not done.gone and not done.more_new
+    rows = scored_corpus(spark, source, sort_keys, prefix, num_files, done.new if merge else None)
+    places = ["score", *SOURCE_ORDER]
+    columns = [c for c in rows.columns if c not in places] if skip_sort else ["text"] if whole else ["score", "text"]
+    keys = rows.select(*places)
+    if merge:
+        old = spark.read.parquet(f"{done.version}/_keys")
+        shards = spark.read.parquet(done.version).select(*sinks.shard_columns(), "*").drop("shard")
+        kept = shards.join(old, ["shard_id", "row_in_shard"]).drop("shard_id", "row_in_shard")
+        rows, keys = corpus.union_by_name([kept, rows.select(*columns, *places)]), old.select(*places).unionByName(keys)
+        columns = [c for c in rows.columns if c not in places]
+    keys = stage(keys, "order-keys")
+    if not whole:
+        cut = order.split(keys, ranking)
+        keys, rows = order.top_both(keys, rows, ranking, order.top_percent_count(cut.total_rows, top_percent), cut)
+    version = sinks.write_version(rows, output, ranking, rows_per_shard, columns, keys=keys)
+    if whole:
+        order.shard_positions(keys, ranking, rows_per_shard).drop("rank").write.parquet(f"{version}/_keys")
+    return _publish(spark, output, version, settings, inputs)
 
 
 def random_subset(
@@ -59,9 +136,20 @@ def random_subset(
     candidates: Sequence[str] = quality.TEXT_CANDIDATES,
     hash_fn: HashFraction = md5_fraction,
 ) -> str:
-    """Draw a seeded subset of several configs and write it as shards in reading order."""
+    """Draw a seeded subset of several configs and write it as shards in reading order; the version's path.
+
+    A second run with the same settings and inputs returns the version there is.
+    """
     if not 0 < ratio <= 1:
         raise ValueError(f"ratio must be above 0 and at most 1, not {ratio}")
+    settings = {
+        "job": "sample", "configs": configs, "ratio": ratio, "seed": seed, "rows_per_shard": rows_per_shard, "candidates": list(candidates),
+        "hash": getattr(hash_fn, "__name__", str(hash_fn)),
+    }
+    inputs = stage(corpus.union_by_name([corpus.input_files(spark, path) for path in configs.values()]), "inputs")
+    done = _finished(spark, output, settings, inputs)
+    if done and done.unchanged:
+        return done.version
     named = {c: quality.resolve_text_column(spark.read.parquet(path), candidates) for c, path in configs.items()}
     clean = quality.drop_blank_text(corpus.multi_config_scan(spark, configs, named))
     kept = sampling.hash_sample(clean, sampling.row_key(clean), ratio, seed, hash_fn)
@@ -69,7 +157,8 @@ def random_subset(
     if "token_count" in kept.columns:
         kept = kept.withColumn("token_count", F.coalesce(F.col("token_count").cast("bigint"), F.lit(0)))
         columns.append("token_count")
-    return sinks.write_sharded(kept, output, ["config", "source_row"], rows_per_shard, columns)
+    version = sinks.write_version(kept, output, ["config", "source_row"], rows_per_shard, columns)
+    return _publish(spark, output, version, settings, inputs)
 
 
 def subset_budget(spark: SparkSession, shards: str, token_col: str = "token_count", batch: int = sampling.DEFAULT_BATCH) -> DataFrame:

@@ -41,12 +41,27 @@ def scan_corpus(
         raise FileNotFoundError(f"no Parquet files below {path} start with {prefix!r}") from error
     if num_files <= 0:
         return rows
-    listing = file_manifest(spark, where, "*.parquet").select("path")
-    cut = split(listing, ["path"])
-    if num_files >= cut.total_rows:
-        return rows
-    last = rows_at(listing, ["path"], [num_files - 1], cut).first()["path"]
-    return rows.filter(decoded_path() <= F.lit(last))
+    last = _last_name(file_manifest(spark, where, "*.parquet"), num_files)
+    return rows if last is None else rows.filter(decoded_path() <= F.lit(last))
+
+
+def _last_name(listing: DataFrame, num_files: int) -> str | None:
+    """The path of the N-th file by name, or None if there are no more than N."""
+    paths = listing.select("path")
+    cut = split(paths, ["path"])
+    return None if num_files >= cut.total_rows else rows_at(paths, ["path"], [num_files - 1], cut).first()["path"]
+
+
+def input_files(spark: SparkSession, path: str, prefix: str = "", num_files: int = -1) -> DataFrame:
+    """``path`` and ``length`` of the files that :func:`scan_corpus` reads."""
+    listing = file_manifest(spark, _below(path, prefix), "*.parquet").select("path", "length")
+    last = _last_name(listing, num_files) if num_files > 0 else None
+    return listing if last is None else listing.filter(F.col("path") <= F.lit(last))
+
+
+def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The Parquet files of a short list of paths, named as a listing has them."""
+    return spark.read.option("mergeSchema", True).parquet(*(re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths))
 
 
 def dataset_configs(spark: SparkSession, path: str) -> dict[str, str]:

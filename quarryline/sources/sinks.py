@@ -70,10 +70,24 @@ def write_sharded(
     Shards are files ``shard_00012.parquet`` in the returned version folder, with the wanted columns only. Every shard holds
     ``rows_per_shard`` rows but the last. Earlier versions stay until someone removes them. ``keys`` is as in :func:`with_shards`.
     """
+    version = write_version(df, path, order, rows_per_shard, columns, rows_per_task, keys)
+    publish(df.sparkSession, path, version)
+    return version
+
+
+def write_version(
+    df: DataFrame,
+    path: str,
+    order: list[str],
+    rows_per_shard: int = ROWS_PER_SHARD,
+    columns: list[str] | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+    keys: DataFrame | None = None,
+) -> str:
+    """The same without publishing, for callers that put more into the version's folder first."""
     version = f"{path}/version-{uuid.uuid4().hex}"
     placed = with_shards(df, order, rows_per_shard, rows_per_task, keys).sortWithinPartitions("shard_id", "row_in_shard")
     write_shard_files(placed, version, columns or df.columns)
-    publish(df.sparkSession, path, version)
     return version
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.__main__ import main
 from quarryline.plans import curate, evaluate, track
+from quarryline.session import stage
 from quarryline.sources import logs, sinks
 from tests.test_runs import _write_runs
 
@@ -41,11 +42,62 @@ def test_curate_full_and_top(spark, corpus, tmp_path):
         curate.curate(spark, corpus, str(tmp_path / "bad"), sort_keys=["nope"])
 
 
+def _files_read(df):
+    """Names of the input files that a written plan may open."""
+    return {name.rsplit("/", 1)[1] for name in df.inputFiles()}
+
+
+def test_curate_again_reads_only_what_is_new(spark, corpus, tmp_path, monkeypatch):
+    out, read = str(tmp_path / "out"), []
+    scored_corpus = curate.scored_corpus
+
+    def watched(*args, **kwargs):
+        rows = scored_corpus(*args, **kwargs)
+        read.append(_files_read(rows))
+        return rows
+
+    monkeypatch.setattr(curate, "scored_corpus", watched)
+
+    def best():
+        rows = scored_corpus(spark, corpus).collect()
+        return [r["text"] for r in sorted(rows, key=lambda r: (-r["score"], r["source_file"], r["source_row"]))]
+
+    first = curate.curate(spark, corpus, out, rows_per_shard=30)
+    assert curate.curate(spark, corpus, out, rows_per_shard=30) == first and len(read) == 1
+    before = {f.name for f in (tmp_path / "corpus").glob("*.parquet")}
+    more = spark.read.parquet(corpus).filter("text LIKE '%7'").withColumn("text", F.concat(F.lit("new "), "text"))
+    more = stage(more, "more")
+    more.coalesce(1).write.mode("append").parquet(corpus)
+    second = curate.curate(spark, corpus, out, rows_per_shard=30)
+    assert second != first and _in_order(spark, out) == best() and len(best()) == 110
+    assert read[1] == {f.name for f in (tmp_path / "corpus").glob("*.parquet")} - before
+    assert [f.name for f in sorted((tmp_path / "out" / second.rsplit("/", 1)[1]).glob("shard_*"))] == [f"shard_{i:05d}.parquet" for i in range(4)]
+    more.coalesce(1).write.mode("append").parquet(corpus)  # once more, onto merged shards
+    curate.curate(spark, corpus, out, rows_per_shard=30)
+    assert _in_order(spark, out) == best() and len(read[2]) == 1
+    curate.curate(spark, corpus, out, rows_per_shard=20)  # other settings: a whole run
+    assert _in_order(spark, out) == best() and len(read[3]) == 5
+    next((tmp_path / "corpus").glob("*.parquet")).rename(tmp_path / "away.parquet")
+    curate.curate(spark, corpus, out, rows_per_shard=20)
+    assert _in_order(spark, out) == best() and len(read[4]) == 4
+    assert curate.curate(spark, corpus, out, top_percent=10, rows_per_shard=20) == curate.curate(spark, corpus, out, top_percent=10, rows_per_shard=20)
+    assert _in_order(spark, out) == best()[: len(_in_order(spark, out))]
+
+
+def test_curate_without_sorting_keeps_columns_and_order(spark, corpus, tmp_path):
+    out = str(tmp_path / "plain")
+    curate.curate(spark, corpus, out, rows_per_shard=40, skip_sort=True)
+    rows = curate.scored_corpus(spark, corpus).collect()
+    assert _in_order(spark, out) == [r["text"] for r in sorted(rows, key=lambda r: (r["source_file"], r["source_row"]))]
+    assert set(sinks.read_shards(spark, out).columns) == {"shard", "shard_id", "row_in_shard", "text", *KEYS}
+
+
 def test_random_subset_and_budget(spark, tmp_path):
     for name, column in (("one", "content"), ("two", "content")):
         spark.range(300).select(F.concat(F.lit(name), F.col("id").cast("string")).alias(column), F.lit(5).alias("token_count")).write.parquet(str(tmp_path / name))
     configs = {"one": str(tmp_path / "one"), "two": str(tmp_path / "two")}
     version = curate.random_subset(spark, configs, str(tmp_path / "out"), ratio=0.5, rows_per_shard=40)
+    assert curate.random_subset(spark, configs, str(tmp_path / "out"), ratio=0.5, rows_per_shard=40) == version
     rows = sinks.read_shards(spark, str(tmp_path / "out")).count()
     assert 240 < rows < 360
     budget = curate.subset_budget(spark, version, batch=64).first()
