@@ -5,12 +5,16 @@ from __future__ import annotations
 import argparse
 import os
 
-from quarryline.operators import manifests, placement, quality, sampling
+from quarryline.functions.text import blake2b_fraction, md5_fraction, tokens
+from quarryline.operators import manifests, mcq, placement, quality, sampling, scoring
 from quarryline.plans import curate, evaluate, track
 from quarryline.session import build_session
 from quarryline.sources import corpus, files, logs, sinks
 
 
+HASHES = {"md5": md5_fraction, "blake2b": blake2b_fraction}
+
+
 def _pair(text: str) -> tuple[str, str]:
     name, separator, value = text.partition("=")
     if not separator:
@@ -31,10 +35,14 @@ def parser() -> argparse.ArgumentParser:
     job.add_argument("--rows-per-shard", type=int, default=sinks.ROWS_PER_SHARD)
     job.add_argument("--prefix", default="")
     job.add_argument("--num-files", type=int, default=-1)
+    job.add_argument("--skip-sort", action="store_true", help="keep the input order and all columns but the heavy ones")
+    job.add_argument("--report", action="store_true", help="also show the quality keys and the score")
 
     job = jobs.add_parser("sample", help="draw a seeded random subset into shards")
     job.add_argument("output")
-    job.add_argument("--config", type=_pair, action="append", required=True, help="name=path, repeatable")
+    job.add_argument("--config", type=_pair, action="append", default=[], help="name=path, repeatable")
+    job.add_argument("--dataset", help="a folder whose sub-folders are the configs, if none is named")
+    job.add_argument("--hash", choices=sorted(HASHES), default="md5", help="blake2b gives subsets drawn with that hash elsewhere")
     job.add_argument("--ratio", type=float, default=sampling.DEFAULT_RATIO)
     job.add_argument("--seed", type=int, default=42)
     job.add_argument("--rows-per-shard", type=int, default=sinks.ROWS_PER_SHARD)
@@ -44,6 +52,7 @@ def parser() -> argparse.ArgumentParser:
     job.add_argument("shards")
     job.add_argument("--token-col", default="token_count")
     job.add_argument("--total-batch-size", type=int, default=sampling.DEFAULT_BATCH)
+    job.add_argument("--count-words", action="store_true", help="count the words of the text instead of a token column")
 
     job = jobs.add_parser("manifest", help="files, bytes and empty files below a folder")
     job.add_argument("path")
@@ -62,6 +71,17 @@ def parser() -> argparse.ArgumentParser:
     job.add_argument("--max-examples", type=int)
     job.add_argument("--seed-start", type=int, default=0)
     job.add_argument("--seed-end", type=int, default=29, help="included")
+    job.add_argument("--prompt-header", default=mcq.PROMPT_HEADER)
+    job.add_argument("--overwrite", action="store_true", help="make runs again that the output holds")
+    job.add_argument("--output")
+
+    job = jobs.add_parser("compare", help="all models of a set on one benchmark; a model is the path of a corpus here")
+    job.add_argument("eval_file")
+    job.add_argument("--model-sets", help="JSON file of sets")
+    job.add_argument("--model-set")
+    job.add_argument("--extra-model", type=_pair, action="append", default=[], help="name=corpus path, repeatable")
+    job.add_argument("--fewshot-k", type=int, default=3)
+    job.add_argument("--seed", type=int, default=42)
     job.add_argument("--output")
 
     job = jobs.add_parser("track", help="milestones and best metrics of training runs")
@@ -76,11 +96,14 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session(f"quarryline {args.job}", args.master)
     if args.job == "curate":
-        print(curate.curate(spark, args.source, args.output, args.sort_keys, args.top_percent, args.rows_per_shard, args.prefix, args.num_files))
+        print(curate.curate(spark, args.source, args.output, args.sort_keys, args.top_percent, args.rows_per_shard, args.prefix, args.num_files, args.skip_sort))
+        if args.report:
+            curate.quality_report(spark, args.source, args.sort_keys, args.prefix, args.num_files).show(truncate=False)
     elif args.job == "sample":
-        print(curate.random_subset(spark, dict(args.config), args.output, args.ratio, args.seed, args.rows_per_shard, args.text_column_candidates))
+        configs = dict(args.config) or corpus.dataset_configs(spark, args.dataset)
+        print(curate.random_subset(spark, configs, args.output, args.ratio, args.seed, args.rows_per_shard, args.text_column_candidates, HASHES[args.hash]))
     elif args.job == "budget":
-        curate.subset_budget(spark, args.shards, args.token_col, args.total_batch_size).show(truncate=False)
+        curate.subset_budget(spark, args.shards, args.token_col, args.total_batch_size, tokens if args.count_words else None).show(truncate=False)
     elif args.job == "manifest":
         files.manifest_summary(files.file_manifest(spark, args.path)).show(truncate=False)
         files.empty_file_audit(spark, args.path).filter("is_empty").show(truncate=False)
@@ -94,8 +117,13 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "evaluate":
         scorers = {name: evaluate.bigram_scorer(corpus.scan_corpus(spark, path).select("text")) for name, path in args.checkpoint}
         seeds = list(range(args.seed_start, args.seed_end + 1))
-        found = evaluate.evaluate(spark, args.eval_file, scorers, seeds, args.dev_file, args.fewshot_k, args.max_examples, output=args.output)
+        found = evaluate.evaluate(spark, args.eval_file, scorers, seeds, args.dev_file, args.fewshot_k, args.max_examples, args.prompt_header, args.output, args.overwrite)
         found.summary.orderBy("checkpoint").show(truncate=False)
+    elif args.job == "compare":
+        extra = spark.createDataFrame(args.extra_model, "name string, model string")
+        models = scoring.model_set(spark, args.model_sets, args.model_set) if args.model_sets else extra.limit(0)
+        scorer = lambda path: evaluate.bigram_scorer(corpus.scan_corpus(spark, path).select("text"))
+        evaluate.compare_models(spark, args.eval_file, models, scorer, extra, args.seed, args.output, fewshot_k=args.fewshot_k).show(truncate=False)
     elif args.job == "track":
         specs = spark.read.schema(logs.SPEC_SCHEMA).option("multiLine", True).json(args.specs)
         tables = track.track_runs(spark, args.path, specs, args.url, args.output)

@@ -21,6 +21,7 @@ from quarryline.catalog.tables import (
     with_blanks,
 )
 from quarryline.operators import late, manifests, order, placement, quality, sampling
+from quarryline.plans import curate
 from quarryline.session import new_folder
 from quarryline.sources import corpus, files, listing, sinks
 
@@ -221,6 +222,17 @@ def write_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_shards(spark, path).select("shard", "shard_id", "row_in_shard", "doc_id", "score", F.md5("text").alias("text_md5"))
 
 
+def curate_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents curated in two runs, of which the second finds half of the files done and merges the others."""
+    path = new_folder(spark, "incremental")
+    rows = scored(spark, sf_dir).select("doc_id", "text", *KEYS)
+    for turn in (0, 1):
+        half = rows.filter(F.floor(F.col("doc_id") / DOCS_PER_FILE) % 2 == turn).withColumn("folder", F.format_string("%06d", F.floor(F.col("doc_id") / DOCS_PER_FILE)))
+        half.repartitionByRange("folder", "doc_id").sortWithinPartitions("folder", "doc_id").drop("doc_id").write.partitionBy("folder").mode("append").parquet(f"{path}/in")
+        curate.curate(spark, f"{path}/in", f"{path}/out", KEYS, rows_per_shard=ROWS_PER_SHARD)
+    return sinks.read_shards(spark, f"{path}/out").select("shard", "row_in_shard", F.md5("text").alias("text_md5"))
+
+
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = shards(spark, sf_dir)
     return manifests.pending_inputs(listing, local_copy(listing)).select("name", "docs", "length")
@@ -257,7 +269,7 @@ QUERIES = {
         scan_corpus, scan_corpus_folder, multi_config_positions, union_by_name_scan, drop_heavy_columns, width_saved, empty_file_audit, multi_config_scan, file_manifest,
         manifest_summary, pointer_manifest, composite_score, resolve_text_column, drop_blank_text, quality_profile,
         score_profile, global_rank, running_total, horizon_prefix, tokenizer_sample, sort_by_quality, top_percent,
-        top_percent_lines, rank_thresholds, rank_thresholds_sketched, first_n, shard_assignment, write_sharded, incremental_ingest, ingest_counts,
+        top_percent_lines, rank_thresholds, rank_thresholds_sketched, first_n, shard_assignment, write_sharded, curate_incremental, incremental_ingest, ingest_counts,
         manifest_reconcile, transfer_progress, stripe_files, worker_load,
     )
 }
@@ -355,6 +367,9 @@ ORACLE = {
       WITH {SCORED_SQL}, ranked AS (SELECT doc_id, score, md5(text) AS text_md5, row_number() OVER ({_BEST}) - 1 AS rank FROM scored)
       SELECT 'shard_' || lpad((rank // {ROWS_PER_SHARD})::VARCHAR, 5, '0') AS shard, rank // {ROWS_PER_SHARD} AS shard_id,
         rank % {ROWS_PER_SHARD} AS row_in_shard, doc_id, score, text_md5 FROM ranked""",
+    "curate_incremental": f"""
+      WITH {SCORED_SQL}, ranked AS (SELECT md5(text) AS text_md5, row_number() OVER ({_BEST}) - 1 AS rank FROM scored)
+      SELECT 'shard_' || lpad((rank // {ROWS_PER_SHARD})::VARCHAR, 5, '0') AS shard, rank % {ROWS_PER_SHARD} AS row_in_shard, text_md5 FROM ranked""",
     "incremental_ingest": f"WITH {COPIES_SQL} SELECT name, docs, length FROM shards WHERE name NOT IN (SELECT name FROM local_copy)",
     "ingest_counts": f"""
       WITH {COPIES_SQL}, outcomes AS (

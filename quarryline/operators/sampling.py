@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,12 +69,23 @@ def iterations(tokens: Column, batch: int) -> Column:
     return F.when(tokens > 0, F.ceil(tokens / F.lit(batch)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
-def token_budget(df: DataFrame, token_col: str = "token_count", batch: int = DEFAULT_BATCH, file_col: str = "file") -> DataFrame:
+def token_budget(
+    df: DataFrame,
+    token_col: str = "token_count",
+    batch: int = DEFAULT_BATCH,
+    file_col: str = "file",
+    token_fn: Callable[[Column], Column] | None = None,
+    text: str = "text",
+) -> DataFrame:
     """Files, rows, tokens and training iterations of a subset, in one row.
 
-    Without the token column the row says so and lists the columns there are.
+    With ``token_fn``, which makes an array of tokens of a text, the tokens of the text column are counted instead of a
+    token column. Without either the row says so and lists the columns there are.
     """
-    if token_col in df.columns:
+    if token_fn is not None:
+        tokens = F.greatest(F.size(token_fn(F.col(text))), F.lit(0)).cast("bigint")
+        status, message = "ok", None
+    elif token_col in df.columns:
         tokens = F.coalesce(F.col(token_col).cast("bigint"), F.lit(0))
         status, message = "ok", None
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from quarryline.session import stage
 
 MINUS_INFINITY = float("-inf")
 
+# A text column in, an array of its tokens out.
+TokenFn = Callable[[Column], Column]
+
 
 def context_truncate(df: DataFrame, limit: int, prompt: str = "prompt_tokens", completion: str = "completion_tokens") -> DataFrame:
     """Fit two token arrays into ``limit``: drop the oldest prompt tokens, then completion tokens.
@@ -31,12 +36,12 @@ def context_truncate(df: DataFrame, limit: int, prompt: str = "prompt_tokens", c
     return cut.withColumn("scored_tokens", scored.cast("int"))
 
 
-def completion_pairs(options: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+def completion_pairs(options: DataFrame, keys: list[str], limit: int | None = None, token_fn: TokenFn = tokens) -> DataFrame:
     """One row per scored completion token with the token before it.
 
     ``options`` has ``prompt`` and ``completion`` text beside the keys.
     """
-    split = options.select(*keys, tokens(F.col("prompt")).alias("prompt_tokens"), tokens(F.col("completion")).alias("completion_tokens"))
+    split = options.select(*keys, token_fn(F.col("prompt")).alias("prompt_tokens"), token_fn(F.col("completion")).alias("completion_tokens"))
     if limit is not None:
         split = context_truncate(split, limit)
     context = F.concat(F.slice("prompt_tokens", -1, 1), "completion_tokens")
@@ -53,14 +58,14 @@ def _neighbours(words: Column) -> Column:
 _PAIRS, _WORDS = 1, 6  # grouping ids of the sets (prev, tok) and (word)
 
 
-def corpus_counts(corpus: DataFrame, needed: DataFrame, text: str = "text") -> DataFrame:
+def corpus_counts(corpus: DataFrame, needed: DataFrame, text: str = "text", token_fn: TokenFn = tokens) -> DataFrame:
     """One pass over a corpus for both counts a bigram model needs, written: ``set``, ``prev``, ``tok``, ``word``, ``c``.
 
     Rows of the set ``_PAIRS`` count the needed (prev, tok) pairs, and under a null ``tok`` the other successors of a needed prev, so that
     the counts of one prev sum to its total. Rows of the set ``_WORDS`` are the vocabulary. While the needed pairs are few they are sent
     to the scan and everything else is dropped before the shuffle; otherwise all pairs are counted and reduced after.
     """
-    words = tokens(F.col(text))
+    words = token_fn(F.col(text))
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
     bigrams = corpus.select(F.inline(F.arrays_zip(before.alias("before"), words.alias("word")))).filter(F.col("word").isNotNull())
     histories = needed.select(F.col("prev").alias("before")).distinct().withColumn("known", F.lit(True))
@@ -83,10 +88,10 @@ def corpus_counts(corpus: DataFrame, needed: DataFrame, text: str = "text") -> D
     return stage(reduced.unionByName(counts.filter(f"set = {_WORDS}")), "corpus-counts")
 
 
-def ngram_logprobs(corpus: DataFrame, pairs: DataFrame, alpha: float = 0.1, text: str = "text") -> DataFrame:
+def ngram_logprobs(corpus: DataFrame, pairs: DataFrame, alpha: float = 0.1, text: str = "text", token_fn: TokenFn = tokens) -> DataFrame:
     """Additively smoothed bigram log-probability of every needed pair; the corpus is read once."""
     needed = stage(pairs.select("prev", "tok").distinct(), "needed-pairs")
-    found = corpus_counts(corpus, needed, text)
+    found = corpus_counts(corpus, needed, text, token_fn)
     counts = found.filter(f"set = {_PAIRS}").select("prev", "tok", "c")
     of_pair = counts.filter(F.col("tok").isNotNull()).withColumnRenamed("c", "pair_count")
     of_history = counts.groupBy("prev").agg(F.sum("c").alias("history_count"))
@@ -97,10 +102,15 @@ def ngram_logprobs(corpus: DataFrame, pairs: DataFrame, alpha: float = 0.1, text
     return joined.select("prev", "tok", F.log(seen / total).alias("logprob"))
 
 
-def ngram_option_scores(corpus: DataFrame, options: DataFrame, keys: list[str], alpha: float = 0.1, limit: int | None = None) -> DataFrame:
-    """Score options with a bigram model of the corpus: mean log-probability of the completion."""
-    pairs = stage(completion_pairs(options, keys, limit), "completion-pairs")
-    logprobs = ngram_logprobs(corpus, pairs, alpha)
+def ngram_option_scores(
+    corpus: DataFrame, options: DataFrame, keys: list[str], alpha: float = 0.1, limit: int | None = None, token_fn: TokenFn = tokens
+) -> DataFrame:
+    """Score options with a bigram model of the corpus: mean log-probability of the completion.
+
+    ``token_fn`` cuts prompts, completions and the corpus alike; by default at white space.
+    """
+    pairs = stage(completion_pairs(options, keys, limit, token_fn), "completion-pairs")
+    logprobs = ngram_logprobs(corpus, pairs, alpha, token_fn=token_fn)
     scored = lookup(pairs, logprobs, ["prev", "tok"])
     return option_scores(scored, options.select(*keys), keys)
 
@@ -159,8 +169,8 @@ def repeat_summary(runs: DataFrame, by: str = "checkpoint", accuracy: str = "acc
     )
 
 
-def parse_checkpoints(checkpoints: DataFrame, column: str = "checkpoint") -> DataFrame:
-    """``TAG`` or ``TAG:STEP`` as tag, step (null for the last one) and label; bad values fail the job."""
+def parse_checkpoints(checkpoints: DataFrame, column: str = "checkpoint", keep: Sequence[str] = ()) -> DataFrame:
+    """``TAG`` or ``TAG:STEP`` as tag, step (null for the last one) and label, beside the columns to keep; bad values fail the job."""
     raw = F.trim(column)
     tag = F.trim(F.substring_index(raw, ":", 1))
     rest = F.lower(F.trim(F.when(raw.contains(":"), F.substring(raw, F.instr(raw, ":") + 1, F.length(raw))).otherwise(F.lit(""))))
@@ -173,6 +183,7 @@ def parse_checkpoints(checkpoints: DataFrame, column: str = "checkpoint") -> Dat
         checked.alias("tag"),
         step.alias("step"),
         F.concat(checked, F.lit(":"), F.coalesce(step.cast("string"), F.lit("last"))).alias("label"),
+        *keep,
     )
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import HashFraction, decoded_path, md5_fraction
@@ -161,7 +161,20 @@ def random_subset(
     return _publish(spark, output, version, settings, inputs)
 
 
-def subset_budget(spark: SparkSession, shards: str, token_col: str = "token_count", batch: int = sampling.DEFAULT_BATCH) -> DataFrame:
+def subset_budget(
+    spark: SparkSession,
+    shards: str,
+    token_col: str = "token_count",
+    batch: int = sampling.DEFAULT_BATCH,
+    token_fn: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Files, rows, tokens and iterations of written shards (a folder of Parquet files, or the current version where versions are published)."""
     rows = corpus.scan_corpus(spark, sinks.published(spark, shards))
-    return sampling.token_budget(rows.select("*", F.col("_metadata.file_path").alias("file")), token_col, batch)
+    return sampling.token_budget(rows.select("*", F.col("_metadata.file_path").alias("file")), token_col, batch, token_fn=token_fn)
+
+
+def quality_report(spark: SparkSession, source: str, sort_keys: Sequence[str] = quality.SORT_KEYS, prefix: str = "", num_files: int = -1) -> DataFrame:
+    """Least, greatest and mean of every key and of the composite score of a corpus, ``(score)``, in one pass each."""
+    rows = scored_corpus(spark, source, sort_keys, prefix, num_files)
+    overall = quality.score_profile(rows).select(F.lit("(score)").alias("key"), "min", "max", "mean")
+    return quality.quality_profile(rows, sort_keys).select("key", "min", "max", "mean").unionByName(overall)

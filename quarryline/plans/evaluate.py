@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import tokens
 from quarryline.operators import mcq, scoring
 from quarryline.session import stage
 from quarryline.sources import benchmarks, sinks
@@ -20,14 +21,14 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Evaluation:
-    predictions: DataFrame
+    predictions: DataFrame | None
     runs: DataFrame
     summary: DataFrame
 
 
-def bigram_scorer(corpus: DataFrame, alpha: float = 0.1, limit: int | None = None) -> Scorer:
+def bigram_scorer(corpus: DataFrame, alpha: float = 0.1, limit: int | None = None, token_fn: scoring.TokenFn = tokens) -> Scorer:
     """Score options with a bigram model of a corpus with a ``text`` column."""
-    return lambda options: scoring.ngram_option_scores(corpus, options, KEYS, alpha, limit)
+    return lambda options: scoring.ngram_option_scores(corpus, options, KEYS, alpha, limit, token_fn)
 
 
 def logprob_scorer(token_logprobs: DataFrame) -> Scorer:
@@ -45,11 +46,19 @@ def evaluate(
     max_examples: int | None = None,
     header: str = mcq.PROMPT_HEADER,
     output: str | None = None,
+    overwrite: bool = False,
 ) -> Evaluation:
     """Prompts for every seed, scores per checkpoint, then accuracy per run and per checkpoint.
 
-    Few-shot examples come from ``dev_file``, or from the evaluation file itself.
+    Few-shot examples come from ``dev_file``, or from the evaluation file itself. With ``output``, runs that stand there are not
+    made again unless ``overwrite`` is set; the result has them all. Predictions are those of this call.
     """
+    done = _written_runs(spark, output) if output and not overwrite else None
+    todo = {c: seeds for c in scorers} if done is None else _pending(spark, list(scorers), seeds, done)
+    if done is not None and not any(todo.values()):
+        asked = done.filter(F.col("checkpoint").isin(list(scorers)) & F.col("seed").isin(seeds))
+        return Evaluation(None, asked, scoring.repeat_summary(asked))
+    every_seed, seeds = seeds, sorted({s for some in todo.values() for s in some})
     examples = stage(mcq.normalize_mcq(benchmarks.mcq_scan(spark, eval_file)), "examples")
     dev = stage(mcq.normalize_mcq(benchmarks.mcq_scan(spark, dev_file)), "dev") if dev_file else examples
     if dev_file and dev.isEmpty():
@@ -64,7 +73,9 @@ def evaluate(
 
     predictions = []
     for checkpoint, scorer in scorers.items():
-        asked = options.withColumn("checkpoint", F.lit(checkpoint))
+        if not todo[checkpoint]:
+            continue
+        asked = options.filter(F.col("seed").isin(todo[checkpoint])).withColumn("checkpoint", F.lit(checkpoint))
         scores = scorer(asked.select(*KEYS, "prompt", "completion"))
         graded = scores.join(asked.select(*KEYS, "answer_index"), KEYS)
         predictions.append(scoring.predict_option(graded, ["checkpoint", "seed", "qid", "target_index"]))
@@ -74,11 +85,69 @@ def evaluate(
     scored = stage(scored, "predictions")
 
     skipped = targets.filter(F.col("answer_index").isNull()).agg(F.count("*")).first()[0]
-    asked = spark.createDataFrame([(c, s) for c in scorers for s in seeds], "checkpoint string, seed long")
+    asked = spark.createDataFrame([(c, s) for c in scorers for s in todo[c]], "checkpoint string, seed long")
     counted = asked.join(scoring.mcq_accuracy(scored, ["checkpoint", "seed"]), ["checkpoint", "seed"], "left")
     counted = counted.na.fill(0, ["total_scored", "correct"]).na.fill(0.0, ["accuracy"])
-    runs = counted.withColumn("total_skipped", F.lit(skipped).cast("bigint"))
+    runs = counted.select("checkpoint", "seed", "total_scored", F.lit(skipped).cast("bigint").alias("total_skipped"), "correct", "accuracy")
+    fresh = runs
+    if done is not None:
+        runs = runs.unionByName(done.filter(F.col("checkpoint").isin(list(scorers)) & F.col("seed").isin(every_seed)))
     summary = scoring.repeat_summary(runs)
     if output:
-        sinks.write_results(runs, scored, output, summary)
+        runs = stage(runs, "runs")
+        summary = scoring.repeat_summary(runs)
+        sinks.write_results(fresh, scored, output, summary, mode="append" if done is not None else "overwrite" if overwrite else "error")
     return Evaluation(scored, runs, summary)
+
+
+_RUNS = "checkpoint string, seed bigint, total_scored bigint, total_skipped bigint, correct bigint, accuracy double"
+
+
+def _written_runs(spark: SparkSession, output: str) -> DataFrame | None:
+    """The runs an output holds, or None where there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{output}/runs")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return stage(spark.read.csv(f"{output}/runs", header=True, schema=_RUNS), "runs-before")
+
+
+def _pending(spark: SparkSession, checkpoints: list[str], seeds: list[int], done: DataFrame) -> dict[str, list[int]]:
+    """The seeds that each checkpoint still lacks."""
+    label = lambda name: scoring.parse_checkpoints(spark.createDataFrame([(name,)], "checkpoint string")).first()["label"]
+    by_label = {label(name): name for name in checkpoints}
+    named = spark.createDataFrame([(name,) for name in checkpoints], "checkpoint string")
+    existing = scoring.parse_checkpoints(done.select("checkpoint", "seed"), keep=["seed"])
+    left = scoring.pending_evals(named, min(seeds), max(seeds), existing).filter(F.col("seed").isin(seeds))
+    todo = {name: [] for name in checkpoints}
+    for row in left.select("label", "seed").orderBy("seed").collect():
+        todo[by_label[row["label"]]].append(row["seed"])
+    return todo
+
+
+def compare_models(
+    spark: SparkSession,
+    eval_file: str,
+    models: DataFrame,
+    scorer: Callable[[str], Scorer],
+    extra: DataFrame | None = None,
+    seed: int = 42,
+    output: str | None = None,
+    **options,
+) -> DataFrame:
+    """Every model of a set, and extra ones, on one benchmark: a row each, with the error in place of an accuracy where one failed.
+
+    ``models`` and ``extra`` have ``name, model``; ``scorer`` makes a scorer of a model. A model that fails does not stop the others.
+    """
+    extra = models.limit(0) if extra is None else extra
+    results = []
+    for row in models.select("name", "model").unionByName(extra.select("name", "model")).collect():
+        try:
+            run = evaluate(spark, eval_file, {row["name"]: scorer(row["model"])}, [seed], **options).runs.first()
+            results.append((row["name"], run["accuracy"], run["correct"], run["total_scored"], run["total_skipped"], None))
+        except Exception as error:  # noqa: BLE001  the table says what failed
+            results.append((row["name"], None, None, None, None, f"error: {str(error).splitlines()[0][:200]}"))
+    schema = "name string, accuracy double, correct bigint, total_scored bigint, total_skipped bigint, error string"
+    table = scoring.model_comparison(models, extra, spark.createDataFrame(results, schema))
+    if output:
+        table.write.option("header", True).csv(output)
+    return table

@@ -199,20 +199,21 @@ def current_version(spark: SparkSession, path: str) -> str:
 ROWS_PER_RESULT_FILE = 100_000
 
 
-def write_results(summary: DataFrame, scored: DataFrame, path: str, aggregate: DataFrame | None = None) -> None:
+def write_results(summary: DataFrame, scored: DataFrame, path: str, aggregate: DataFrame | None = None, mode: str = "error") -> None:
     """Evaluation output: ``runs`` and ``aggregate`` as CSV, ``rows`` as JSON lines below a folder per run.
 
     ``summary`` has one row per (checkpoint, seed), ``scored`` one per (checkpoint, seed, qid). A
-    run's examples go to about one file per ``ROWS_PER_RESULT_FILE``, so that large runs are written by many tasks.
+    run's examples go to about one file per ``ROWS_PER_RESULT_FILE``, so that large runs are written by many tasks. With the
+    mode ``append`` runs are added to those that are there; ``aggregate`` is then that of all of them.
     """
-    summary.write.option("header", True).csv(f"{path}/runs")
     if aggregate is not None:
-        aggregate.write.option("header", True).csv(f"{path}/aggregate")
+        aggregate.write.option("header", True).mode("overwrite" if mode == "append" else mode).csv(f"{path}/aggregate")
     fields = [c for c in scored.columns if c not in ("checkpoint", "seed")]
     nested = scored.select("checkpoint", "seed", F.struct(*fields).alias("result"))
     largest = scored.groupBy("checkpoint", "seed").count().agg(F.max("count").alias("n")).first()["n"] or 0
     part = F.pmod(F.xxhash64("result"), F.lit(1 + largest // ROWS_PER_RESULT_FILE))
-    nested.repartition("checkpoint", "seed", part).write.partitionBy("checkpoint", "seed").json(f"{path}/rows")
+    nested.repartition("checkpoint", "seed", part).write.partitionBy("checkpoint", "seed").mode(mode).json(f"{path}/rows")
+    summary.write.option("header", True).mode(mode).csv(f"{path}/runs")  # last: a run listed here is done
 
 
 def tracking_documents(milestones: DataFrame, tasks: DataFrame, runs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.__main__ import main
+from quarryline.operators import sampling, scoring
 from quarryline.plans import curate, evaluate, track
 from quarryline.session import stage
 from quarryline.sources import logs, sinks
@@ -128,6 +129,51 @@ def test_evaluate_all_seeds_and_checkpoints(spark, benchmark, tmp_path):
     assert spark.read.csv(str(tmp_path / "results" / "aggregate"), header=True).count() == 2
 
 
+def test_evaluation_resumes_where_it_stopped(spark, benchmark, tmp_path):
+    cats = spark.createDataFrame([("Answer: cat sat",)] * 20, "text string")
+    out, scored = str(tmp_path / "results"), []
+
+    def scorer(name):
+        inner = evaluate.bigram_scorer(cats)
+        return lambda options: (scored.append((name, sorted(r[0] for r in options.select("seed").distinct().collect()))), inner(options))[1]
+
+    evaluate.evaluate(spark, benchmark, {"cats:1": scorer("cats:1")}, [0, 1], output=out)
+    again = evaluate.evaluate(spark, benchmark, {"cats:1": scorer("cats:1")}, [0, 1], output=out)
+    assert scored == [("cats:1", [0, 1])] and again.predictions is None and again.runs.count() == 2 and again.summary.first()["runs"] == 2
+    more = evaluate.evaluate(spark, benchmark, {"cats:1": scorer("cats:1"), "late": scorer("late")}, [0, 1, 2], output=out)
+    assert scored[1:] == [("cats:1", [2]), ("late", [0, 1, 2])] and more.runs.count() == 6
+    assert {(r["checkpoint"], r["runs"]) for r in more.summary.collect()} == {("cats:1", 3), ("late", 3)}
+    assert spark.read.csv(f"{out}/runs", header=True).count() == 6 and spark.read.json(f"{out}/rows").count() == 6 * 9
+    assert spark.read.csv(f"{out}/aggregate", header=True).count() == 2
+
+
+def test_compare_keeps_models_that_fail(spark, benchmark, tmp_path):
+    cats = spark.createDataFrame([("Answer: cat sat",)] * 20, "text string")
+    models = spark.createDataFrame([("cats", "c"), ("broken", "b")], "name string, model string")
+    extra = spark.createDataFrame([("more", "c")], "name string, model string")
+
+    def scorer(model):
+        if model == "b":
+            raise RuntimeError("no such model")
+        return evaluate.bigram_scorer(cats)
+
+    table = evaluate.compare_models(spark, benchmark, models, scorer, extra, output=str(tmp_path / "table"), fewshot_k=1)
+    found = {r["name"]: (r["accuracy"], r["status"]) for r in table.collect()}
+    assert found == {"cats": (1.0, "ok"), "more": (1.0, "ok"), "broken": (None, "error: no such model")}
+    assert spark.read.csv(str(tmp_path / "table"), header=True).count() == 3
+
+
+def test_tokens_are_cut_by_the_given_function(spark):
+    letters = lambda text: F.split(text, "")
+    rows = spark.createDataFrame([("f", "abc"), ("f", ""), ("g", None)], "file string, text string")
+    assert sampling.token_budget(rows.filter("text <> ''"), batch=2, token_fn=letters).first()["tokens"] == 3
+    assert sampling.token_budget(rows, batch=2, token_fn=lambda t: F.array_remove(F.split(t, "-"), "")).first()["tokens"] == 1
+    options = spark.createDataFrame([(1, 0, "ab", "ba"), (1, 1, "ab", "bb")], "qid int, option_idx int, prompt string, completion string")
+    found = scoring.ngram_option_scores(spark.createDataFrame([("aba",)] * 9, "text string"), options, ["qid", "option_idx"], token_fn=letters)
+    by_option = {r["option_idx"]: r["score"] for r in found.collect()}
+    assert by_option[0] > by_option[1]
+
+
 def test_evaluate_with_given_logprobs(spark, benchmark):
     logprobs = spark.range(12).select(
         F.lit("m").alias("checkpoint"), F.lit(3).cast("bigint").alias("seed"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("qid"),
@@ -151,6 +197,13 @@ def test_command_line(spark, corpus, tmp_path, capsys):
     main(["curate", corpus, str(tmp_path / "cli"), "--top-percent", "10", "--rows-per-shard", "4"])
     version = capsys.readouterr().out.strip().splitlines()[-1]
     assert spark.read.parquet(version).count() == 10
+    main(["curate", corpus, str(tmp_path / "cli2"), "--skip-sort", "--report"])
+    assert "(score)" in capsys.readouterr().out
+    main(["sample", str(tmp_path / "cli3"), "--dataset", corpus, "--ratio", "0.5", "--hash", "blake2b"])
+    assert 20 < sinks.read_shards(spark, str(tmp_path / "cli3")).count() < 80
+    capsys.readouterr()
+    main(["budget", str(tmp_path / "cli3"), "--count-words"])
+    assert "|ok " in capsys.readouterr().out
     main(["budget", version])
     assert "missing_token_col" in capsys.readouterr().out
     main(["manifest", corpus])
