@@ -7,14 +7,15 @@ verified with Myers' bit-parallel edit distance. Items are broadcast in blocks o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.rows import packed
+from quarryline.llm.rows import packed, text_function
 
 PIECE = 24
 BLOCK_CHARS = 4_000_000
@@ -72,6 +73,11 @@ class Matcher:
 
     items: list[tuple[int, str]]
 
+    @cached_property
+    def automaton(self):
+        """Built once in every process that uses it."""
+        return self.build()
+
     def build(self):
         import ahocorasick
 
@@ -173,22 +179,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that hold no test item, in their own columns; each block of items is one pass."""
-    rows = packed(docs, text)
+    """The documents that hold no test item, in their own columns; each block of items is one pass over the texts."""
     for block in item_blocks(benchmark, "item_id", "text"):
-        rows = _without(rows, block)
-    return rows.select("_row.*")
+        docs = docs.where(~_holds(docs, block)(F.col(f"`{text}`").cast("string")))
+    return docs
 
 
-def _without(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(Matcher(sorted(items)))
+def _holds(docs: DataFrame, items: list[tuple[int, str]]) -> Callable[[Column], Column]:
+    """Whether a text holds one of the items."""
+    shared = docs.sparkSession.sparkContext.broadcast(Matcher(sorted(items)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         matcher = shared.value
-        automaton = matcher.build()
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            keep = [not t.is_valid or next(matcher.matches(automaton, normal(t.as_py())), None) is None for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return pa.array([t.is_valid and next(matcher.matches(matcher.automaton, normal(t.as_py())), None) is not None for t in texts], pa.bool_())
 
-    return rows.mapInArrow(run, rows.schema)
+    return text_function(run, "boolean")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.rows import packed
+from quarryline.llm.rows import packed, text_function
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -100,6 +100,7 @@ class Transducer:
         self.worst = min(self.score.values(), default=0.0) - 10.0
         self.words = _Kept(self._word, KEPT_WORDS, LONGEST_KEPT)
         self._joins: dict[str | None, dict[str, float]] = {}
+        self._older: dict[str | None, dict[str, float]] = {}
         self._pairs = 0
         self._edges: dict[str, tuple[list, list]] = {}
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
@@ -172,14 +173,15 @@ class Transducer:
         return bool(right and left)
 
     def weight(self, last: str | None, piece: str) -> float:
-        """The weight of an arc that writes ``piece`` after ``last``; kept, and emptied when there are too many."""
-        if self._pairs >= KEPT_PAIRS:
-            self._joins.clear()
-            self._pairs = 0
-        if self.kind == UNIGRAM:
-            found = -self.score[piece]
-        else:
-            found = 0.0 if self.stays(last, piece) else INFINITE
+        """The weight of an arc that writes ``piece`` after ``last``; kept while it is in use, in two generations."""
+        if self._pairs >= KEPT_PAIRS // 2:
+            self._older, self._joins, self._pairs = self._joins, {}, 0
+        found = self._older.get(last, {}).get(piece)
+        if found is None:
+            if self.kind == UNIGRAM:
+                found = -self.score[piece]
+            else:
+                found = 0.0 if self.stays(last, piece) else INFINITE
         self._joins.setdefault(last, {})[piece] = found
         self._pairs += 1
         return found
@@ -226,12 +228,22 @@ class Transducer:
             place = back[place]
         return path[::-1]
 
-    def _word(self, word: str) -> bytes:
-        return np.array(self.shortest(word), np.int32).tobytes()
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """The ids of a word, and what they are decoded to."""
+        path = self.shortest(word)
+        return np.array(path, np.int32).tobytes(), b"".join(map(self.surface.__getitem__, path))
+
+    def _parts(self, text: str) -> list[tuple[bytes, bytes]]:
+        return list(map(self.words.__getitem__, _WORDS.findall(self.normalised(text))))
 
     def encode(self, text: str) -> np.ndarray:
-        parts = _WORDS.findall(self.normalised(text))
-        return np.frombuffer(b"".join(map(self.words.__getitem__, parts)), np.int32)
+        return np.frombuffer(b"".join(ids for ids, _ in self._parts(text)), np.int32)
+
+    def round_trip(self, text: str) -> tuple[np.ndarray, bool]:
+        """The ids of a text, and whether they decode to it. Ids decode one after another, so those of a word do so once."""
+        parts = self._parts(text)
+        ids = np.frombuffer(b"".join(ids for ids, _ in parts), np.int32)
+        return ids, self._read(b"".join(surface for _, surface in parts)) == text
 
     # decoding
 
@@ -245,7 +257,10 @@ class Transducer:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: the inverse arcs, without the mark put before the text."""
-        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self._read(b"".join(map(self.surface.__getitem__, ids.tolist())))
+
+    def _read(self, surface: bytes) -> str:
+        text = surface.decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -254,16 +269,23 @@ _WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
 class _Kept(dict):
-    """Results by word; emptied when full, so its memory is bounded and its answers never change."""
+    """Results by word in two generations: when the younger is full it becomes the older, and what is used again comes back.
+
+    Its memory is bounded and its answers never change; frequent words are never made anew.
+    """
 
     def __init__(self, make, most: int, longest: int) -> None:
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest = make, most // 2, longest
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.make(word)
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -284,23 +306,23 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFram
     with open(model, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = _compiled(shared.value)
-        for whole in batches:
-            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(first, ROWS_AT_ONCE)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids = [transducer.encode(t) for t in texts]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                same = [transducer.decode(x) == t for x, t in zip(ids, texts)]
-                columns = [batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, values), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(columns, ["_row", "n_tokens", "token_ids", "round_trip"])
-
+    def run(texts: pa.Array) -> pa.Array:
+        transducer, parts = _compiled(shared.value), []
+        for first in range(0, len(texts), ROWS_AT_ONCE):
+            found = [transducer.round_trip(t or "") for t in texts.slice(first, ROWS_AT_ONCE).to_pylist()]
+            sizes = np.array([len(ids) for ids, _ in found], np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            values = pa.array(np.concatenate([ids for ids, _ in found]), pa.int32())
+            same = pa.array([ok for _, ok in found], pa.bool_())
+            parts.append(pa.StructArray.from_arrays([pa.array(sizes), pa.ListArray.from_arrays(offsets, values), same], ["n_tokens", "token_ids", "round_trip"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], _TOKENS)
+
+    # Only texts go to Python; the rows they belong to wait in the executor.
     rows = packed(docs, text)
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row {kind}, n_tokens long, token_ids array<int>, round_trip boolean")
+    return rows.select("_row", text_function(run, "n_tokens long, token_ids array<int>, round_trip boolean")(F.col("_text")).alias("_found")).select("_row", "_found.*")
+
+
+_TOKENS = pa.struct([("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
 def decoded(tokens: DataFrame, ids: str = "token_ids", model: str = MODEL) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import blocks as B
-from quarryline.llm.rows import row_key
+from quarryline.llm.rows import row_key, text_function
 
 LENGTH = 400
 SEED_BYTES = 16
@@ -349,17 +349,15 @@ def without_repeats(docs: DataFrame, stage, length: int = LENGTH, text: str = "t
     rows = docs.select(row.alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     rows = rows.select("_row", "_text", *row_key(F.col("_key"), F.coalesce("_text", F.lit(""))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for value, runs in zip(batch.column(1), batch.column(2)):
-                if not runs.is_valid or not value.is_valid:
-                    texts.append(value.as_py())
-                    continue
-                data = np.frombuffer(value.as_buffer(), np.uint8)
-                texts.append(data[~_covered(len(data), runs.as_py(), length)].tobytes().decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_left"])
-
-    kind = rows.schema["_row"].dataType.simpleString()
-    done = _named_runs(rows, stage, length).select("_row", "_text", "_runs").mapInArrow(run, f"_row {kind}, _left string")
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        left = []
+        for value, covered in zip(texts, runs):
+            if not covered.is_valid or not value.is_valid:
+                left.append(value.as_py())
+                continue
+            data = np.frombuffer(value.as_buffer(), np.uint8)
+            left.append(data[~_covered(len(data), covered.as_py(), length)].tobytes().decode("utf-8", "ignore"))
+        return pa.array(left, pa.string())
+
+    done = _named_runs(rows, stage, length).select("_row", text_function(cut, "string")(F.col("_text"), F.col("_runs")).alias("_left"))
     return done.select(*(F.col("_left").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,3 +43,19 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, pa.Arr
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
     return df.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+
+
+def text_function(work: Callable[..., pa.Array], kind: str) -> Callable[..., Column]:
+    """``work`` on whole Arrow arrays as a column function of type ``kind``.
+
+    Spark sends the arguments alone to Python and keeps the rows they belong to, so wide rows cost nothing there.
+    Memory that a batch has freed goes back to the system before the next one.
+    """
+
+    def run(*columns: pa.Array) -> pa.Array:
+        found = work(*columns)
+        pa.default_memory_pool().release_unused()
+        return found
+
+    one: Any = {1: lambda a: run(a), 2: lambda a, b: run(a, b)}[work.__code__.co_argcount]
+    return F.arrow_udf(one, kind)
