@@ -58,4 +58,4 @@ def text_function(work: Callable[..., pa.Array], kind: str) -> Callable[..., Col
         return found
 
     one: Any = {1: lambda a: run(a), 2: lambda a, b: run(a, b)}[work.__code__.co_argcount]
-    return F.arrow_udf(one, kind)
+    return F.arrow_udf(one, kind).asNondeterministic()  # else a filter on its result computes it once more below
