@@ -1,9 +1,10 @@
 """HTML extraction by composite text density.
 
 Each page is read into a flat list of nodes in page order. Menus, forms, scripts and the like are cut away by
-what their tags and names say. Every remaining node has a density: its characters per tag, adjusted by the
-share of characters and tags in links. The densest node's path to the body sets a threshold, and among nodes
-at or above it the one whose children's densities have the largest sum is the main text.
+what their tags and names say, but no name cuts what holds the page. Every remaining node has a density: its characters
+per tag, adjusted by the share of characters and tags in links. The densest node's path to the body sets a threshold, and
+among nodes at or above it the one whose children's densities have the largest sum is the main text, with what stands
+beside it at or above the threshold.
 """
 
 from __future__ import annotations
@@ -38,26 +39,35 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-DROPPED_TAGS = frozenset("nav footer aside form button select input dialog menu fieldset search head".split()) | RAW
+DROPPED_TAGS = frozenset("nav footer aside button select input dialog menu fieldset search head".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: A class or id counts as one of these only as a whole, or if all its other parts are plain ones: "site-footer", not "has-sidebar".
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar footer masthead topbar comment comments commentlist reply replies respond disqus discussion cookie "
     "cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended widget widgets toolbar pagination pager copyright disclaimer".split()
 )
+PLAIN_NAMES = frozenset(
+    "site page main global top bottom left right upper lower primary secondary box block list item items link links bar section area "
+    "container wrapper wrap inner outer holder row col button buttons icon icons form body text author meta thread posts post user users "
+    "zone slot unit header title group panel div module".split()
+)
 MOSTLY_LINKS = 0.66
 LISTS = frozenset("ul ol div section table dl".split())
+#: A named block or form with this many times the text of all the rest is no addition to a page, but the page.
+BULK = 20
+HARD, SOFT = 1, 2
 
 
 class _Page:
-    """Nodes of a page in order: tag, parent, last descendant, whether cut away; and its text and breaks."""
+    """Nodes of a page in order: tag, parent, last descendant, why cut away (0: not); and its text and breaks."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.end, self.cut, self.names = ["#root"], [0], [0], [False], [""]
+        self.tag, self.parent, self.end, self.cut = ["#root"], [0], [0], [0]
         self.events: list[tuple[int, str | None]] = []
 
-    def add(self, tag: str, parent: int, cut: bool) -> int:
+    def add(self, tag: str, parent: int, cut: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.end.append(0)
@@ -65,24 +75,34 @@ class _Page:
         return len(self.tag) - 1
 
 
-def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_named(value: str, in_article: bool) -> bool:
+    """Does a class or id say that its element is no part of the text?"""
+    for token in value.split():
+        parts = set(NAME_PART.findall(token))
+        names = parts & DROPPED_NAMES or (parts & {"header"} if not in_article else set())
+        if names and all(p in DROPPED_NAMES or p in PLAIN_NAMES or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _why_cut(tag: str, attributes: str, in_article: bool) -> int:
+    """``HARD``: what the tag, its role or style settle. ``SOFT``: names and forms, which do not hold if they hold the page."""
     if tag in DROPPED_TAGS or (tag == "header" and not in_article):
-        return True
+        return HARD
+    why = SOFT if tag == "form" else 0
     if not attributes.strip() or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return why
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            parts = set(NAME_PART.findall(value))
-            if parts & DROPPED_NAMES or ("header" in parts and not in_article):
-                return True
+            why = SOFT if _is_named(value, in_article) else why
         elif name == "role" and value.strip() in DROPPED_ROLES:
-            return True
+            return HARD
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return HARD
         elif name == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+            return HARD
+    return HARD if re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) else why
 
 
 def _read(source: str) -> _Page:
@@ -145,7 +165,7 @@ def _read(source: str) -> _Page:
                 page.events.append((inside, None))
             continue
         in_article = any(t in ("article", "main") for t, _ in stack)
-        cut = _is_cut(tag, attributes, in_article)
+        cut = _why_cut(tag, attributes, in_article)
         node = inside
         if tag in BLOCKS or tag == "a" or cut:
             node = page.add(tag, inside, cut)
@@ -165,49 +185,98 @@ def _read(source: str) -> _Page:
     return page
 
 
-def _best(page: _Page) -> int:
-    """The node whose subtree is the main text."""
+def _own_chars(page: _Page) -> list[int]:
+    own = [0] * len(page.tag)
+    for node, text in page.events:
+        if text:
+            own[node] += len("".join(text.split()))
+    return own
+
+
+def _settle_cuts(page: _Page, own: list[int]) -> None:
+    """Lift soft cuts that hold the page's articles or nearly all its text, then pass cuts on to what lies below."""
     count = len(page.tag)
     holds_article = [False] * count
     for node in range(count - 1, 0, -1):
         if page.tag[node] in ("article", "main"):
             holds_article[node] = not page.cut[node]
-        holds_article[page.parent[node]] |= holds_article[node] and page.tag[page.parent[node]] not in DROPPED_TAGS
+        holds_article[page.parent[node]] |= holds_article[node] and page.cut[page.parent[node]] != HARD
     for node in range(1, count):
-        own = page.cut[node] and not (holds_article[node] and page.tag[node] not in DROPPED_TAGS)
-        page.cut[node] = own or page.cut[page.parent[node]]
-    chars, link_chars, tags, link_tags = [0] * count, [0] * count, [0] * count, [0] * count
-    for node, text in page.events:
-        if text and not page.cut[node]:
-            length = len("".join(text.split()))
-            chars[node] += length
-            link_chars[node] += length if page.tag[node] == "a" else 0
-    for node in range(count - 1, 0, -1):
-        up = page.parent[node]
-        if not page.cut[node]:
-            is_link = page.tag[node] == "a"
-            if is_link:
-                link_chars[node], link_tags[node] = chars[node], tags[node] + 1
-            chars[up] += chars[node]
-            link_chars[up] += link_chars[node]
-            tags[up] += tags[node] + 1
-            link_tags[up] += link_tags[node]
+        if page.cut[node] == SOFT and holds_article[node]:
+            page.cut[node] = 0
+    while True:
+        under, kept = [0] * count, [0] * count  # the outermost soft cut above a node; text below a soft cut that no other cut takes
+        rest = own[0]
+        for node in range(1, count):
+            above = page.parent[node]
+            if page.cut[node] == HARD or under[above] < 0 or (page.cut[node] and under[above]):
+                under[node] = -1
+            else:
+                under[node] = node if page.cut[node] else under[above]
+            if under[node] > 0:
+                kept[under[node]] += own[node]
+            elif not under[node]:
+                rest += own[node]
+        largest = max(range(count), key=lambda n: (kept[n], -n))
+        if not kept[largest] or kept[largest] <= BULK * rest:
+            break
+        page.cut[largest] = 0
     for node in range(1, count):
-        if page.tag[node] in LISTS and chars[node] and link_chars[node] >= MOSTLY_LINKS * chars[node]:
-            page.cut[node] = True
         page.cut[node] = page.cut[node] or page.cut[page.parent[node]]
-    page_links, page_chars = link_chars[0], max(chars[0], 1)
-    density = [0.0] * count
-    for node in range(count):
-        c, lc, t, lt = chars[node], link_chars[node], max(tags[node], 1), max(link_tags[node], 1)
-        if c and not page.cut[node]:
-            base = math.log(c / max(c - lc, 1) * lc + page_links / page_chars * c + math.e)
-            density[node] = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1) / max(base, 1.0)
-    total = [0.0] * count
+
+
+class _Densities:
+    """Composite text density of every node that is not cut, and the sum over its children."""
+
+    def __init__(self, page: _Page, own: list[int]) -> None:
+        count = len(page.tag)
+        chars = [0 if page.cut[n] else own[n] for n in range(count)]
+        links = [chars[n] if page.tag[n] == "a" else 0 for n in range(count)]
+        tags, link_tags = [0] * count, [0] * count
+        for node in range(count - 1, 0, -1):
+            up = page.parent[node]
+            if not page.cut[node]:
+                if page.tag[node] == "a":
+                    links[node], link_tags[node] = chars[node], tags[node] + 1
+                chars[up] += chars[node]
+                links[up] += links[node]
+                tags[up] += tags[node] + 1
+                link_tags[up] += link_tags[node]
+        self.chars, self.links = chars, links
+        page_links, page_chars = links[0], max(chars[0], 1)
+        self.density = density = [0.0] * count
+        for node in range(count):
+            c, lc, t, lt = chars[node], links[node], max(tags[node], 1), max(link_tags[node], 1)
+            if c and not page.cut[node]:
+                base = math.log(c / max(c - lc, 1) * lc + page_links / page_chars * c + math.e)
+                density[node] = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1) / max(base, 1.0)
+        self.total = total = [0.0] * count
+        for node in range(1, count):
+            total[page.parent[node]] += density[node]
+        for node in range(count):
+            total[node] += 0.0 if total[node] else density[node] * 0.5  # a node without children stands below one that holds it
+
+
+def _chosen(page: _Page) -> list[int]:
+    """The subtrees that are the main text, in page order.
+
+    The subtree with the largest sum of densities among nodes at or above the threshold, the least density on the densest node's path
+    to the body. It grows to the article or main element it stands in and is joined by other articles at or above the threshold. Where there
+    are none it is joined by its siblings at or above it, and grows to its parent where these are most of that.
+    """
+    count, own = len(page.tag), _own_chars(page)
+    _settle_cuts(page, own)
+    cut = list(page.cut)
+    found = _Densities(page, own)
+    in_article = [False] * count
     for node in range(1, count):
-        total[page.parent[node]] += density[node]
-    for node in range(count):
-        total[node] += 0.0 if total[node] else density[node] * 0.5  # a node without children stands below one that holds it
+        in_article[node] = page.tag[node] in ("article", "main") or in_article[page.parent[node]]
+        lists = page.tag[node] in LISTS and not in_article[node] and found.chars[node] and found.links[node] >= MOSTLY_LINKS * found.chars[node]
+        page.cut[node] = page.cut[node] or (HARD if lists else 0) or page.cut[page.parent[node]]
+    if found.chars[0] and not any(own[n] for n in range(count) if not page.cut[n]):
+        page.cut = cut  # a page of nothing but links
+    found = _Densities(page, own)
+    density, total = found.density, found.total
     densest = max(range(count), key=lambda n: (density[n] if page.tag[n] != "a" else 0.0, -n))
     threshold, node = density[densest], densest
     while node:
@@ -215,12 +284,29 @@ def _best(page: _Page) -> int:
         if page.tag[node] not in ("#root", "html"):
             threshold = min(threshold, density[node])
     best = max((n for n in range(count) if density[n] >= threshold and page.tag[n] != "a"), key=lambda n: (total[n], -n), default=0)
-    node = best
+    outer = node = best
     while node:
-        if page.tag[node] in ("article", "main"):
-            return node
+        outer = node if page.tag[node] in ("article", "main") else outer
         node = page.parent[node]
-    return best
+    if page.tag[outer] in ("article", "main"):
+        top = [n for n in range(1, count) if page.tag[n] in ("article", "main") and not in_article[page.parent[n]]]
+        return [n for n in top if n == outer or (not page.cut[n] and density[n] >= threshold)]
+    chars = found.chars
+    while True:
+        up = page.parent[outer]
+        # A short section among sections is below the density of the whole body, which has more text to a tag.
+        least = {"section": threshold / 2} if page.tag[outer] == "section" else {}
+        beside = [
+            n for n in range(1, count)
+            if page.parent[n] == up and page.tag[n] in BLOCKS and not page.cut[n] and density[n] >= least.get(page.tag[n], threshold)
+        ]
+        if not outer or page.tag[up] in ("#root", "html", "body") or 2 * sum(chars[n] for n in {outer, *beside}) < chars[up]:
+            break
+        outer = up  # its block is mostly main text: so is the rest of the block
+    if len(beside) < 2 or not outer:
+        return [outer]
+    first, last = min(outer, *beside), max(outer, *beside)  # with what lies between, such as headings
+    return [n for n in range(first, last + 1) if page.parent[n] == up]
 
 
 def main_text(source: str | None) -> str:
@@ -232,16 +318,19 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _read(source)
-    best = _best(page)
-    last, found, block = page.end[best], [], []
-    for node, text in [*page.events, (best, None)]:
+    chosen = _chosen(page)
+    inside = [False] * len(page.tag)
+    for node in chosen:
+        inside[node : page.end[node]] = [True] * (page.end[node] - node)
+    found, block = [], []
+    for node, text in [*page.events, (0, None)]:
         if text is None:
             if block:
                 words = html.unescape("".join(block)).split()
                 if words:
                     found.append(" ".join(words))
                 block = []
-        elif best <= node < last and not page.cut[node]:
+        elif inside[node] and not page.cut[node]:
             block.append(text)
     return "\n\n".join(found)
 
