@@ -321,8 +321,9 @@ def keep_one(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") ->
     share a shingle of their prefixes, which no such pair misses, and the whole sets decide, up to collisions of
     64-bit hashes. Texts without words are copies of each other. Of rows equal in id and text one stays; a null id is least.
     """
-    rows = docs.select("*", *row_key(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    read = rows.select("_k1", "_k2", F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = docs.select(row, *row_key(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    read = rows.select("_k1", "_k2", F.col(f"_row.`{key}`").alias("_key"), F.col(f"_row.`{text}`").cast("string").alias("_text"))
     bits = ["size", *(f"m{i}" for i in range(ODD))]
     drawn = stage(_drawn(read), "prefixes")
     nodes = stage(drawn.groupBy("node").agg(F.min(F.struct("_key", "_k1", "_k2")).alias("first"), *(F.min(n).alias(n) for n in bits)), "shingle-nodes")
@@ -333,4 +334,4 @@ def keep_one(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") ->
     chosen = named.groupBy("group").agg(F.min("first").alias("f")).select(F.col("f._k1").alias("_c1"), F.col("f._k2").alias("_c2"))
     chosen = stage(chosen.distinct(), "chosen")
     stays = rows.join(chosen, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left_semi")
-    return stays.dropDuplicates(["_k1", "_k2"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return stays.dropDuplicates(["_k1", "_k2"]).select("_row.*")
