@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_histogram(_table(spark, sf_dir, "documents"))
+    return token_counts.token_histogram(_table(spark, sf_dir, "documents"), stage)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,9 +86,10 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     )
 
 
-def token_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_histogram(docs: DataFrame, stage=lambda df, label: df, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The histogram of a table with its suffix sums, one row per length that occurs; no rows for an empty table.
 
-    Null and empty texts count with length 0, repeated rows each count, other columns do not matter.
+    Null and empty texts count with length 0, repeated rows each count, other columns do not matter. The sums read the histogram
+    twice: ``stage`` writes it, so that the documents are encoded once.
     """
-    return suffix_sums(histogram(encoded_lengths(docs, text, vocabulary)))
+    return suffix_sums(stage(histogram(encoded_lengths(docs, text, vocabulary)), "length-histogram"))

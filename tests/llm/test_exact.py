@@ -319,6 +319,25 @@ def test_shards(docs, empty):
     assert all(grown[i] in (first[i], 8) for i, _ in sizes) and sum(s for i, s in sizes if grown[i] == 8) > 0.9 * sum(load) / 9
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+def test_shards_are_even_when_a_third_of_the_ids_is_missing(spark, same_text):
+    r = random.Random(3)
+    rows = [(None if i % 3 == 0 else i, "same old text" if same_text and i % 3 == 0 else "w" * r.randint(0, 90) + str(i)) for i in range(6_000)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), stage, 10).collect()
+    expected = collections.Counter((k, len(t.encode()) + 16, zlib.crc32(t.encode())) for k, t in rows)
+    assert collections.Counter((x["doc_id"], x["size"], x["text_crc32"]) for x in found) == expected
+    loads, grown = collections.Counter(), collections.Counter()
+    for x in found:
+        loads[x["shard"]] += x["size"]
+        grown[x["rebalanced_shard"]] += x["size"]
+        assert x["rebalanced_shard"] in (x["shard"], 10) and x["law"] == "bytes" and x["grown_shard"] is None
+    mean = sum(loads.values()) / 10
+    assert len(loads) == 10 and max(loads.values()) < 1.02 * mean and min(loads.values()) > 0.98 * mean
+    assert len(grown) == 11 and 0.85 < grown[10] / (sum(grown.values()) / 11) <= 1.01
+    for shard in range(10):
+        assert sorted(x["slot"] for x in found if x["shard"] == shard) == list(range(sum(x["shard"] == shard for x in found)))
+
+
 def test_url_rules_and_reputation(spark):
     urls = [None, "no scheme", "http://A.Example.COM/en/x?q", "http://www.example.com/en/", "https://x.net/fr/a#b", "http://bad.org/x", "http://com", "http://good.org/"]
     pages = [(i, u) for i, u in enumerate(urls)] + [(100 + i, "http://bad.org/y") for i in range(40)] + [(200 + i, "http://good.org/y") for i in range(40)]
