@@ -73,6 +73,11 @@ class Matcher:
 
     items: list[tuple[int, str]]
 
+    @cached_property
+    def sizes(self) -> list[tuple[int, int]]:
+        """Length and error budget of every item."""
+        return [(len(item), budget_of(item)) for _, item in self.items]
+
     @cached_property
     def automaton(self):
         """Built once in every process that uses it."""
@@ -81,24 +86,33 @@ class Matcher:
     def build(self):
         import ahocorasick
 
-        found: dict[str, list[tuple[int, int]]] = {}
+        found: dict[str, dict[int, tuple[int, int]]] = {}
         for number, (_, item) in enumerate(self.items):
             for offset, piece in pieces(item, budget_of(item)):
-                found.setdefault(piece, []).append((number, offset))
+                places = found.setdefault(piece, {})
+                places[number] = places.get(number, (offset,))[0], offset
         automaton = ahocorasick.Automaton()
         for piece, places in found.items():
-            automaton.add_word(piece, (len(piece), places))
+            automaton.add_word(piece, (len(piece), [(n, first, last) for n, (first, last) in places.items()]))
         automaton.make_automaton()
         return automaton
 
     def matches(self, automaton, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """Item id, edits, start and end of the best match of each item that the text holds."""
-        windows: dict[int, list[tuple[int, int]]] = {}
-        for last, (length, places) in automaton.iter(text):
-            for number, offset in places:
-                item = self.items[number][1]
-                begin, budget = last + 1 - length - offset, budget_of(item)
-                windows.setdefault(number, []).append((max(0, begin - budget), begin + len(item) + budget))
+        """Item id, edits, start and end of the best match of each item that the text holds.
+
+        A piece that an item repeats is one entry: the windows of its places overlap, as each is longer than the item. Windows are
+        merged while they come, so a repetitive text keeps few of them.
+        """
+        windows: dict[int, list[list[int]]] = {}
+        for end, (length, places) in automaton.iter(text):
+            for number, first, last in places:
+                begin, (size, budget) = end + 1 - length, self.sizes[number]
+                low, high = max(0, begin - last - budget), begin - first + size + budget
+                spans = windows.setdefault(number, [])
+                if spans and low <= spans[-1][1] and high >= spans[-1][0]:
+                    spans[-1] = [min(low, spans[-1][0]), max(high, spans[-1][1])]
+                else:
+                    spans.append([low, high])
         for number, spans in sorted(windows.items()):
             ident, item = self.items[number]
             budget, best = budget_of(item), None
@@ -113,9 +127,9 @@ class Matcher:
                 yield ident, edits, end - back, end
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merged(spans: list[list[int]]) -> list[tuple[int, int]]:
     found: list[list[int]] = []
-    for low, high in sorted(set(spans)):
+    for low, high in sorted(spans):
         if found and low <= found[-1][1]:
             found[-1][1] = max(found[-1][1], high)
         else:
