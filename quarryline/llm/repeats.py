@@ -306,8 +306,11 @@ def _covered(size: int, starts: list, length: int) -> np.ndarray:
 
 
 def _named_runs(docs: DataFrame, stage, length: int) -> DataFrame:
-    """All columns of docs and ``_runs``, the runs of repeated starts of the row (null if it has none)."""
-    runs = repeated(docs, stage, length).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "starts")).alias("_runs"))
+    """All columns of docs and ``_runs``, the runs of repeated starts of the row (null if it has none).
+
+    Equal rows share a name and bring the same runs each, of which one is kept.
+    """
+    runs = repeated(docs, stage, length).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "starts")).alias("_runs"))
     named = runs.select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), "_runs")
     return docs.join(named, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left").drop("_r1", "_r2")
 

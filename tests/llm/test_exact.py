@@ -319,6 +319,38 @@ def test_shards(docs, empty):
     assert all(grown[i] in (first[i], 8) for i, _ in sizes) and sum(s for i, s in sizes if grown[i] == 8) > 0.9 * sum(load) / 9
 
 
+def test_equal_rows_share_one_list_of_runs(spark):
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefgh ") for _ in range(3_000))
+    sizes = []
+    for copies in (50, 400):
+        rows = spark.createDataFrame([(1, text)] * copies, "doc_id long, _text string")
+        named = repeats._named_runs(rows.select("*", *repeats.row_key(F.col("doc_id"), F.col("_text"))), stage, 400)
+        sizes.append(named.agg(F.max(F.size("_runs"))).first()[0])
+    assert sizes[0] == sizes[1] < 3_000
+    report = repeats.removal_report(spark.createDataFrame([(1, text)] * 3, "doc_id long, text string"), stage).collect()
+    assert [(x["n_bytes"], x["n_removed"], x["n_spans"]) for x in report] == [(3_000, 3_000, 1)] * 3
+
+
+@pytest.mark.parametrize(("seed", "size"), [(1, 300), (2, 450), (3, 800)])
+def test_planted_passages_beside_brute_force(spark, seed, size):
+    """Passages of 300 to 800 bytes in several documents: only strings of 400 bytes and more go."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = prose(400)[:size]
+    texts = [prose(60) + (f" {passage} " if i % 4 == 0 else " ") + prose(60) for i in range(24)]
+    counts = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    found = repeats.removal_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), stage)
+    for row in found.collect():
+        t, gone = texts[row["doc_id"]], set()
+        for i in range(len(t) - 399):
+            if counts[t[i : i + 400]] > 1:
+                gone.update(range(i, i + 400))
+        assert row["n_removed"] == len(gone) and (row["n_removed"] >= size) == (size >= 400 and row["doc_id"] % 4 == 0)
+        assert row["kept_sha256"] == hashlib.sha256("".join(c for i, c in enumerate(t) if i not in gone).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("same_text", [False, True])
 def test_shards_are_even_when_a_third_of_the_ids_is_missing(spark, same_text):
     r = random.Random(3)
