@@ -22,7 +22,7 @@ from quarryline.catalog.tables import (
 )
 from quarryline.operators import late, manifests, order, placement, quality, sampling
 from quarryline.plans import curate
-from quarryline.session import new_folder
+from quarryline.session import new_folder, stage
 from quarryline.sources import corpus, files, listing, sinks
 
 PERCENT = 16.5
@@ -77,8 +77,10 @@ def drop_heavy_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def width_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embeddings = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return corpus.width_saved(table(spark, sf_dir, "documents").join(embeddings, "doc_id", "left"))
+    """Widths are measured where each table is read; only numbers are joined."""
+    documents, embeddings = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    kept, dropped = documents.select("doc_id", corpus.row_width(documents).alias("kept")), embeddings.select("doc_id", corpus.row_width(embeddings.select("embedding")).alias("dropped"))
+    return corpus.widths_saved(kept.join(dropped, "doc_id", "left"), "kept", "dropped")
 
 
 def empty_file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +170,11 @@ def horizon_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = sampling.tokenizer_text(table(spark, sf_dir, "documents").select("doc_id", "text"), doc_cap=DOC_CAP)
-    return order.budget_rows(cut, ["doc_id"], "chars", MAX_CHARS).select("doc_id", "chars", F.md5("text").alias("text_md5"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lengths = stage(texts.select("doc_id", F.least(F.length("text"), F.lit(DOC_CAP)).cast("bigint").alias("chars")), "lengths")
+    chosen = order.budget_rows(lengths, ["doc_id"], "chars", MAX_CHARS)
+    cut = sampling.tokenizer_text(texts, doc_cap=DOC_CAP).drop("chars")
+    return late.attach(chosen, cut, "doc_id").select("doc_id", "chars", F.md5("text").alias("text_md5"))
 
 
 def sort_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,26 +125,35 @@ _WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "dat
 
 
 def _width(name: str, dtype: T.DataType) -> Column:
-    column = F.col(name)
+    column = F.col(f"`{name}`")
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         size = F.octet_length(column)
     elif isinstance(dtype, T.ArrayType):
         size = F.size(column) * _WIDTHS.get(dtype.elementType.simpleString(), 8)
     else:
         size = F.lit(_WIDTHS.get(dtype.simpleString(), 8))
-    return F.coalesce(F.sum(F.when(column.isNotNull(), size)), F.lit(0))
+    return F.when(column.isNotNull(), size).otherwise(0).cast("bigint")
 
 
-def width_saved(df: DataFrame, columns: tuple[str, ...] = DROP_COLUMNS) -> DataFrame:
-    """Uncompressed bytes of the columns kept and dropped, and the percentage dropped, in one row."""
-    total = F.lit(0).cast("bigint")
-    kept = sum((_width(f.name, f.dataType) for f in df.schema if f.name not in columns), total)
-    dropped = sum((_width(f.name, f.dataType) for f in df.schema if f.name in columns), total)
-    counted = df.agg(kept.alias("kept_bytes"), dropped.alias("dropped_bytes"))
+def row_width(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Uncompressed bytes of a row's values, of all columns or some; nulls have none."""
+    return sum((_width(f.name, f.dataType) for f in df.schema if columns is None or f.name in columns), F.lit(0).cast("bigint"))
+
+
+def widths_saved(widths: DataFrame, kept: str, dropped: str) -> DataFrame:
+    """Bytes kept and dropped over all rows, and the percentage dropped, in one row."""
+    counted = widths.agg(F.coalesce(F.sum(kept), F.lit(0)).alias("kept_bytes"), F.coalesce(F.sum(dropped), F.lit(0)).alias("dropped_bytes"))
     share = 100.0 * F.col("dropped_bytes") / (F.col("kept_bytes") + F.col("dropped_bytes"))
     return counted.withColumn("dropped_percent", F.round(share, 6))
 
 
+def width_saved(df: DataFrame, columns: tuple[str, ...] = DROP_COLUMNS) -> DataFrame:
+    """What leaving out the wide columns of one table saves."""
+    there = set(df.columns)
+    kept, dropped = row_width(df, [c for c in df.columns if c not in columns]), row_width(df, [c for c in columns if c in there])
+    return widths_saved(df.select(kept.alias("kept"), dropped.alias("dropped")), "kept", "dropped")
+
+
 def drop_heavy_columns(df: DataFrame, columns: tuple[str, ...] = DROP_COLUMNS) -> DataFrame:
     """Leave out wide columns; the scan then never reads them."""
     return df.drop(*columns)
