@@ -182,8 +182,11 @@ def sort_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = order.top_percent(score_keys(spark, sf_dir).select("doc_id", "score"), ORDER, PERCENT)
-    return late.attach(chosen, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "score", "text")
+    keys = score_keys(spark, sf_dir).select("doc_id", "score")
+    cut = order.split(keys, ORDER)
+    count = order.top_percent_count(cut.total_rows, PERCENT)
+    chosen = order.top_rows(keys, ORDER, count, cut)
+    return late.attach(chosen, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", rows=count).select("doc_id", "score", "text")
 
 
 def top_percent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
