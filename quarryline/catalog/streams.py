@@ -15,7 +15,7 @@ from quarryline.streaming import jobs, tail
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return jobs.stream_folder(spark, sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet")
+    return jobs.stream_table(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
 
 
 def stream_sample_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def write_shard_files(placed: DataFrame, folder: str, columns: list[str], place:
         .option("compression", "zstd")
         .parquet(parts)
     )
-    root, fs = _file_system(spark, parts)
+    root, fs = file_system(spark, parts)
     jvm, found, listing = spark.sparkContext._jvm, {}, fs.listFiles(root, True)
     while listing.hasNext():
         source = listing.next().getPath()
@@ -144,7 +144,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(current_version(spark, path)).select(*shard_columns(), "*")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """A path and the file system it lies in, as Spark reaches it."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -158,14 +159,14 @@ def publish(spark: SparkSession, path: str, version: str) -> None:
 
 def write_marker(spark: SparkSession, file: str, content: str) -> None:
     """A small file that must not be there yet."""
-    marker, fs = _file_system(spark, file)
+    marker, fs = file_system(spark, file)
     stream = fs.create(marker, False)
     stream.write(bytearray(content, "utf-8"))
     stream.close()
 
 
 def read_marker(spark: SparkSession, file: str) -> str:
-    marker, fs = _file_system(spark, file)
+    marker, fs = file_system(spark, file)
     stream = fs.open(marker)
     content = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
@@ -174,7 +175,7 @@ def read_marker(spark: SparkSession, file: str) -> str:
 
 def markers(spark: SparkSession, folder: str, prefix: str) -> list[str]:
     """Names of the marker files below a folder that may not exist, in order."""
-    target, fs = _file_system(spark, folder)
+    target, fs = file_system(spark, folder)
     if not fs.exists(target):
         return []
     return sorted(n for n in (status.getPath().getName() for status in fs.listStatus(target)) if n.startswith(prefix))

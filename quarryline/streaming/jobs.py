@@ -36,6 +36,15 @@ def stream_folder(spark: SparkSession, path: str, schema, pattern: str = "*.parq
     )
 
 
+def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table as a stream of its files, whether the path is one Parquet file or a folder of them."""
+    target, fs = sinks.file_system(spark, path)
+    if fs.getFileStatus(target).isDirectory():
+        return stream_folder(spark, path, schema)
+    folder, _, name = path.rpartition("/")
+    return stream_folder(spark, folder, schema, name)
+
+
 def stream_sample_ingest(
     source: DataFrame,
     key: Column,

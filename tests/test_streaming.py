@@ -5,6 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline.catalog import sampling as sampled
+from quarryline.catalog import streams
 from quarryline.operators import quality, runs, sampling
 from quarryline.sources import logs
 from quarryline.streaming import jobs, tail
@@ -183,3 +185,13 @@ def test_progress_counts_a_repeated_file_once(spark, tmp_path):
         jobs.stream_transfer_progress(stream, manifest, out, str(tmp_path / "cp")).awaitTermination()
     report = {r["worker"]: tuple(r)[1:] for r in jobs.progress_report(jobs.latest_snapshot(spark, out), manifest).collect()}
     assert report == {0: (2, 40, 100.0, 100.0), 1: (1, 20, 100.0, 100.0), 2: (0, 0, 0.0, 0.0)}
+
+
+def test_streams_take_a_table_that_is_a_folder(spark, tmp_path):
+    rows = _documents(spark, 0, 200).select("doc_id", "text", F.lit("web").alias("source"), F.length("text").cast("bigint").alias("n_chars"))
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = {r["shard"]: (r["rows"], r["first"], r["last"]) for r in streams.stream_shard_sizes(spark, str(tmp_path)).collect()}
+    assert sizes == {"shard_00000": (70, 0, 69), "shard_00001": (70, 0, 69), "shard_00002": (60, 0, 59)}
+    kept = sampling.hash_sample(quality.drop_blank_text(rows, "text"), F.col("doc_id").cast("string"), sampled.RATIO, sampled.SEED)
+    found = [r["doc_id"] for r in streams.stream_sample_ingest(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(r["doc_id"] for r in kept.collect()) and found
