@@ -27,12 +27,24 @@ def with_shards(
     shuffled once, straight to the task that owns their shards. ``keys`` may be a staged table of the same
     rows' order columns, where ``df`` is a join that should not run once more for them.
     """
+    return _with_shards(df, order, rows_per_shard, rows_per_task, keys)[0]
+
+
+def shards_per_task(spark: SparkSession, shards: int, rows_per_shard: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """How many whole shards a task takes: fewer than its rows allow where some slots would get none."""
+    fair = math.ceil(shards / spark.sparkContext.defaultParallelism)
+    return max(1, min(rows_per_task // rows_per_shard, fair), math.ceil(shards / MAX_BUCKETS))
+
+
+def _with_shards(
+    df: DataFrame, order: list[str], rows_per_shard: int, rows_per_task: int, keys: DataFrame | None
+) -> tuple[DataFrame, int]:
     if rows_per_shard <= 0:
         raise ValueError("rows_per_shard must be positive")
     narrow = (df if keys is None else keys).select(*column_names(order))
     cut = split(narrow, order)
     shards = math.ceil(cut.total_rows / rows_per_shard)
-    per_task = max(1, rows_per_task // rows_per_shard, math.ceil(shards / MAX_BUCKETS))
+    per_task = shards_per_task(df.sparkSession, shards, rows_per_shard, rows_per_task)
     task_rows = per_task * rows_per_shard
     tasks = max(1, math.ceil(shards / per_task))
     ends = []
@@ -47,13 +59,14 @@ def with_shards(
         ends = [row["key"].asDict() for row in sorted(found, key=lambda row: row["rank"])]
     owned = with_bucket(df, order, ends, cut.key_type, "_task")
     in_order = Window.partitionBy("_task").orderBy(*sort_columns(order))
-    return (
+    placed = (
         owned.repartitionById(tasks, F.col("_task"))
         .withColumn("rank", (F.col("_task").cast("bigint") * task_rows + F.row_number().over(in_order) - 1))
         .drop("_task")
         .withColumn("shard_id", F.expr(f"rank div {int(rows_per_shard)}"))
         .withColumn("row_in_shard", F.col("rank") % rows_per_shard)
     )
+    return placed, shards
 
 
 def write_sharded(
@@ -86,8 +99,8 @@ def write_version(
 ) -> str:
     """The same without publishing, for callers that put more into the version's folder first."""
     version = f"{path}/version-{uuid.uuid4().hex}"
-    placed = with_shards(df, order, rows_per_shard, rows_per_task, keys).sortWithinPartitions("shard_id", "row_in_shard")
-    write_shard_files(placed, version, columns or df.columns)
+    placed, shards = _with_shards(df, order, rows_per_shard, rows_per_task, keys)
+    write_shard_files(placed.sortWithinPartitions("rank"), version, columns or df.columns, rows_per_shard, range(shards))
     return version
 
 
@@ -97,39 +110,42 @@ RENAMES_AT_ONCE = 32
 SHARD_FILE = "shard_{:05d}.parquet"
 
 
-def write_shard_files(placed: DataFrame, folder: str, columns: list[str], place: Callable[[int], str] = lambda shard: "") -> int:
-    """Write rows that stand in tasks of whole shards, sorted by ``shard_id``, as flat files; the number of files.
+def write_shard_files(
+    placed: DataFrame, folder: str, columns: list[str], rows_per_shard: int, shards: range, place: Callable[[int], str] = lambda shard: ""
+) -> None:
+    """Write rows that stand in tasks of whole shards, both in order, as one flat file for each of ``shards``.
 
-    Spark's committer writes each task's files below ``_parts`` and keeps those of one attempt per task. Then every file gets its name
+    Every task begins a file after ``rows_per_shard`` rows, so the files below ``_parts``, by the numbers of task and file in their names, are
+    the shards in turn; the committer keeps those of one attempt per task. Then every file gets its name
     in ``folder``, or the folder below it that ``place`` gives for the shard. Nobody looks there before the caller's marker, so a
     driver that is lost meanwhile leaves an unnamed folder and no half version.
     """
     spark, parts = placed.sparkSession, f"{folder}/_parts"
-    (
-        placed.withColumn("_shard", F.col("shard_id"))
-        .select("_shard", *columns)
-        .write.partitionBy("_shard")
-        .option("compression", "zstd")
-        .parquet(parts)
-    )
-    root, fs = file_system(spark, parts)
-    jvm, found, listing = spark.sparkContext._jvm, {}, fs.listFiles(root, True)
-    while listing.hasNext():
-        source = listing.next().getPath()
-        number = re.search(r"/_shard=(\d+)/[^/]*\.parquet$", source.toString())
-        if number and found.setdefault(int(number[1]), source) is not source:
-            raise RuntimeError(f"two tasks wrote shard {number[1]}: the rows were not placed by shard")
-    for below in sorted({place(shard) for shard in found}):
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{folder}/{below}"))
-
-    def rename(shard: int) -> None:
-        target = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (folder, place(shard), SHARD_FILE.format(shard)) if x))
-        if not fs.rename(found[shard], target):
-            raise RuntimeError(f"could not rename {found[shard].toString()} to {target.toString()}")
+    rows = placed.select(*columns)
+    rows.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(parts)
+    if not shards:
+        return
+    found = sorted(spark.read.schema(rows.schema).parquet(parts).inputFiles(), key=_task_and_file)
+    if len(found) != len(shards):
+        raise RuntimeError(f"{len(found)} files for {len(shards)} shards: the rows were not placed by shard")
+    _, fs = file_system(spark, parts)
+    path, uri = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jvm.java.net.URI
+    for below in sorted({place(shard) for shard in shards}):
+        fs.mkdirs(path(f"{folder}/{below}"))
+
+    def rename(source: str, shard: int) -> None:
+        target = "/".join(x for x in (folder, place(shard), SHARD_FILE.format(shard)) if x)
+        if not fs.rename(path(uri(source)), path(target)):
+            raise RuntimeError(f"could not rename {source} to {target}")
 
     with ThreadPoolExecutor(RENAMES_AT_ONCE) as pool:
-        list(pool.map(rename, sorted(found)))
-    return len(found)
+        list(pool.map(rename, found, shards))
+
+
+def _task_and_file(source: str) -> tuple[int, int]:
+    """The numbers in the name of a file that Spark wrote."""
+    task, file = re.search(r"/part-(\d+)-[^/]*-c(\d+)\.[^/]*$", source).groups()
+    return int(task), int(file)
 
 
 def shard_columns() -> list[Column]:

@@ -112,14 +112,15 @@ def stream_shards(rows: DataFrame, output: str, checkpoint: str, rows_per_shard:
                 tail = spark.read.schema(batch.schema).parquet(done.tail).select("*", (F.lit(first * rows_per_shard) + F.col("_metadata.row_index")).alias("_rank"))
                 ranked = tail.unionByName(ranked)
             shards = -(-total // rows_per_shard) - first
-            per_task = max(1, sinks.ROWS_PER_TASK // rows_per_shard, -(-shards // sinks.MAX_BUCKETS))
+            per_task = sinks.shards_per_task(spark, shards, rows_per_shard)
             placed = (
                 ranked.withColumn("shard_id", F.expr(f"_rank div {int(rows_per_shard)}"))
                 .repartitionById(-(-shards // per_task), F.expr(f"(shard_id - {first}) div {per_task}").cast("int"))
-                .sortWithinPartitions("shard_id", "_rank")
+                .sortWithinPartitions("_rank")
             )
             folder = f"{output}/{marker.removeprefix('_')}-{uuid.uuid4().hex}"
-            sinks.write_shard_files(placed, folder, batch.columns, lambda shard: "whole" if shard < whole else "tail")
+            made = range(first, first + shards)
+            sinks.write_shard_files(placed, folder, batch.columns, rows_per_shard, made, lambda shard: "whole" if shard < whole else "tail")
             progress["folders"] += [f"{folder}/whole"] if whole > first else []
             progress["tail"] = f"{folder}/tail" if total % rows_per_shard else ""
         sinks.write_marker(spark, f"{output}/{marker}", json.dumps(progress))

@@ -179,3 +179,12 @@ def test_top_rows_does_not_shuffle_the_table(spark):
     plan = order.top_rows(_table(spark, [float(i) for i in range(50)], parts=1), ORDER, 10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in plan
     assert "Sort" not in plan
+
+
+def test_shards_are_dealt_over_all_slots_and_read_in_turn(spark, tmp_path):
+    rows = _table(spark, [float(i % 11) for i in range(2_500)])
+    assert sinks.with_shards(rows, ORDER, 100).rdd.getNumPartitions() == 4  # the slots of the session
+    version = sinks.write_sharded(rows, str(tmp_path / "o"), ORDER, 1)  # more than 999 files in a task would be, in order of their names, out of turn
+    found = sinks.read_shards(spark, str(tmp_path / "o")).orderBy("shard_id").select("score", "row_in_shard").collect()
+    assert [r["score"] for r in found] == sorted((float(i % 11) for i in range(2_500)), reverse=True) and not any(r["row_in_shard"] for r in found)
+    assert sinks._task_and_file("file:/x/part-00002-a-c1000.zstd.parquet") > sinks._task_and_file("file:/x/part-00002-a-c999.zstd.parquet") and version
