@@ -314,6 +314,33 @@ def similar_groups(rows: DataFrame, bits: DataFrame, read: DataFrame, stage) ->
     return least if least is not None else rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
+def keep_least(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The document with the least id of each component of fingerprints, in the columns it came with.
+
+    Fingerprints link at three or fewer differing bits, as in :func:`near_duplicates`. Null, empty and blank texts have
+    fingerprint zero and are copies of each other. Of rows equal in id and text one stays; a null id is least.
+    """
+    rows = _named(docs, text, key)
+    read = rows.select("_k1", "_k2", F.col(f"_row.`{key}`").alias("_key"), F.col(f"_row.`{text}`").cast("string").alias("_text"))
+    marked = stage(fingerprints(read, "_text", ["_k1", "_k2", "_key"]), "simhash")
+    lowest = marked.groupBy("fp").agg(F.min(F.struct("_key", "_k1", "_k2")).alias("first"))
+    labelled = classes(lowest, stage)
+    return _chosen(rows, labelled.join(lowest, "fp").groupBy("label").agg(F.min("first").alias("f")), stage)
+
+
+def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Each row as one struct ``_row`` beside the two longs that name it."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    return docs.select(row, *row_key(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+
+
+def _chosen(rows: DataFrame, firsts: DataFrame, stage) -> DataFrame:
+    """The rows that ``f`` of each group names, one of each."""
+    chosen = stage(firsts.select(F.col("f._k1").alias("_c1"), F.col("f._k2").alias("_c2")).distinct(), "chosen")
+    stays = rows.join(chosen, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left_semi")
+    return stays.dropDuplicates(["_k1", "_k2"]).select("_row.*")
+
+
 def keep_one(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The document with the least id of each group of near copies, in the columns it came with.
 
@@ -321,8 +348,7 @@ def keep_one(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") ->
     share a shingle of their prefixes, which no such pair misses, and the whole sets decide, up to collisions of
     64-bit hashes. Texts without words are copies of each other. Of rows equal in id and text one stays; a null id is least.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(row, *row_key(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    rows = _named(docs, text, key)
     read = rows.select("_k1", "_k2", F.col(f"_row.`{key}`").alias("_key"), F.col(f"_row.`{text}`").cast("string").alias("_text"))
     bits = ["size", *(f"m{i}" for i in range(ODD))]
     drawn = stage(_drawn(read), "prefixes")
@@ -331,7 +357,4 @@ def keep_one(docs: DataFrame, stage, text: str = "text", key: str = "doc_id") ->
     shared = stage(keys.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).where("_n > 1").drop("_n"), "shared-shingles")
     least = similar_groups(shared, nodes.select("node", *bits), read, stage)
     named = nodes.select("node", "first").join(least, F.col("node") == F.col("a"), "left").withColumn("group", F.coalesce("b", "node"))
-    chosen = named.groupBy("group").agg(F.min("first").alias("f")).select(F.col("f._k1").alias("_c1"), F.col("f._k2").alias("_c2"))
-    chosen = stage(chosen.distinct(), "chosen")
-    stays = rows.join(chosen, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left_semi")
-    return stays.dropDuplicates(["_k1", "_k2"]).select("_row.*")
+    return _chosen(rows, named.groupBy("group").agg(F.min("first").alias("f")), stage)

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarryline.llm import decontaminate, interpolated_lm, main_text, piece_transducer, quality_rules, repeats, sharding, simhash, token_counts, url_reputation
 from quarryline.llm.components import components
 from quarryline.session import stage
@@ -195,6 +196,44 @@ def kept_places(spark, texts):
     return {r["doc_id"] for r in simhash.keep_one(rows, stage).collect()}
 
 
+def test_the_least_of_each_component_of_fingerprints_stays(spark, docs, empty):
+    kept = simhash.keep_least(docs, stage)
+    ids = [r["doc_id"] for r in kept.collect()]
+    groups = {r["component_id"] for r in simhash.near_duplicates(docs, stage).collect()}
+    assert kept.columns == docs.columns and len(ids) == len(set(ids)) and groups - {None} <= set(ids)
+    assert simhash.keep_least(empty, stage).count() == 0
+
+
+def test_pipeline_groups_by_fingerprints(spark):
+    """Texts far below a similarity of 0.8 go together where their fingerprints do, and one far copy stays."""
+    r = random.Random(10)
+    texts = []
+    for _ in range(40):
+        text = [f"w{r.randrange(900)}" for _ in range(120)]
+        texts.append(" ".join(text))
+        for edits in (1, 4, 30):
+            edited = text[:]
+            for place in r.sample(range(len(text)), edits):
+                edited[place] = "NEW"
+            texts.append(" ".join(edited))
+    prints = [simhash.fingerprint(t) & (1 << 64) - 1 for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 3:
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+    expected = {root(i) for i in range(len(texts))}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()}
+    assert 0 < len(expected) < len(texts) and found == expected
+
+
 def test_no_link_is_lost_in_a_large_bucket(spark):
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(400)]
