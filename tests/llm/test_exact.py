@@ -87,6 +87,39 @@ def test_kneser_ney_is_a_distribution(docs):
     assert all(abs(c - 1) < 1e-9 for c in chances)
 
 
+def test_kneser_ney_counts_characters_as_they_are(spark):
+    """Marks, digits and letters beyond ASCII are told apart, and the sorted arrays answer as the formula does."""
+    texts = ["ab#a é", "ab$b 12", "ba#% 21 ê", "ab ab"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = quality_rules.fit(quality_rules.packed(rows, "text"))
+    grams = [{bytes((b" " * 2 + t.encode())[i : i + 3]) for i in range(len(t.encode()))} for t in texts]
+    counts = collections.Counter(g for s in grams for g in s)
+    assert [int.from_bytes(g, "big") for g in sorted(counts)] == model.grams.tolist()
+
+    def level(seen):
+        n = [sum(c == k for c in seen.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        raw = [1 - 2 * y * n[1] / n[0] if n[0] else y, 2 - 3 * y * n[2] / n[1] if n[1] else y, 3 - 4 * y * n[3] / n[2] if n[2] else y]
+        cut = [0, *(min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw))]
+
+        def chance(gram, below):
+            same = [c for g, c in seen.items() if g[:-1] == gram[:-1]]
+            if not same:
+                return below
+            c = seen.get(gram, 0)
+            return (max(c - cut[min(c, 3)], 0) + sum(cut[min(x, 3)] for x in same) * below) / sum(same)
+
+        return chance
+
+    pairs = collections.Counter(g[1:] for g in counts)
+    ones = collections.Counter(g[1:] for g in pairs)
+    three, two, one = level(counts), level(pairs), level(ones)
+    asked = [*counts, b"ab%", b"zzz", b"a\xc3\xaa", b"#a "]
+    wanted = [math.log(three(g, two(g[1:], one(g[2:], 1 / 256)))) for g in asked]
+    got = model.log_probability(quality_rules.np.array([int.from_bytes(g, "big") for g in asked]))
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, wanted, strict=True))
+
+
 @pytest.mark.parametrize("group_rows", [repeats.GROUP_ROWS, 2])
 @pytest.mark.parametrize("length", [33, 60])
 def test_repeated_strings(spark, docs, empty, monkeypatch, length, group_rows):
