@@ -179,30 +179,59 @@ def stream_milestones(lines: DataFrame, output: str, checkpoint: str) -> Streami
 #: How long a finished file is remembered after it was last seen.
 KEEP_FINISHED_DAYS = 30
 _CHANGE = "worker bigint, files bigint, bytes bigint"
+#: Per file of a numbering: its number in it, its largest size, and when it is forgotten (ms; null while it grows).
+_SIZES = "numbers array<int>, sizes array<bigint>, forget_at array<bigint>"
+#: The last run of five or more digits that stands alone; its last three digits tell the files of a numbering apart.
+_NUMBERED = r"(?s)^(.*(?<![0-9A-Za-z])[0-9]{2,})([0-9]{3})((?![0-9A-Za-z]).*)$"
 
 
-def _largest_size(keep_ms: int):
-    """Per file name: what a batch adds to the counts of its worker.
+def _numbering(name: Column) -> tuple[Column, Column]:
+    """The numbering a file name belongs to and the file's number in it, below 1,000.
+
+    ``shard_00012.parquet`` is number 12 of ``shard_00###.parquet``. Any other name is a numbering of its own, with number -1.
+    """
+    number = F.regexp_extract(name, _NUMBERED, 2)
+    return F.regexp_replace(name, _NUMBERED, "$1###$3"), F.when(number == "", -1).otherwise(number.cast("int"))
+
+
+def _largest_sizes(keep_ms: int):
+    """Per numbering of files: what a batch adds to the counts of the workers.
 
     The largest size wins, so a file listed while it grows, or listed again, or out of turn, counts once with its full size. A
     growing file stays in the state. A finished one, as long as the manifest says, is forgotten when it has not been
     seen for a while: every sighting starts the time anew, so what is still listed is never counted twice.
     """
 
+    def per_file(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("number", as_index=False).agg({"length": "max", "worker": "last", "whole": "last"})
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs()
+        kept = {number: (size, forget_at) for number, size, forget_at in zip(*state.get)} if state.exists else {}
+        seen = None if state.hasTimedOut else per_file(pd.concat([per_file(frame) for frame in frames]))
+        listed = {} if seen is None else dict(zip(seen["number"].tolist(), zip(seen["length"].tolist(), seen["whole"].tolist())))
+        before = [kept.get(number) for number in listed]
+        kept = {number: file for number, file in kept.items() if number not in listed and (file[1] is None or file[1] >= now)}
+        for (number, (length, whole)), file in zip(listed.items(), before):
+            largest = max(int(length), file[0] if file else 0)
+            kept[number] = (largest, now + keep_ms if not pd.isna(whole) and largest >= whole else None)
+        if not kept:
             state.remove()
             return
-        before = state.get[0] if state.exists else None
-        largest, worker, whole = before or 0, None, None
-        for frame in frames:
-            worker, whole = frame["worker"].iloc[0], frame["whole"].iloc[0]
-            largest = max(largest, int(frame["length"].fillna(0).max()))
-        state.update((largest,))
-        if not pd.isna(whole) and largest >= whole:
-            state.setTimeoutDuration(keep_ms)
-        if before is None or largest > before:
-            yield pd.DataFrame({"worker": [worker], "files": [int(before is None)], "bytes": [largest - (before or 0)]})
+        state.update(tuple(map(list, zip(*((number, *file) for number, file in kept.items())))))
+        times = [forget_at for _, forget_at in kept.values() if forget_at is not None]
+        if times:
+            state.setTimeoutDuration(max(1, min(times) - now))
+        if listed:
+            counted = [file[0] if file else 0 for file in before]
+            change = pd.DataFrame(
+                {
+                    "worker": seen["worker"],
+                    "files": [int(file is None) for file in before],
+                    "bytes": [kept[number][0] - size for number, size in zip(listed, counted)],
+                }
+            )
+            yield change[(change["files"] > 0) | (change["bytes"] > 0)]
 
     return update
 
@@ -213,15 +242,19 @@ def stream_transfer_progress(
     """Files and bytes per worker so far; a file seen again counts once, with the largest size it was seen with.
 
     ``arrived`` has ``name, length``, ``manifest`` ``name, worker, length``. Files the manifest lacks are left out, so the state is at most
-    one size per file of the manifest. The manifest is written once when the job starts, not computed for every batch. Each
+    one size per file of the manifest. Files of one numbering, up to 1,000 and one, share a row of the state and a call, as a call of the
+    keyed function costs far more than a file in it. The manifest is written once when the job starts, not computed for every batch. Each
     batch adds its changes to the totals of the batch before, which stand in that batch's folder.
     """
     spark = arrived.sparkSession
     parts = stage(manifest.groupBy("name").agg(F.max("worker").cast("bigint").alias("worker"), F.max("length").cast("bigint").alias("whole")), "manifest")
-    listed = arrived.select("name", F.col("length").cast("bigint").alias("length")).join(parts, "name")
+    listed = arrived.select("name", F.coalesce(F.col("length").cast("bigint"), F.lit(0)).alias("length")).join(parts, "name")
+    numbering, number = _numbering(F.col("name"))
     keep_ms = max(1, int(keep_finished_days * 86_400_000))
-    changes = listed.groupBy("name").applyInPandasWithState(
-        _largest_size(keep_ms), _CHANGE, "length bigint", "update", GroupStateTimeout.ProcessingTimeTimeout
+    changes = (
+        listed.select(numbering.alias("name"), number.alias("number"), "length", "worker", "whole")
+        .groupBy("name")
+        .applyInPandasWithState(_largest_sizes(keep_ms), _CHANGE, _SIZES, "update", GroupStateTimeout.ProcessingTimeTimeout)
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
@@ -175,6 +176,51 @@ def test_finished_files_leave_the_state_and_growing_ones_stay(spark, tmp_path):
     assert [r["key"]["name"] for r in state.collect()] == ["open"]
 
 
+def test_files_of_a_numbering_share_a_state_row_and_count_each_for_itself(spark, tmp_path):
+    source, out, pick = str(tmp_path / "in"), str(tmp_path / "out"), random.Random(7)
+    names = [f"shard_{i:05d}.parquet" for i in (*range(0, 40), *range(980, 1020))] + [f"a/2024-05-17_{i}" for i in (7, 123456, 123457, 1123456)]
+    names += ["shard_00###.parquet", "-123", "x12345678", "part-00012-0f12345e.parquet", "part-00013-0f12345e.parquet", "p\n00001", "p\n00002", ""]
+    files = [(name, None if i % 7 == 0 else i % 3, None if i % 5 == 0 else 50 + i) for i, name in enumerate(names)]
+    manifest, largest, worker = spark.createDataFrame(files, "name string, worker bigint, length bigint"), {}, {f[0]: f[1] for f in files}
+    for turn in range(3):
+        arrived = [(pick.choice([*names, "unlisted_00001"]), pick.choice([None, 0, -3, 20, 50, 120, 2**53 + 1])) for _ in range(90)] + [(None, 5)]
+        spark.createDataFrame(arrived, "name string, length bigint").repartition(3).write.mode("append").parquet(source)
+        jobs.stream_transfer_progress(jobs.stream_folder(spark, source, "name string, length bigint"), manifest, out, str(tmp_path / "cp")).awaitTermination()
+        for name, length in arrived:
+            if name in worker:
+                largest[name] = max(largest.get(name, 0), length or 0)
+        expected = {}
+        for name, length in largest.items():
+            n, size = expected.get(worker[name], (0, 0))
+            expected[worker[name]] = (n + 1, size + length)
+        assert {r["worker"]: (r["files"], r["bytes"]) for r in jobs.latest_snapshot(spark, out).collect()} == expected
+    state = {r["key"]["name"]: r["value"]["groupState"] for r in spark.read.format("statestore").load(str(tmp_path / "cp")).collect()}
+    assert sum(len(s["numbers"]) for s in state.values()) == len(largest)
+    assert {"shard_00###.parquet", "shard_01###.parquet", "part-00###-0f12345e.parquet", "p\n00###"} <= set(state) and len(state) < 20
+
+
+def test_a_finished_file_leaves_its_numbering_and_growing_ones_stay(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    names = ["shard_00001", "shard_00002", "other_00001", "other_00002"]
+    manifest = spark.createDataFrame([(name, 0, 10) for name in names], "name string, worker bigint, length bigint")
+    schema, second = "name string, length bigint", 1 / 86_400
+
+    def run(*rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        jobs.stream_transfer_progress(jobs.stream_folder(spark, source, schema), manifest, out, str(tmp_path / "cp"), second).awaitTermination()
+        state = spark.read.format("statestore").load(str(tmp_path / "cp")).collect()
+        total = jobs.latest_snapshot(spark, out).first()
+        return {r["key"]["name"]: sorted(r["value"]["groupState"]["numbers"]) for r in state}, (total["files"], total["bytes"])
+
+    assert run(("shard_00001", 10), ("shard_00002", 4), ("other_00001", 10)) == ({"shard_00###": [1, 2], "other_00###": [1]}, (3, 24))
+    time.sleep(2)  # "shard" is called with a growing file, "other" by the clock
+    assert run(("shard_00002", 5)) == ({"shard_00###": [2]}, (3, 25))
+    assert run(("shard_00002", 10), ("other_00002", 3)) == ({"shard_00###": [2], "other_00###": [2]}, (4, 33))
+    time.sleep(2)
+    assert run(("other_00002", 4)) == ({"other_00###": [2]}, (4, 34))
+    assert run(("shard_00001", 10)) == ({"shard_00###": [1], "other_00###": [2]}, (5, 44))
+
+
 def test_progress_counts_a_repeated_file_once(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     manifest = spark.createDataFrame([("a", 0, 10), ("b", 1, 20), ("c", 0, 30), ("d", 2, 5)], "name string, worker bigint, length bigint")
