@@ -202,19 +202,21 @@ def _largest_sizes(keep_ms: int):
     seen for a while: every sighting starts the time anew, so what is still listed is never counted twice.
     """
 
-    def per_file(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.groupby("number", as_index=False).agg({"length": "max", "worker": "last", "whole": "last"})
-
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentProcessingTimeMs()
-        kept = {number: (size, forget_at) for number, size, forget_at in zip(*state.get)} if state.exists else {}
-        seen = None if state.hasTimedOut else per_file(pd.concat([per_file(frame) for frame in frames]))
-        listed = {} if seen is None else dict(zip(seen["number"].tolist(), zip(seen["length"].tolist(), seen["whole"].tolist())))
-        before = [kept.get(number) for number in listed]
-        kept = {number: file for number, file in kept.items() if number not in listed and (file[1] is None or file[1] >= now)}
-        for (number, (length, whole)), file in zip(listed.items(), before):
-            largest = max(int(length), file[0] if file else 0)
+        before = {number: (size, forget_at) for number, size, forget_at in zip(*state.get)} if state.exists else {}
+        listed: dict[int, tuple] = {}
+        for frame in () if state.hasTimedOut else frames:
+            for number, length, worker, whole in zip(*(frame[c].tolist() for c in ("number", "length", "worker", "whole"))):
+                listed[number] = (max(length, listed[number][0]) if number in listed else length, worker, whole)
+        kept = {number: file for number, file in before.items() if number not in listed and (file[1] is None or file[1] >= now)}
+        changes = []
+        for number, (length, worker, whole) in listed.items():
+            counted = before[number][0] if number in before else 0
+            largest = max(length, counted)
             kept[number] = (largest, now + keep_ms if not pd.isna(whole) and largest >= whole else None)
+            if number not in before or largest > counted:
+                changes.append((worker, int(number not in before), largest - counted))
         if not kept:
             state.remove()
             return
@@ -222,16 +224,8 @@ def _largest_sizes(keep_ms: int):
         times = [forget_at for _, forget_at in kept.values() if forget_at is not None]
         if times:
             state.setTimeoutDuration(max(1, min(times) - now))
-        if listed:
-            counted = [file[0] if file else 0 for file in before]
-            change = pd.DataFrame(
-                {
-                    "worker": seen["worker"],
-                    "files": [int(file is None) for file in before],
-                    "bytes": [kept[number][0] - size for number, size in zip(listed, counted)],
-                }
-            )
-            yield change[(change["files"] > 0) | (change["bytes"] > 0)]
+        if changes:
+            yield pd.DataFrame(changes, columns=["worker", "files", "bytes"])
 
     return update
 
