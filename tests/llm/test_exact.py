@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarryline.llm import decontaminate, interpolated_lm, main_text, piece_transducer, quality_rules, repeats, sharding, simhash, token_counts, url_reputation
+from quarryline.llm import catalog, decontaminate, interpolated_lm, main_text, piece_transducer, quality_rules, repeats, sharding, simhash, token_counts, url_reputation
 from quarryline.llm.components import components
 from quarryline.session import stage
 
@@ -423,6 +423,25 @@ def test_planted_passages_beside_brute_force(spark, seed, size):
         assert row["kept_sha256"] == hashlib.sha256("".join(c for i, c in enumerate(t) if i not in gone).encode()).hexdigest()
 
 
+def test_query_returns_the_text_that_is_left(spark, tmp_path):
+    """A long passage is out of the query's texts, a short one and all else stay; characters that are cut in two go whole."""
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 9))) for _ in range(n))
+    long, short, alone = prose(120)[:450], prose(120)[:300], prose(120)
+    # the repeated bytes begin with the second byte of a character and end with the first of another
+    texts = [f"1{prose(40)}1{long}1{short}1{prose(40)}1", f"2{prose(40)}2{long}2{short}2{prose(40)}2", f"one \xe9{alone}\xe7 three", f"two \u0129{alone}\xf6 four", alone[:300], "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["op3_suffix_dedup"](spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    left = {x["doc_id"]: x for x in found.collect()}
+    assert {k: x["text"] for k, x in left.items()} == {
+        0: texts[0].replace(long, ""), 1: texts[1].replace(long, ""), 2: "one  three", 3: "two  four", 4: texts[4], 5: "", 6: "",
+    }
+    assert [left[i]["n_removed"] for i in range(7)] == [450, 450, len(alone) + 2, len(alone) + 2, 0, 0, 0]
+    assert all(hashlib.sha256(left[i]["text"].encode()).hexdigest() == left[i]["kept_sha256"] for i in (0, 1, 4, 5, 6))
+    assert left[2]["kept_sha256"] == hashlib.sha256(b"one \xc3\xa7 three").hexdigest()
+
+
 @pytest.mark.parametrize("same_text", [False, True])
 def test_shards_are_even_when_a_third_of_the_ids_is_missing(spark, same_text):
     r = random.Random(3)
