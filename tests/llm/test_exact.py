@@ -120,6 +120,38 @@ def test_kneser_ney_counts_characters_as_they_are(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, wanted, strict=True))
 
 
+def test_the_quality_queries_count_every_occurrence(spark, monkeypatch):
+    """An n-gram that a text holds many times counts as often, in both queries' models."""
+    texts = ["ab ab abc ab", "%%%%%%%% %%%", "ab ab abc ab", "x ab é é", "", None]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    padded = [b" " * 2 + t.encode() for t in texts if t]
+    counts = collections.Counter(int.from_bytes(t[i : i + 3], "big") for t in padded for i in range(len(t) - 2))
+    assert max(counts.values()) > len(texts)
+    assert {r["gram"]: r["n"] for r in quality_rules.gram_counts(quality_rules.packed(rows, "text")).collect()} == counts
+
+    made, fit = [], quality_rules.fit
+    monkeypatch.setattr(quality_rules, "fit", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
+    found = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.quality_report(rows, stage).collect()}
+    quality_rules.quality_filter(rows, stage).collect()
+    n1, n2, n3, n4 = (sum(c == k for c in counts.values()) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y]
+    cut = [0, *(min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw))]
+    assert len(made) == 2
+    for model in made:
+        chances = {}
+        for gram, c in counts.items():
+            same = [x for g, x in counts.items() if g >> 8 == gram >> 8]
+            below = math.e ** model.lower[gram & 0xFFFF]
+            chances[gram] = (c - cut[min(c, 3)] + sum(cut[min(x, 3)] for x in same) * below) / sum(same)
+        assert model.grams.tolist() == sorted(counts)
+        assert all(abs(math.e**a - chances[g]) < 1e-9 for g, a in zip(model.grams.tolist(), model.logs, strict=True))
+    for i, t in enumerate(texts):
+        t = b" " * 2 + (t or "").encode()
+        spent = -math.fsum(math.log(chances[int.from_bytes(t[k : k + 3], "big")]) for k in range(len(t) - 2))
+        assert abs(found[i] - spent / max(len(t) - 2, 1)) < 2e-6
+
+
 @pytest.mark.parametrize("group_rows", [repeats.GROUP_ROWS, 2])
 @pytest.mark.parametrize("length", [33, 60])
 def test_repeated_strings(spark, docs, empty, monkeypatch, length, group_rows):
